@@ -1,0 +1,9 @@
+"""Registered queries of the panel library."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
