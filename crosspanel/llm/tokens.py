@@ -38,16 +38,15 @@ from .common import scratch_path, small_batches
 
 MANIFEST = "part int, n_docs bigint, n_tokens bigint"
 #: Most words that a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 
 class WordEncoder:
-    """encode() of a tokenizers file, text by text the same ids, with a memory of words.
+    """encode() of a tokenizers file, text by text the same ids, with a memory of pre-tokens.
 
-    No pre-token of these tokenizers holds white space, so a text's ids are those of its chunks between ASCII
-    white space. A chunk that was not seen is cut into pre-tokens where this is safe (NFC, letters below U+0180, no special token),
-    and the unseen pre-tokens go through the tokenizer in one call; every id list ends with a word-end token, which parts
-    them again. Any other chunk goes through the tokenizer by itself.
+    A text of printable characters below U+0180 (so in normal form as it is) and without a special token is cut into pre-tokens here; the unseen ones go
+    through the tokenizer in one call, and as every pre-token ends with a word-end token, the ids part again. No pre-token
+    holds white space, so any other text is cut at ASCII white space first, and its chunks that aren't of this kind go through the tokenizer by themselves.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,47 +57,53 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        letters = "".join(c for c in map(chr, range(0x80, 0x180)) if c.isalpha())
-        numbers = "".join(c for c in map(chr, range(0x80, 0x180)) if unicodedata.category(c)[0] == "N")
-        self.pretoken = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9{numbers}]|[^\\sa-z0-9{letters}{numbers}]+")
-        self.known: dict[bytes, bytes] = {}
+        latin = [c for c in map(chr, range(0xA1, 0x180)) if c != "\xad"]
+        letters = "".join(c for c in latin if c.isalpha())
+        numbers = "".join(c for c in latin if unicodedata.category(c)[0] == "N")
+        self.pretokens = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9{numbers}]|[^\\sa-z0-9{letters}{numbers}]+").findall
+        self.plain = re.compile(f"[ \\t-\\r!-~{''.join(latin).replace('İ', '')}]*").fullmatch  # İ becomes two characters in lower case
+        self.known: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE_WORDS:
-            self.known.clear()
-        known, parts = self.known, {}
-        for chunk in chunks:
-            text = chunk.decode()
-            if "<|" in text or max(text) >= "ƀ" or not unicodedata.is_normalized("NFC", text) or any(c.isspace() for c in text):
-                known[chunk] = self._alone(text)
-            else:
-                parts[chunk] = self.pretoken.findall(text.lower())
-        new = sorted({p for ps in parts.values() for p in ps if p.encode() not in known})
-        if new:
-            texts = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
-            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    def _cut(self, text: bytes | None) -> list[str]:
+        """The pre-tokens in lower case; a chunk that has to be encoded by itself stands behind a NUL."""
+        if not text:
+            return []
+        s = text.decode()
+        if self.plain(s) and "<|" not in s:
+            return self.pretokens(s.lower())
+        out: list[str] = []
+        for chunk in text.split():
+            s = chunk.decode()
+            out += self.pretokens(s.lower()) if self.plain(s) and "<|" not in s else ["\0" + s]
+        return out
+
+    def _learn(self, unseen: set[str]) -> None:
+        known = self.known
+        alone = {p for p in unseen if p[0] == "\0"}
+        known.update((p, self._alone(p[1:])) for p in alone)
+        if new := list(unseen - alone):
+            lines = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(new) and cuts[-1] == len(ids):
-                raw, at, width = ids.tobytes(), [0, *cuts.tolist()], self.dtype.itemsize
-                known.update((p.encode(), raw[a * width : b * width]) for p, a, b in zip(new, at, at[1:], strict=False))
+                raw, at = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+                known.update(zip(new, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
             else:
-                known.update((p.encode(), self._alone(p)) for p in new)
-        for chunk, ps in parts.items():
-            known[chunk] = b"".join([known[p.encode()] for p in ps])
+                known.update((p, self._alone(p)) for p in new)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as the bytes of `dtype`."""
-        chunks = [t.split() if t else [] for t in texts]
-        if unseen := set(chain.from_iterable(chunks)).difference(self.known):
-            before = len(self.known)
+        cut = [self._cut(t) for t in texts]
+        seen = set(chain.from_iterable(cut))
+        if len(self.known) + len(seen) > CACHE_WORDS:
+            self.known.clear()
+        if unseen := seen.difference(self.known):
             self._learn(unseen)
-            if len(self.known) < before:  # the memory was cleared: words seen before are unseen again
-                self._learn(set(chain.from_iterable(chunks)).difference(self.known))
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return [b"".join(map(get, c)) for c in cut]
 
 
 @functools.cache
