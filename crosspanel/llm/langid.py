@@ -78,7 +78,7 @@ def _ngrams(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
     wide = codes.astype(np.uint64)
     for n in ORDERS:
         h, letter = np.full(len(codes), n, np.uint64), np.zeros(len(codes), bool)
-        for i in range(n):
+        for i in range(min(n, len(codes))):
             h[: len(codes) - i] = (h[: len(codes) - i] ^ wide[i:]) * _MIX
             letter[: len(codes) - i] |= codes[i:] != 32
         yield n, h ^ (h >> np.uint64(29)), own & letter & (left >= n)

@@ -6,7 +6,8 @@ share of its words, or fewer than a number of them, is rejected as depleted.
 
 Copies and near copies of a document are no other documents: each document has a sketch for every line, the least hash among its
 other lines, and a line with counts c per sketch counts as (sum c)^2 / sum c^2 distinct documents. Boilerplate meets ever other lines; the
-lines of a copied document always meet the same ones, however many copies there are.
+lines of a copied document always meet the same ones, however many copies there are. (Documents that share most of their lines are near copies to
+this count, also where the lines are boilerplate; near-dedup is what reduces them.)
 
 Per host the limit is the larger of `least_docs` and `share` of the host's documents (rows).
 

@@ -100,7 +100,7 @@ def _compare(key: tuple[int, int, int], rows: dict[str, np.ndarray], threshold:
         own = (near[a, first].astype(np.int64) * MOST_PIVOTS + np.where(rest.any(axis=1), near[a, second], near[a, first])) == pair
         found_a.append(rows["id"][a[own]])
         found_b.append(rows["id"][b[own]])
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return np.concatenate([*found_a, rows["id"][:0]]), np.concatenate([*found_b, rows["id"][:0]])
 
 
 def candidate_pairs(described: DataFrame, n_near: int, threshold: float) -> DataFrame:
