@@ -290,7 +290,7 @@ def survivors(spark, sf_dir):
     scores = gate.score_signals(signals_long(spark, sf_dir), 3, min_stocks=MIN_STOCKS).where(F.abs("is_tstat") >= 0.5)
     return rounded(gate.survivor_table(scores, ("signal_id", "is_ic", "turnover")), "is_ic", "turnover")
 
-_FULL = f"full_cells AS (SELECT date, symbol FROM long WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) = {len(SIGNALS)}), c AS (SELECT signal_id, date, symbol, value FROM long JOIN full_cells USING (date, symbol)), pairs AS (SELECT a.signal_id AS a, b.signal_id AS b, corr(a.value, b.value) AS r FROM c a JOIN c b ON a.date = b.date AND a.symbol = b.symbol AND a.signal_id < b.signal_id GROUP BY 1, 2)"
+_FULL = f"full_cells AS (SELECT date, symbol FROM long WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) = {len(SIGNALS)}), fc AS (SELECT signal_id, date, symbol, value FROM long JOIN full_cells USING (date, symbol)), pairs AS (SELECT a.signal_id AS a, b.signal_id AS b, corr(a.value, b.value) AS r FROM fc a JOIN fc b ON a.date = b.date AND a.symbol = b.symbol AND a.signal_id < b.signal_id GROUP BY 1, 2)"
 
 @query("a17_pairwise_rho", f"{LONG}, {_FULL} SELECT {q6('avg(r)')} AS rho, {len(SIGNALS)}::BIGINT AS n FROM pairs")
 def pairwise_rho(spark, sf_dir):
