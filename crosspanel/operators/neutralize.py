@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crosssection import cs_rank, cs_zscore, group_demean
 from ..functions.timeseries import by_time, ts_returns, ts_std
+from ..shipping import ship
 from ..sources.readers import fields
 
 #: Trading data, which is no characteristic.
@@ -48,6 +49,7 @@ def characteristic_neutralize(df: DataFrame, signal: str, characteristics: list[
             out[have] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
         return pd.DataFrame({"date": rows["date"], "symbol": rows["symbol"], "value": out})
 
+    ship(df.sparkSession)
     found = ranks.groupBy("date").applyInPandas(residual, "date date, symbol bigint, value double")
     return found.withColumn("value", F.nullif("value", F.lit(float("nan"))))
 

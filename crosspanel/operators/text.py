@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import WINDOWS
+from ..shipping import ship
 
 # Short names that stand for operators, and the window that an operator has where none is given.
 ALIASES = {"rank": "cs_rank", "zscore": "cs_zscore", "delta": "ts_delta", "std": "ts_std", "mean": "ts_mean", "abs": "abs_val", "log": "log_abs", "div": "safe_div"}
@@ -57,6 +58,7 @@ def _curry(expr: pd.Series) -> pd.Series:
 
 def curry_windows(expr: Column) -> Column:
     """Nested calls need a balanced scan, which no built-in function makes; texts go through Arrow in batches."""
+    ship(SparkSession.active())
     return F.pandas_udf(_curry, "string")(expr)
 
 
