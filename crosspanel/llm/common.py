@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The characters that part words, as they stand in a regular expression.
 SPACES = r"\x20\x09-\x0D"
 _own_scratch: list[str] = []
@@ -37,8 +39,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: send Python few rows at a time, unless the session says otherwise."""
+def ready_python(spark: SparkSession) -> None:
+    """Send the package to the executors. Texts can be long: hand Python few rows at a time, unless the session says otherwise."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

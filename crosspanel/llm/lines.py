@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small_batches
+from .common import fresh, materialize, ready_python
 
 WINDOW = 5
 # Fixed values of the base rules.
@@ -93,7 +93,7 @@ MEASURED = "doc_id bigint, content bigint, host bigint, n_words bigint, word_cha
 
 def measured(docs: DataFrame) -> DataFrame:
     """The MEASURED columns of every row, written to the shared folder; texts are read once and not moved. content names equal (text, source)."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ready_python
 from .graph import connected_components
 
 LEAST_PIVOTS, MOST_PIVOTS = 256, 8192
@@ -60,6 +60,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def describe(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """id, code (8-bit components), scale, near (the nearest pivots in order), computed in blocks of rows."""
+    ready_python(vectors.sparkSession)
     shared, k = vectors.sparkSession.sparkContext.broadcast(pivots), min(NEAREST, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

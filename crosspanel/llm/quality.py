@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, small_batches, uniform
+from .common import held_out, materialize, ready_python, uniform
 
 STATS = (
     "n_words", "n_chars", "n_lines", "mean_word", "unique_words", "dup_lines", "alpha", "digits", "upper", "punctuation",
@@ -74,7 +74,7 @@ def statistics(text: bytes | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and one double column per statistic, named s0, s1, ..."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), *(f"s{i} double" for i in range(len(STATS)))])
 

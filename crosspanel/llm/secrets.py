@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small_batches
+from .common import fresh, materialize, ready_python
 
 # The patterns of the three kinds and the lengths they need.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -119,7 +119,7 @@ def _scan(text: bytes | None) -> tuple[list[dict], list[dict]]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, candidates for every row, written to the shared folder; the texts are read once and not moved."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     schema = f"doc_id bigint, text_hash bigint, {SCANNED}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

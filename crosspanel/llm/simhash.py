@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small_batches
+from .common import fresh, materialize, ready_python
 from .graph import connected_components
 
 BITS = 64
@@ -55,7 +55,7 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a signed long), written to the shared folder."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

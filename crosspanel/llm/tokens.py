@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import scratch_path, ready_python
 
 MANIFEST = "part int, n_docs bigint, n_tokens bigint"
 #: Most words that a Python worker remembers.
@@ -131,7 +131,7 @@ def _whole_file(fs: pafs.FileSystem, path: str) -> Iterator[pa.NativeFile]:
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Encode `text` of every row and write it in ascending doc_id order. Other columns are ignored."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready_python(spark)
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, n_docs, n_tokens = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
@@ -167,6 +167,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
 
 def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian uint32), and on request the ids."""
+    ready_python(spark)
 
     def read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(out_dir)
