@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, uniform
+from .common import held_out, ready_python, uniform
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -135,8 +135,8 @@ class LanguageFilter:
         return out
 
 
-def train(docs: DataFrame, per_lang: int = 1500, least_share: float = 2e-5) -> LanguageFilter:
-    small_batches(docs.sparkSession)
+def train(docs: DataFrame, per_lang: int = 1500, least_share: float = 3e-4) -> LanguageFilter:
+    ready_python(docs.sparkSession)
     counts = ngram_counts(sample(docs, per_lang)).persist()
     try:
         total = counts.groupBy("lang", "n").agg(F.sum("count").alias("total"))
@@ -180,7 +180,7 @@ def _decide(model: LanguageFilter, texts: list[bytes]) -> tuple[list[str], np.nd
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """doc_id, lang_pred, score. The filters are broadcast; their size is bounded (see train)."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
