@@ -5,8 +5,9 @@ the best score of the position. Scores are the model file's own, so the segmenta
 scores. (The public model at hand was trained for merges; those are another rule and give other pieces. Here the file's pieces and scores are used as a
 unigram model.) A character that no piece covers alone may become its bytes, at the penalty that unigram models use.
 
-No piece of such models goes from a character on to a space mark, so a text's best segmentation is that of its words, and
-a worker remembers words. Where a model has pieces across words, texts are segmented whole.
+No piece of such models goes from a character on to a space mark, or from a letter to a character that is none or back, so a text's best
+segmentation is that of its stretches between such places, and a worker remembers stretches. Both are read off the model's pieces; where a model has pieces across such places,
+stretches are longer, up to whole texts.
 
 Decoding joins pieces and bytes and gives back the text exactly; the space mark itself, where a text has it, is encoded by its bytes.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ready_python
 
 MARK = "▁"
-#: Stands for the space mark where the text itself has it; as no piece holds it, it is encoded by bytes.
-LITERAL = "﷐"
+#: Stands for the space mark where the text itself has it. No text and no piece can hold a lone surrogate, so it is encoded by bytes.
+LITERAL = "\ud800"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 class PieceModel:
@@ -47,7 +49,7 @@ class PieceModel:
         usable = {p: i for i, p in enumerate(self.pieces) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         scores = {i: sp.get_score(i) for i in usable.values()}
         self.prefix = sp.encode("a", out_type=str)[0].startswith(MARK)
-        self.crosses_words = any(re.search(f"[^{MARK}]{MARK}", p) for p in usable)
+        self.stretches = self._stretches(usable)
         self.penalty = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for p, i in usable.items():
@@ -60,34 +62,50 @@ class PieceModel:
         self.raw = raw
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _stretches(pieces: dict[str, int]):
+        """Cuts a text where no piece can lie across; None where pieces go across words."""
+        if any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.DOTALL) for p in pieces):
+            return None
+        odd = "".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))  # like a raised 2
+        letter, other = f"[^\\W\\d_{odd}]", f"(?![{MARK}\n])[\\W\\d_{odd}]"
+        if any(re.search(f"{letter}{other}|{other}{letter}", p) for p in pieces):
+            return re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
+        return re.compile(f"{MARK}*{letter}+|{MARK}*(?:{other})+|{MARK}+|\n").findall
+
     def segment(self, s: str) -> list[int]:
         """Single-pass Viterbi: ids of the best pieces of s, unknown characters as bytes."""
         n = len(s)
-        best, back = [0.0] + [-1e300] * n, [(0, -1)] * (n + 1)
-        alone, penalty, done = self.alone, self.penalty, 0
+        best, length_to, piece_to = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
+        alone, penalty = self.alone, self.penalty
+        unknown = [i for i, c in enumerate(s) if c not in alone]
+        at = 0  # of the unknown characters that are behind
         for end, (length, piece, score) in self.automaton.iter(s):
+            while at < len(unknown) and unknown[at] <= end:
+                self._relax_unknown(unknown[at] + 1, best, length_to, piece_to, penalty)
+                at += 1
             end += 1
-            while done < end:  # single characters without a piece, up to this position
-                done += 1
-                if s[done - 1] not in alone and best[done - 1] + penalty > best[done]:
-                    best[done], back[done] = best[done - 1] + penalty, (done - 1, -1)
-            start = end - length
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, (start, piece)
-        while done < n:
-            done += 1
-            if s[done - 1] not in alone and best[done - 1] + penalty > best[done]:
-                best[done], back[done] = best[done - 1] + penalty, (done - 1, -1)
-        out, at = [], n
-        while at:
-            start, piece = back[at]
+            reached = best[end - length] + score
+            if reached > best[end]:
+                best[end], length_to[end], piece_to[end] = reached, length, piece
+        for i in unknown[at:]:
+            self._relax_unknown(i + 1, best, length_to, piece_to, penalty)
+        out, end = [], n
+        while end:
+            length, piece = length_to[end], piece_to[end]
+            end -= length
             if piece >= 0:
                 out.append(piece)
             else:
-                raw = s[start].replace(LITERAL, MARK).encode("utf-8", "surrogatepass")
+                raw = s[end].replace(LITERAL, MARK).encode("utf-8", "surrogatepass")
                 out.extend(reversed([self.bytes[b] for b in raw]) if self.bytes else [self.unknown])
-            at = start
-        return out[::-1]
+        out.reverse()
+        return out
+
+    @staticmethod
+    def _relax_unknown(end: int, best: list[float], length_to: list[int], piece_to: list[int], penalty: float) -> None:
+        if best[end - 1] + penalty > best[end]:
+            best[end], length_to[end], piece_to[end] = best[end - 1] + penalty, 1, -1
 
     def words(self, text: str) -> list[str]:
         """Stretches of the text, each segmented by itself."""
@@ -95,22 +113,16 @@ class PieceModel:
             return []
         s = text.replace(MARK, LITERAL).replace(" ", MARK)
         s = MARK + s if self.prefix else s
-        if self.crosses_words:
-            return [s]
-        if MARK + MARK in s or "\0" in s:
-            return re.findall(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n", s)
-        if "\n" in self.alone or any("\n" in p for p in self.alone):
-            return s.replace(MARK, "\0" + MARK).split("\0")
-        return s.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0")
+        return self.stretches(s) if self.stretches else [s]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
+        """The ids of each text as 32-bit integers."""
         cut = [self.words(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
+        seen = set(chain.from_iterable(cut))
+        if len(self.known) + len(seen) > CACHE_WORDS:
             self.known.clear()
-            new = set(chain.from_iterable(cut))
-        self.known.update((w, np.array(self.segment(w), "<u4").tobytes()) for w in new)
+        segment = self.segment
+        self.known.update([(w, array("i", segment(w)).tobytes()) for w in seen.difference(self.known)])
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -127,7 +139,7 @@ def model(path: str) -> PieceModel:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of every row."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -142,6 +154,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text: the texts that the ids stand for."""
+    ready_python(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
