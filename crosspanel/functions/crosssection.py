@@ -13,9 +13,10 @@ def across(keys: tuple[str, ...] = DATE) -> WindowSpec:
 
 
 def average_rank(x: Column, keys: tuple[str, ...] = DATE) -> Column:
-    """Rank among the present values of a group, ties averaged; one exchange by the keys serves both windows."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    return F.when(x.isNotNull(), F.rank().over(across(keys).orderBy(x.asc_nulls_last())) + (ties - 1) / 2)
+    """Rank among the present values of a group, ties averaged; the peers of a row are a range frame, so one sort serves both windows."""
+    order = across(keys).orderBy(x.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def cs_rank(x: Column, keys: tuple[str, ...] = DATE) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import materialized
+
 CELL = ("date", "symbol")
 
 
@@ -23,13 +22,6 @@ def combine_weighted(signals: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum(have)).alias("value"))
 
 
-def _materialized(df: DataFrame) -> DataFrame:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="combine-")
-    path = f"{base.rstrip('/')}/combine-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fit_orthogonal(signals: DataFrame, weights: dict[str, float]) -> list[tuple[str, float | None]]:
     """(signal_id, beta) in order of absolute weight: each signal's slope on the running mean of the residuals before it; None for the first.
 
@@ -38,7 +30,7 @@ def fit_orthogonal(signals: DataFrame, weights: dict[str, float]) -> list[tuple[
     """
     order = sorted(weights, key=lambda i: (-abs(weights[i]), i))
     wide = signals.where(F.col("signal_id").isin(order)).groupBy(*CELL).pivot("signal_id", order).agg(F.first("value"))
-    wide = _materialized(wide.select(*CELL, *[F.col(f"`{i}`").alias(f"s{k}") for k, i in enumerate(order)]))
+    wide = materialized(wide.select(*CELL, *[F.col(f"`{i}`").alias(f"s{k}") for k, i in enumerate(order)]), "combine")
     betas: list[tuple[str, float | None]] = []
     for k, i in enumerate(order):
         if k == 0:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.timeseries import by_time, so_far
 from ..operators.universe import forward_returns
 from ..sources.readers import densify
+from ..sources.writers import materialized
+from ..sources.writers import scratch_path as scratch  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,11 +52,6 @@ def q6(sql: str) -> str:
     return f"(round(({sql}) + {OFF_EDGE}, 6) + 0.0)"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panel-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def weekly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
@@ -129,11 +124,11 @@ LONG = PANEL_W + ", long AS (" + " UNION ALL ".join(_ONE.format(k, s) for k, (_,
 
 
 def signals_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signal_id, date, t, symbol, market_cap, forward_returns, value of SIGNALS."""
+    """signal_id, date, t, symbol, market_cap, forward_returns, value of SIGNALS, evaluated once."""
     from ..plans.evaluate import evaluate_signals
 
     keep = ("date", "t", "symbol", "market_cap", "forward_returns")
-    return evaluate_signals(panel_w(spark, sf_dir), {k: f for k, (f, _) in SIGNALS.items()}, keep).withColumn("value", F.round("value", 12))
+    return materialized(evaluate_signals(panel_w(spark, sf_dir), {k: f for k, (f, _) in SIGNALS.items()}, keep).withColumn("value", F.round("value", 12)), "signals")
 
 
 def ic_sql(rows: str, by: str = "date", least: int = MIN_STOCKS) -> str:

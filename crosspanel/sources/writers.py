@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +18,19 @@ CATALOGUE = T.StructType(
 )
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in spark.checkpoint.dir, the folder that driver and executors share; where it is unset, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crosspanel-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back: what several outputs share is computed once, and lost executors lose none of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_panel(panel: DataFrame, path: str) -> None:
     """One long table by year, so that splits prune; a year's rows are gathered so that files stay few."""
     panel.withColumn("year", F.year("date")).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
