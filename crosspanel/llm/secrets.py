@@ -161,7 +161,7 @@ def find_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
 def redact(docs: DataFrame, fdr: float = 0.05, mark: str = "<secret>") -> DataFrame:
     """docs with every secret span replaced by `mark`; overlapping spans become one mark. All rows and columns stay, n_chars follows the text.
 
-    Only rows that have spans are joined and rebuilt; the others pass with their texts where they are.
+    The join is by id and hash of the text, so that texts are dealt out evenly whatever the ids; texts without a span stay as they are.
     """
     spans = find_secrets(docs, fdr).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
     key, have = fresh(docs, "text_hash"), fresh(docs, "secret_spans")

@@ -38,3 +38,34 @@ def test_stages_take_effect(spark):
         got[r["doc_id"]] += 1
     assert got == after
     assert corpus_pipeline.run(spark, SF).count() == sum(after.values())
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls everywhere, empty and long texts, repeats, clashing column names; and no rows at all."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, content string, text_hash string, fp int, row_at int, row_size int, mix_at int, size int, spans string, kept string"
+    extra = ("c", "h", 1, 2, 3, 4, 5, "s", "k")
+    rows = [
+        (1, words, "en", "a", 9, *extra),
+        (1, words, "en", "a", 9, *extra),
+        (2, words + " secret: hunter2hunter2", None, None, None, *extra),
+        (None, "other " + words[::-1], "en", "a", 9, *([None] * 9)),
+        (None, None, None, None, None, *extra),
+        (3, "", "en", "b", 0, *extra),
+        (4, " ".join(f"w{i}" for i in range(40_000)), "en", "b", 1, *extra),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, SF), name)
+        sizes.append(docs.count())
+        if name == "secret_scans":
+            got = {r["doc_id"]: r for r in docs.collect()}
+            assert got[2]["text"].endswith("<secret>") and got[2]["n_chars"] is None or got[2]["n_chars"] == len(got[2]["text"])
+            assert got[1]["kept"] == "k" and got[1]["size"] == 5
+        assert name == "piece_encoding" or docs.columns == [f.split()[0] for f in schema.split(", ")]
+    assert sizes[:3] == [5, 4, 4]
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, empty, SF), name)
+        assert empty.count() == 0
