@@ -4,15 +4,15 @@ Lines are normalised (lower case, digits as 0, white space as one space), hashed
 each line are counted per host. Lines above the limit would be removed, and a document that keeps less than a
 share of its words, or fewer than a number of them, is rejected as depleted.
 
-Copies and near copies of a document are no other documents: each document has a sketch for every line, the least hash among its
-other lines, and a line with counts c per sketch counts as (sum c)^2 / sum c^2 distinct documents. Boilerplate meets ever other lines; the
-lines of a copied document always meet the same ones, however many copies there are. (Documents that share most of their lines are near copies to
-this count, also where the lines are boilerplate; near-dedup is what reduces them.)
+Copies and near copies of a document are no other documents. Distinct documents are counted exactly, twice: first by a hash of the whole normalised
+document; then, for the lines above the limit only, documents with NEAR or more of their words in such lines count once for each least line of that kind,
+all others for themselves. So lines that stand together keep their count as long as the pages have words of their own, while the
+lines of one document with many near copies don't become frequent. (Pages with more than NEAR of shared words are near copies to this count.)
 
 Per host the limit is the larger of `least_docs` and `share` of the host's documents (rows).
 
 Defined cases: a null text has no words and fails the base rules; a null source is a host of its own; lines without a word are not
-counted; a document of one line has sketch 0; equal rows share their verdict; empty tables give empty results; only doc_id, text and
+counted; equal rows share their verdict; empty tables give empty results; only doc_id, text and
 source are read.
 """
 
@@ -33,6 +33,8 @@ WINDOW = 5
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Share of its words in frequent lines from which on a document is a near copy to the count.
+NEAR = 0.95
 _digits = bytes.maketrans(b"123456789", b"000000000")
 _repeat = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,11 +67,11 @@ def normalised(line: bytes) -> bytes:
 
 
 def measure(raw: bytes | None, host: bytes) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, keys and words of the distinct lines, the two least line hashes."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, keys and words of the distinct lines, for each the hash of the whole document."""
     raw = raw or b""
     text, words, lines = raw.decode(), raw.split(), raw.split(b"\n")
     seen: set[bytes] = set()
-    dup, counted, own = 0, {}, {}
+    dup, counted, own, whole = 0, {}, {}, xxhash.xxh64()
     for line in lines:
         n = len(line.split())
         if not n:
@@ -78,17 +80,15 @@ def measure(raw: bytes | None, host: bytes) -> tuple:
         seen.add(line)
         key = normalised(line)
         counted[key] = counted.get(key, 0) + n
+        whole.update(key + b"\n")
     digest = xxhash.xxh64_intdigest
     for key in counted:
         own[digest(host + b"\0" + key) - (1 << 63)] = counted[key]
-    least = sorted(digest(k, 1) - (1 << 63) for k in counted)[:2]
-    firsts = {digest(host + b"\0" + k) - (1 << 63): digest(k, 1) - (1 << 63) for k in counted}
-    sketches = [next((x for x in least if x != firsts[k]), 0) for k in own]
     chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
-    return len(words), chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words), list(own), list(own.values()), sketches
+    return len(words), chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words), list(own), list(own.values()), [whole.intdigest() - (1 << 63)] * len(own)
 
 
-MEASURED = "doc_id bigint, content bigint, host bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<key:bigint,words:bigint,sketch:bigint>>"
+MEASURED = "doc_id bigint, content bigint, host bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<key:bigint,words:bigint,doc:bigint>>"
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -101,20 +101,28 @@ def measured(docs: DataFrame) -> DataFrame:
             found = [measure(t, h) for t, h in zip(batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).cast(pa.binary()).to_pylist(), strict=True)]
             sizes = np.cumsum([0, *(len(f[5]) for f in found)]).astype(np.int32)
             flat = [pa.array([x for f in found for x in f[i]], pa.int64()) for i in (5, 6, 7)]
-            lines = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(flat, ["key", "words", "sketch"]))
+            lines = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(flat, ["key", "words", "doc"]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([f[i] for f in found], pa.int64()) for i in range(5)), lines], ["doc_id", "content", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text", host).alias("content"), F.xxhash64(host).alias("host"), "text", host.alias("host_name"))
     return materialize(rows.mapInArrow(run, MEASURED), "lines")
 
 
+def _above(seen: DataFrame, limits: DataFrame, least_docs: int) -> DataFrame:
+    """host and key of the lines that seen (host, key, doc) has in more distinct documents than their host's limit."""
+    counts = seen.select("host", "key", "doc").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("distinct_docs"))
+    return counts.where(F.col("distinct_docs") > least_docs).join(limits, "host").where(F.col("distinct_docs") > F.col("limit")).select("host", "key")
+
+
 def frequent_lines(rows: DataFrame, least_docs: int = 200, share: float = 0.01) -> DataFrame:
     """key of the lines whose distinct documents exceed their host's limit."""
     limits = rows.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.lit(share) * F.count(F.lit(1))).alias("limit"))
-    by_sketch = rows.select("host", F.explode("lines").alias("l")).groupBy("host", "l.key", "l.sketch").count()
-    by_line = by_sketch.groupBy("host", "key").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"))
-    above = by_line.where(F.col("n") > least_docs).withColumn("distinct_docs", F.col("n").cast("double") * F.col("n") / F.col("squares"))
-    return above.join(limits, "host").where(F.col("distinct_docs") > F.col("limit")).select("key")
+    lines = rows.select("host", "n_words", F.explode("lines").alias("l")).select("host", "n_words", "l.*")
+    often = materialize(_above(lines, limits, least_docs), "often")
+    held = lines.join(often, ["host", "key"]).groupBy("host", "doc").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("key", "words")).alias("held"))
+    covered = F.aggregate("held", F.lit(0).cast("bigint"), lambda s, x: s + x["words"])
+    near = F.when(covered >= F.lit(NEAR) * F.col("n_words"), F.array_min("held")["key"]).otherwise(F.col("doc"))
+    return _above(held.select("host", near.alias("doc"), F.explode("held.key").alias("key")), limits, least_docs).select("key")
 
 
 def judged(docs: DataFrame, least_docs: int = 200, share: float = 0.01, least_left: float = 0.3) -> DataFrame:

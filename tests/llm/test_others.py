@@ -266,6 +266,17 @@ def test_line_frequency(spark):
     assert lines.judged(df.limit(0)).count() == 0
 
 
+def test_lines_that_stand_together_keep_their_count(spark):
+    rng = random.Random(3)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    header, menu, footer = sentence(40), sentence(20), sentence(40)
+    rows = [(f"{header}\n{menu}\n{sentence(8)}\n{sentence(8)}\n{footer}", "a") for _ in range(300)]
+    rows += [(sentence(40), "a") for _ in range(50)] + [(f"{sentence(20)}\n{sentence(20)}", "b")] * 40
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["kept"], r["n_words"] - r["n_left"]) for r in lines.judged(df, least_docs=20, share=0.5).collect()}
+    assert all(got[i] == (False, 100) for i in range(300)) and all(got[i] == (True, 0) for i in range(300, 390))
+
+
 def unigram(path):
     """The library's own unigram segmentation over the same pieces and scores: the model file with its type set to 1."""
     import sentencepiece
