@@ -9,7 +9,7 @@ document; then, for the lines above the limit only, documents with NEAR or more
 all others for themselves. So lines that stand together keep their count as long as the pages have words of their own, while the
 lines of one document with many near copies don't become frequent. (Pages with more than NEAR of shared words are near copies to this count.)
 
-Per host the limit is the larger of `least_docs` and `share` of the host's documents (rows).
+Per host the limit is `share` of the host's documents (rows), `least_docs` at least, and `most_docs` at most unless `least_docs` is larger.
 
 Defined cases: a null text has no words and fails the base rules; a null source is a host of its own; lines without a word are not
 counted; equal rows share their verdict; empty tables give empty results; only doc_id, text and
@@ -33,6 +33,8 @@ WINDOW = 5
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Limits that act at every host size: from 11 documents at a small host to 201 at a large one.
+LEAST_DOCS, SHARE, MOST_DOCS = 10, 0.01, 200
 #: Share of its words in frequent lines from which on a document is a near copy to the count.
 NEAR = 0.95
 _digits = bytes.maketrans(b"123456789", b"000000000")
@@ -114,9 +116,9 @@ def _above(seen: DataFrame, limits: DataFrame, least_docs: int) -> DataFrame:
     return counts.where(F.col("distinct_docs") > least_docs).join(limits, "host").where(F.col("distinct_docs") > F.col("limit")).select("host", "key")
 
 
-def frequent_lines(rows: DataFrame, least_docs: int = 200, share: float = 0.01) -> DataFrame:
+def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """key of the lines whose distinct documents exceed their host's limit."""
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.lit(share) * F.count(F.lit(1))).alias("limit"))
+    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.least(F.lit(float(most_docs)), F.lit(share) * F.count(F.lit(1)))).alias("limit"))
     lines = rows.select("host", "n_words", F.explode("lines").alias("l")).select("host", "n_words", "l.*")
     often = materialize(_above(lines, limits, least_docs), "often")
     held = lines.join(often, ["host", "key"]).groupBy("host", "doc").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("key", "words")).alias("held"))
@@ -125,10 +127,10 @@ def frequent_lines(rows: DataFrame, least_docs: int = 200, share: float = 0.01)
     return _above(held.select("host", near.alias("doc"), F.explode("held.key").alias("key")), limits, least_docs).select("key")
 
 
-def judged(docs: DataFrame, least_docs: int = 200, share: float = 0.01, least_left: float = 0.3) -> DataFrame:
+def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_left: float = 0.3, most_docs: int = MOST_DOCS) -> DataFrame:
     """The measures of every row, base_failed, n_left (words outside frequent lines) and kept."""
     rows = measured(docs)
-    frequent = materialize(frequent_lines(rows, least_docs, share), "frequent")
+    frequent = materialize(frequent_lines(rows, least_docs, share, most_docs), "frequent")
     lines = rows.select("content", F.explode("lines").alias("l")).select("content", "l.key", "l.words")
     gone = lines.join(frequent, "key").groupBy("content", "key").agg(F.first("words").alias("words")).groupBy("content").agg(F.sum("words").alias("gone"))
     out = rows.drop("lines", "host").join(gone, "content", "left").withColumn("n_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))

@@ -277,6 +277,18 @@ def test_lines_that_stand_together_keep_their_count(spark):
     assert all(got[i] == (False, 100) for i in range(300)) and all(got[i] == (True, 0) for i in range(300, 390))
 
 
+def test_op10_limits_act_at_every_host_size(spark, tmp_path):
+    """The registered query with its own limits on a planted passage: in all pages of a small host, 2 % of one of 1,000, 0.84 % of one of 25,000."""
+    rng = random.Random(4)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage, rows = sentence(60), []
+    for host, n, planted in (("small", 12, 12), ("middle", 1_000, 20), ("large", 25_000, 210), ("rare", 1_000, 9)):
+        rows += [(f"{passage}\n{sentence(12)}" if i < planted else sentence(12), host, i < planted and host != "rare") for i in range(n)]
+    spark.createDataFrame([(i, t, h) for i, (t, h, _) in enumerate(rows)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["kept"] for r in QUERIES["op10_line_rules"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(rows))] == [not planted for *_, planted in rows]
+
+
 def unigram(path):
     """The library's own unigram segmentation over the same pieces and scores: the model file with its type set to 1."""
     import sentencepiece
