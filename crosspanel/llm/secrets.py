@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, plus a battery of randomness tests with length-aware false-discovery control.
 
-Candidates are maximal runs of 20 or more characters of an encoding alphabet. For each, an encoding is inferred (hex,
+Candidates are maximal runs of 20 or more characters of an encoding alphabet, the parts of 20 or more between their / and +, and the
+atoms of 20 or more between / + - and _; a part is listed only where its run isn't, an atom only where its part isn't. For each, an encoding is inferred (hex,
 base32, base62, base64, base64url) and three tests of uniform randomness are made over its alphabet: chi-squared
 uniformity (the number of coinciding pairs, whose mean and variance are exact at any length), the runs test about
 the middle of the alphabet, and the lag-1 serial correlation. Fisher's method combines the three.
@@ -8,7 +9,9 @@ the middle of the alphabet, and the lag-1 serial correlation. Fisher's method co
 Random strings have uniform p-values, ordinary strings have small ones, the smaller the longer they are. So for every encoding
 and length class the corpus itself tells, by Storey's estimate above p = 1/2, how many candidates are random, and the lowest
 threshold is taken at which the share of ordinary strings among those above it is at most `fdr`. The histogram that
-this needs has a fixed number of cells, whatever the corpus.
+this needs has a fixed number of cells, whatever the corpus. The estimate needs many candidates: a class of fewer than SPARSE takes the threshold
+of its encoding, its length class or of all candidates, the first of these with as many; where there is none it is PRIOR, which
+random strings miss about once in twenty times. A class of SPARSE or more without a threshold lists nothing.
 
 Spans are in code points, end exclusive. A random span that overlaps a fixed-pattern span is not listed again.
 Defined cases: a null text counts as empty and has no spans; repeated rows are each scanned; rows keep their other columns out of the way
@@ -21,8 +24,9 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, ready_python
@@ -40,6 +44,7 @@ _hex = re.compile("[0-9a-f]{%d,}" % MIN_HEX)  # a run is taken whole, so a faili
 _words = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_RANDOM = 20
 _run = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RANDOM)
+_part, _atom = re.compile("[A-Za-z0-9_-]{%d,}" % MIN_RANDOM), re.compile("[A-Za-z0-9]{%d,}" % MIN_RANDOM)
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
     "hex": _DIGITS + "abcdef",
@@ -53,6 +58,8 @@ ALPHABETS = {
 _ranks = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS.items()}
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 CELLS = 50
+#: Candidates that a threshold of its own needs, and the threshold where even all candidates are too few.
+SPARSE, PRIOR = 1_000, 0.05
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -104,7 +111,19 @@ def length_class(n: int) -> int:
     return sum(n >= x for x in (24, 32, 48, 64, 128))
 
 
-SCANNED = f"base array<{SPAN}>, candidates array<struct<start:bigint,end:bigint,class:string,p:double>>"
+_ONE = "start:bigint,end:bigint,class:string,p:double"
+SCANNED = f"base array<{SPAN}>, candidates array<struct<{_ONE},parts:array<struct<{_ONE},atoms:array<struct<{_ONE}>>>>>>"
+_one = [("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("p", pa.float64())]
+_TYPES = (
+    pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])),
+    pa.list_(pa.struct([*_one, ("parts", pa.list_(pa.struct([*_one, ("atoms", pa.list_(pa.struct(_one)))])))])),
+)
+
+
+def _candidate(s: str, start: int, end: int, base: list[tuple[int, int, int]]) -> dict:
+    """The candidate s, without a class where it has no encoding or overlaps a fixed pattern."""
+    name = None if any(a < end and start < b for a, _, b in base) else infer_encoding(s)
+    return {"start": start, "end": end, "class": name and f"{name}:{length_class(len(s))}", "p": randomness(s, name) if name else None}
 
 
 def _scan(text: bytes | None) -> tuple[list[dict], list[dict]]:
@@ -112,8 +131,17 @@ def _scan(text: bytes | None) -> tuple[list[dict], list[dict]]:
     text = raw.decode()
     base, candidates = base_spans(text, raw), []
     for m in _run.finditer(text):
-        if (name := infer_encoding(s := m[0].rstrip("="))) and not any(a < m.end() and m.start() < b for a, _, b in base):
-            candidates.append({"start": m.start(), "end": m.end(), "class": f"{name}:{length_class(len(s))}", "p": randomness(s, name)})
+        s, at, parts = m[0].rstrip("="), m.start(), []
+        ends = lambda i: m.end() if i == len(s) else at + i  # noqa: B023, E731
+        for part in _part.finditer(s):
+            atoms = [_candidate(x[0], at + part.start() + x.start(), ends(part.start() + x.end()), base) for x in _atom.finditer(part[0]) if x[0] != part[0]]
+            atoms = [x for x in atoms if x["class"]]
+            found = _candidate(part[0], at + part.start(), ends(part.end()), base) if part[0] != s else {"start": None, "end": None, "class": None, "p": None}
+            if found["class"] or atoms:
+                parts.append(found | {"atoms": atoms})
+        run = _candidate(s, at, m.end(), base)
+        if run["class"] or parts:
+            candidates.append(run | {"parts": parts})
     return [{"start": a, "kind": k, "end": b} for a, k, b in base], candidates
 
 
@@ -123,39 +151,60 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = f"doc_id bigint, text_hash bigint, {SCANNED}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
         for batch in batches:
             found = [_scan(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            if types is None:
-                span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-                types = pa.list_(span), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("p", pa.float64())]))
-            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_hash", "base", "candidates"])
 
     return materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema), "secrets")
 
 
-def thresholds(scanned: DataFrame, fdr: float = 0.05) -> DataFrame:
-    """class, least: per encoding and length class, the lowest p from which on at most `fdr` of the candidates are ordinary.
+def _plain(c: Column) -> Column:
+    return F.struct(*[c[name].alias(name) for name in ("start", "end", "class", "p")])
 
-    Storey's estimate takes twice the candidates above p = 1/2 as the number of random ones. Classes without an acceptable threshold are left out.
-    """
+
+def _least(counts: np.ndarray, fdr: float) -> float | None:
+    """The lowest p from which on at most `fdr` of the candidates are ordinary; twice those above p = 1/2 are taken as random ones (Storey)."""
+    above = counts[::-1].cumsum()[::-1]
+    random = 2.0 * counts[CELLS // 2 :].sum() * (1.0 - np.arange(CELLS) / CELLS)
+    fit = np.flatnonzero((counts > 0) & (above - random <= fdr * above))
+    return float(fit[0]) / CELLS if len(fit) else None
+
+
+def chosen(cells: dict[str, np.ndarray], fdr: float = 0.05) -> dict[str, float]:
+    """The threshold of every class that has one, from its histogram or, where that is sparse, from a pooled one."""
+    found = {}
+    for name, counts in cells.items():
+        if counts.sum() >= SPARSE:
+            if (least := _least(counts, fdr)) is not None:
+                found[name] = least
+            continue
+        encoding, length = name.split(":")
+        pools = (sum(c for k, c in cells.items() if same(k)) for same in (lambda k: k.split(":")[0] == encoding, lambda k: k.split(":")[1] == length, lambda k: True))  # noqa: B023
+        found[name] = next((x for pool in pools if pool.sum() >= SPARSE and (x := _least(pool, fdr)) is not None), PRIOR)
+    return found
+
+
+def thresholds(scanned: DataFrame, fdr: float = 0.05) -> dict[str, float]:
+    """The least p to list of every encoding and length class; at most 42 classes of CELLS cells come to the driver."""
     cell = F.least(F.floor(F.col("c.p") * CELLS), F.lit(CELLS - 1)).cast("int")
-    cells = scanned.select(F.explode("candidates").alias("c")).groupBy(F.col("c.class").alias("class"), cell.alias("cell")).count()
-    above = Window.partitionBy("class").orderBy(F.desc("cell"))
-    half = F.sum(F.when(F.col("cell") >= CELLS // 2, F.col("count")).otherwise(0)).over(Window.partitionBy("class"))
-    found = cells.withColumn("random", F.lit(2.0) * half * (F.lit(1.0) - F.col("cell") / CELLS)).withColumn("all", F.sum("count").over(above))
-    return found.where(F.col("all") - F.col("random") <= F.lit(fdr) * F.col("all")).groupBy("class").agg((F.min("cell") / CELLS).alias("least"))
+    every = F.transform("candidates", lambda c: F.concat(F.array(_plain(c)), F.flatten(F.transform(c["parts"], lambda q: F.concat(F.array(_plain(q)), q["atoms"])))))
+    rows = scanned.select(F.explode(F.flatten(every)).alias("c")).where("c.class IS NOT NULL").groupBy(F.col("c.class").alias("class"), cell.alias("cell")).count().collect()
+    cells: dict[str, np.ndarray] = {}
+    for name, i, n in rows:
+        cells.setdefault(name, np.zeros(CELLS, np.int64))[i] = n
+    return chosen(cells, fdr)
 
 
 def find_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """doc_id, text_hash, base (fixed patterns) and spans (those and the random ones), sorted by start, then kind."""
     scanned = scan(docs)
-    # at most one entry for each encoding and length class
-    least = thresholds(scanned, fdr).agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("least"))
-    random = F.filter("candidates", lambda c: c["p"] >= F.coalesce(F.try_element_at(F.col("least"), c["class"]), F.lit(2.0)))
-    random = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
-    return scanned.join(F.broadcast(least), F.lit(True)).select("doc_id", "text_hash", "base", F.sort_array(F.concat("base", random)).alias("spans"))
+    least = F.create_map(F.lit(""), F.lit(2.0), *[F.lit(x) for pair in thresholds(scanned, fdr).items() for x in pair])
+    listed = lambda c: F.coalesce(c["p"] >= F.try_element_at(least, c["class"]), F.lit(False))
+    inner = lambda q: F.when(listed(q), F.array(_plain(q))).otherwise(F.filter(q["atoms"], listed))
+    outer = lambda c: F.when(listed(c), F.array(_plain(c))).otherwise(F.flatten(F.transform(c["parts"], inner)))
+    random = F.transform(F.flatten(F.transform("candidates", outer)), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
+    return scanned.select("doc_id", "text_hash", "base", F.sort_array(F.concat("base", random)).alias("spans"))
 
 
 def redact(docs: DataFrame, fdr: float = 0.05, mark: str = "<secret>") -> DataFrame:

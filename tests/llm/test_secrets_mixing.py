@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from crosspanel.llm import mixing, secrets
@@ -40,6 +41,37 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert found[500] == found[501] == []
 
 
+def test_rare_kinds_and_pieces_of_a_run_are_found(spark):
+    """One secret per encoding and length class, one in a URL path and one after a name; ordinary paths and names are left alone."""
+    rng, rows = random.Random(5), []
+    key = lambda e, n: "".join(rng.choice(secrets.ALPHABETS[e]) for _ in range(n))
+    for e in secrets.ALPHABETS:
+        for n in (20, 24, 32, 48, 64, 128):
+            while secrets.infer_encoding(k := key(e, n)) != e or secrets.randomness(k, e) < 0.1:
+                pass
+            rows.append(f"see {k} end")
+    while secrets.randomness(k := key("base62", 40), "base62") < 0.1 or secrets.infer_encoding(k) != "base62":
+        pass
+    rows += [f"https://host.example/static/assets/files/{k}/index.html", f"backup_of_the_main_service_{k}"]
+    ordinary = ["/usr/local/lib/python3.13/site-packages/numpy/core", "some-article-title-about-things-2021", "page1page1page1pagepagePagepage1 section_section_section_1"]
+    df = spark.createDataFrame(list(enumerate(rows + ordinary)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df).collect()}
+    for i in range(42):
+        assert [(s["start"], s["end"]) for s in found[i]] == [(4, len(rows[i]) - 4)]
+    for i in (42, 43):
+        assert any(rows[i][s["start"] : s["end"]].endswith(k) or k in rows[i][s["start"] : s["end"]] for s in found[i])
+    assert not any(found[i] for i in range(44, 47))
+    marked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert all("<secret>" in marked[i] for i in range(44)) and not any(k in t for t in marked.values())
+
+
+def test_sparse_classes_take_pooled_thresholds():
+    uniform, low = np.full(secrets.CELLS, 40), np.eye(1, secrets.CELLS, dtype=int)[0]
+    got = secrets.chosen({"hex:1": uniform + 2000 * low, "hex:2": low, "base32:1": low, "base62:5": low, "base64:4": 3000 * low})
+    assert got["hex:1"] == got["hex:2"] == got["base32:1"] > 0 and got["base62:5"] > 0 and "base64:4" not in got
+    assert secrets.chosen({"hex:1": low}) == {"hex:1": secrets.PRIOR}
+
+
 def test_redact(spark):
     rows = [(1, "a password: hunter2hunter2 z", 0), (2, None, 1), (None, "x 0123456789abcdef0123456789abcdef", 2), (3, "clean", 3), (3, "clean", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
