@@ -1,7 +1,7 @@
 """Quality rules: cross-document line frequency, beside per-document rules.
 
 Lines are normalised (lower case, digits as 0, white space as one space), hashed together with their host, and the distinct documents of
-each line are counted per host. Lines above the limit would be removed, and a document that keeps less than a
+each line are counted per host. Lines above the limit are removed (`without_lines`), and a document that keeps less than a
 share of its words, or fewer than a number of them, is rejected as depleted.
 
 Copies and near copies of a document are no other documents. Distinct documents are counted exactly, twice: first by a hash of the whole normalised
@@ -129,10 +129,15 @@ def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float =
 
 def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_left: float = 0.3, most_docs: int = MOST_DOCS) -> DataFrame:
     """The measures of every row, base_failed, n_left (words outside frequent lines) and kept."""
+    return _verdicts(docs, least_docs, share, least_left, most_docs).drop("gone_keys")
+
+
+def _verdicts(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_left: float = 0.3, most_docs: int = MOST_DOCS) -> DataFrame:
+    """The columns of judged, and gone_keys: the frequent lines of the text, null where it has none."""
     rows = measured(docs)
     frequent = materialize(frequent_lines(rows, least_docs, share, most_docs), "frequent")
     lines = rows.select("content", F.explode("lines").alias("l")).select("content", "l.key", "l.words")
-    gone = lines.join(frequent, "key").groupBy("content", "key").agg(F.first("words").alias("words")).groupBy("content").agg(F.sum("words").alias("gone"))
+    gone = lines.join(frequent, "key").groupBy("content", "key").agg(F.first("words").alias("words")).groupBy("content").agg(F.sum("words").alias("gone"), F.collect_list("key").alias("gone_keys"))
     out = rows.drop("lines", "host").join(gone, "content", "left").withColumn("n_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     depleted = (F.col("n_left") < F.col("n_words")) & ((F.col("n_left") < MIN_WORDS) | (F.col("n_left") < least_left * F.col("n_words")))
@@ -145,3 +150,31 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     name = fresh(docs, "content")
     host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     return docs.withColumn(name, F.xxhash64("text", host)).join(rejected.withColumnRenamed("content", name), name, "left_anti").select(*docs.columns)
+
+
+def _cut(text: bytes, host: bytes, gone: set[int]) -> bytes:
+    return b"\n".join(x for x in text.split(b"\n") if not x.split() or xxhash.xxh64_intdigest(host + b"\0" + normalised(x)) - (1 << 63) not in gone)
+
+
+def without_lines(docs: DataFrame, **limits) -> DataFrame:
+    """The rows that keep_good keeps, their texts without the frequent lines that judged leaves out of n_left; n_chars follows the text.
+
+    Lines without a word stay. Texts are joined against the contents that change only, and only those go through Python.
+    """
+    found = _verdicts(docs, **limits).where(~F.col("kept") | F.col("gone_keys").isNotNull())
+    found = materialize(found.groupBy("content").agg(F.first("kept").alias("kept"), F.first("gone_keys").alias("gone_keys")), "cut")
+    key, keys, host_name, ok = (fresh(docs, x) for x in ("content", "gone_keys", "host_name", "kept"))
+    host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    found = found.select(F.col("content").alias(key), F.col("kept").alias(ok), F.col("gone_keys").alias(keys))
+    joined = docs.withColumn(host_name, host).withColumn(key, F.xxhash64("text", F.col(host_name))).join(found, key, "left").where(F.coalesce(F.col(ok), F.lit(True)))
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, host: pa.Array, gone: pa.Array) -> pa.Array:
+        rows = zip(text.cast(pa.binary()).to_pylist(), host.cast(pa.binary()).to_pylist(), gone.to_pylist(), strict=True)
+        return pa.array([None if t is None else _cut(t, h, set(g)).decode() for t, h, g in rows], pa.string())
+
+    changed = F.col(keys).isNotNull()
+    out = joined.withColumn("text", F.when(changed, cut(F.when(changed, F.col("text")), F.col(host_name), F.col(keys))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -289,6 +289,21 @@ def test_op10_limits_act_at_every_host_size(spark, tmp_path):
     assert [got[i] for i in range(len(rows))] == [not planted for *_, planted in rows]
 
 
+def test_frequent_lines_are_removed_from_kept_texts(spark):
+    rng = random.Random(6)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    header, footer, own = sentence(12), sentence(9), [sentence(30) for _ in range(40)]
+    rows = [(f"{header}\n{x}\n\n  {footer.upper()} ", "a", 1) for x in own[:30]] + [(f"{header}\n{own[30]}", "b", 7), (own[31], None, 7), (None, "a", 7)]
+    rows += [(f"{header}\n{sentence(2)}", "a", 1), rows[0], rows[0]]
+    df = spark.createDataFrame([(i, *r, "k") for i, r in enumerate(rows)], "doc_id long, text string, source string, n_chars int, kept string")
+    got = {r["doc_id"]: r for r in lines.without_lines(df, least_docs=20).collect()}
+    left = {r["doc_id"]: r["n_left"] for r in lines.judged(df, least_docs=20).where("kept").collect()}
+    assert got.keys() == left.keys() == {*range(32), 34, 35} and lines.without_lines(df, least_docs=20).columns == df.columns
+    want = [f"{x}\n" for x in own[:30]] + [f"{header}\n{own[30]}", own[31], None, None, f"{own[0]}\n", f"{own[0]}\n"]
+    for i, r in got.items():
+        assert r["text"] == want[i] and r["n_chars"] == (7 if i in (30, 31) else len(want[i])) and len(r["text"].split()) == left[i] and r["kept"] == "k"
+
+
 def unigram(path):
     """The library's own unigram segmentation over the same pieces and scores: the model file with its type set to 1."""
     import sentencepiece
