@@ -168,7 +168,7 @@ def reindex(spark, sf_dir):
 
 # Orders as sparse observations of customers, some on weekends; the grid has a row per customer and Monday.
 _OBS = "SELECT o_orderkey AS seq, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM {orders}"
-_GRID = "SELECT d.date, c.symbol, (c.symbol + month(d.date)) % 7 <> 0 AS member FROM (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS date FROM {orders}) d CROSS JOIN (SELECT DISTINCT o_custkey AS symbol FROM {orders} WHERE o_custkey % 4 = 1) c"
+_GRID = "SELECT d.date, c.symbol, (c.symbol + month(d.date)) % 7 <> 0 AS member FROM (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS date FROM {orders}) d CROSS JOIN (SELECT DISTINCT o_custkey AS symbol FROM {orders}) c"
 _LAST = f"SELECT symbol, date, value FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) AS k FROM ({_OBS.format(orders='orders')})) WHERE k = 1"
 
 
@@ -284,7 +284,7 @@ def lag_quarters(spark, sf_dir):
     return rows.select("symbol", "datadate", *[r6(asof.lag_quarters(F.col("atq"), k)).alias(f"lag{k}") for k in (1, 4)])
 
 
-_QGRID = "SELECT d.date, p.symbol, true AS member FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM {orders}) d CROSS JOIN (SELECT p_partkey AS symbol FROM {part} WHERE p_partkey % 10 = 3) p"
+_QGRID = "SELECT d.date, p.symbol, true AS member FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM {orders}) d CROSS JOIN (SELECT p_partkey AS symbol FROM {part}) p"
 _DAILY = {"f06_to_daily": ("cs_leverage",), "f07_sector_panel": ("sector",), "f08_ratio_panels": ("cs_roa", "cs_sp", "cs_debt_at")}
 
 

@@ -49,18 +49,18 @@ def write_report(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("s14_append_new", f"SELECT count(*) FILTER (id % 3 <> 0) AS n_new, count(*) FILTER (id % 3 = 0) AS n_dup FROM ({_CDB}) WHERE id % 2 = 0")
+@query("s14_append_new", f"SELECT count(*) FILTER (id % 3 <> 0) AS n_new, count(*) FILTER (id % 3 = 0) AS n_dup FROM ({_CDB})")
 def append_new(spark, sf_dir):
     path, cat = scratch(spark, "catalogue"), catalogue(spark, sf_dir)
     cat.where("id % 3 = 0").write.parquet(path)
-    new, dup = writers.append_new(path, cat.where("id % 2 = 0"))
+    new, dup = writers.append_new(path, cat)
     return spark.createDataFrame([(new, dup)], "n_new bigint, n_dup bigint")
 
 
-@query("s14_append_counts", f"SELECT count(*) FILTER (id % 3 <> 0) AS n_new, count(*) FILTER (id % 3 = 0) AS n_dup FROM ({_CDB}) WHERE id % 2 = 0")
+@query("s14_append_counts", f"SELECT count(*) FILTER (id % 3 <> 0) AS n_new, count(*) FILTER (id % 3 = 0) AS n_dup FROM ({_CDB})")
 def append_counts(spark, sf_dir):
     cat = catalogue(spark, sf_dir)
-    return writers.append_counts(cat.where("id % 3 = 0"), cat.where("id % 2 = 0"))
+    return writers.append_counts(cat.where("id % 3 = 0"), cat)
 
 
 @query("s15_evolve_schema", f"SELECT id, NULL::DOUBLE AS is_max_drawdown, NULL::BIGINT AS depth FROM ({_CDB})")

@@ -55,3 +55,20 @@ def test_every_oracle_belongs_to_a_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_grids_and_catalogues_hold_every_id(spark, duck):
+    from crosspanel import queries
+
+    found, one = queries.queries(), lambda sql: duck.execute(sql).fetchone()[0]
+    for name, sql in {
+        "j04_asof_fill": "SELECT count(DISTINCT o_custkey) FROM orders",
+        "f10_ingest_monthly": "SELECT count(DISTINCT o_custkey) FROM orders",
+        "f06_to_daily": "SELECT count(*) FROM part",
+        "f07_sector_panel": "SELECT count(*) FROM part",
+        "f08_ratio_panels": "SELECT count(*) FROM part",
+    }.items():
+        assert found[name](spark, SF).select("symbol").distinct().count() == one(sql), name
+    catalogue = found["s15_evolve_schema"](spark, SF).count()
+    for name in ("s14_append_new", "s14_append_counts"):
+        assert sum(found[name](spark, SF).first()) == catalogue, name
