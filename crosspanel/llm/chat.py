@@ -69,6 +69,13 @@ def _expanded(part: Column, template: ChatTemplate) -> Column:
     return F.when(part["kind"] == "image", image).when(part["kind"] == "audio", audio).otherwise(pages).cast("bigint")
 
 
+def text_part(text: Column) -> Column:
+    """A text as parts: one of kind text."""
+    values = {"kind": F.lit("text"), "text": text}
+    names = [f.split(":")[0] for f in PARTS_TYPE.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    return F.array(F.struct(*[values.get(n, F.lit(None)).alias(n) for n in names])).cast(PARTS_TYPE)
+
+
 def flatten_parts(parts: Column, template: ChatTemplate) -> tuple[Column, Column]:
     """(content, attachments) of an array of PARTS_TYPE. Unknown kinds count as text."""
     media = lambda p: F.coalesce(p["kind"].isin("image", "audio", "document"), F.lit(False))
@@ -81,13 +88,10 @@ def flatten_parts(parts: Column, template: ChatTemplate) -> tuple[Column, Column
 def format_conversations(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """One row per conv_id: formatted, loss_spans (array of start and length in bytes), attachments, n_media_tokens.
 
-    `turns` has conv_id, turn, role and either text (string) or parts (PARTS_TYPE); further columns are ignored.
+    `turns` has conv_id, turn, role and either parts (PARTS_TYPE) or text (a string, taken as one text part); further columns are ignored.
     One exchange by conv_id serves both the offsets and the gathering.
     """
-    if "parts" in turns.columns:
-        content, attachments = flatten_parts(F.col("parts"), template)
-    else:
-        content, attachments = escape(F.col("text"), template), F.array().cast(ATTACHMENT_TYPE)
+    content, attachments = flatten_parts(F.col("parts") if "parts" in turns.columns else text_part(F.col("text")), template)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), attachments.alias("media"))
     head = F.concat(F.lit(template.open), escape_role(F.col("role"), template), F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("piece", F.concat("head", "content", F.lit(template.close)))

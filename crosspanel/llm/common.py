@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +19,8 @@ from ..shipping import ship
 #: The characters that part words, as they stand in a regular expression.
 SPACES = r"\x20\x09-\x0D"
 _own_scratch: list[str] = []
+_made: dict[str, list[str]] = {}
+_hooked: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,30 +28,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own (local runs only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own, which only a local master allows."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="llm-scratch-"))
     return _own_scratch[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if len(_made) == 1 and not _hooked:
+        _hooked.append(atexit.register(_at_exit))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, computes df once, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    path = df._scratch
+    _delete(df.sparkSession, path)
+    _made[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results that still depend on them can't be read afterwards."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_scratch(spark)
 
 
 def ready_python(spark: SparkSession) -> None:
-    """Send the package to the executors. Texts can be long: hand Python few rows at a time, unless the session says otherwise."""
+    """Send the package to the executors."""
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most `rows` rows and about `size` bytes in the given text column, so that memory is bounded where texts are long."""
+    for batch in batches:
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            if i > at and (i - at >= rows or held + n > size):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def share_file(spark: SparkSession, path: str) -> str:
+    """Send a file to the executors; gives the name by which shared_file finds it there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shared_file(name: str) -> str:
+    return SparkFiles.get(name)
+
+
+def small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """A materialized df, marked to be broadcast if it has at most `most` rows (or values, by the weight of a row), else as it is."""
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -59,6 +128,11 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def settle(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A number that depends on all values of a row but those of the columns `without`; rows that differ are told apart by it."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without])))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model learns from: crc32 of the id as text, modulo 4, is 2 (a null id: not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), all in DataFrame operations.
 
 Every step is a minimum per vertex, which aggregates before the shuffle, and a join, which adaptive execution splits where a
-vertex has very many edges. The edges of each round are written to the shared folder.
+vertex has very many edges. The edges of each round are written to the shared folder, those of the round before deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
-        now = materialize(_stars(_stars(now, small=False), small=True), "edges")
+        before, now = now, materialize(_stars(_stars(now, small=False), small=True), "edges")
+        forget(before)
         last, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ready_python, uniform
+from .common import held_out, ready_python, slices, uniform
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -97,7 +97,7 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in slices(batches, 0):
             langs, texts = batch.column(1).to_pylist(), batch.column(0).cast(pa.binary()).to_pylist()
             for lang in set(langs):
                 for codes, starts, _, ends in _pieces([t for t, x in zip(texts, langs, strict=True) if x == lang]):
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             langs, scores = _decide(shared.value, [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 

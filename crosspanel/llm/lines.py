@@ -1,19 +1,16 @@
 """Quality rules: cross-document line frequency, beside per-document rules.
 
 Lines are normalised (lower case, digits as 0, white space as one space), hashed together with their host, and the distinct documents of
-each line are counted per host. Lines above the limit are removed (`without_lines`), and a document that keeps less than a
-share of its words, or fewer than a number of them, is rejected as depleted.
+each line are counted per host, exactly: documents are told apart by a hash of all their normalised lines, so copies of a document count once
+and every other document counts for itself. Lines above the limit are removed (`without_lines`), and a document that keeps less than a
+share of its words, or fewer than a number of them, is rejected as depleted. More rows never lower a line's count.
 
-Copies and near copies of a document are no other documents. Distinct documents are counted exactly, twice: first by a hash of the whole normalised
-document; then, for the lines above the limit only, documents with NEAR or more of their words in such lines count once for each least line of that kind,
-all others for themselves. So lines that stand together keep their count as long as the pages have words of their own, while the
-lines of one document with many near copies don't become frequent. (Pages with more than NEAR of shared words are near copies to this count.)
-
-Per host the limit is `share` of the host's documents (rows), `least_docs` at least, and `most_docs` at most unless `least_docs` is larger.
+Per host the limit is `share` of the host's distinct documents, `least_docs` at least, and `most_docs` at most unless `least_docs` is larger.
+Copies of a document therefore change neither counts nor limits.
 
 Defined cases: a null text has no words and fails the base rules; a null source is a host of its own; lines without a word are not
 counted; equal rows share their verdict; empty tables give empty results; only doc_id, text and
-source are read.
+source are read (and n_chars, where without_lines changes a text).
 """
 
 from __future__ import annotations
@@ -27,16 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ready_python
+from .common import fresh, materialize, ready_python, slices, small
 
 WINDOW = 5
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Limits that act at every host size: from 11 documents at a small host to 201 at a large one.
-LEAST_DOCS, SHARE, MOST_DOCS = 10, 0.01, 200
-#: Share of its words in frequent lines from which on a document is a near copy to the count.
-NEAR = 0.95
+#: Limits that act at every host size: a line may be in 5 documents of a small host, in 200 of a large one.
+LEAST_DOCS, SHARE, MOST_DOCS = 5, 0.01, 200
+#: Rows and keys of the table of texts to change that may be sent to every task.
+SMALL_TABLE = 200_000
 _digits = bytes.maketrans(b"123456789", b"000000000")
 _repeat = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,7 +66,7 @@ def normalised(line: bytes) -> bytes:
 
 
 def measure(raw: bytes | None, host: bytes) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, keys and words of the distinct lines, for each the hash of the whole document."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, keys and words of the distinct lines, the hash of all normalised lines."""
     raw = raw or b""
     text, words, lines = raw.decode(), raw.split(), raw.split(b"\n")
     seen: set[bytes] = set()
@@ -87,44 +84,37 @@ def measure(raw: bytes | None, host: bytes) -> tuple:
     for key in counted:
         own[digest(host + b"\0" + key) - (1 << 63)] = counted[key]
     chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
-    return len(words), chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words), list(own), list(own.values()), [whole.intdigest() - (1 << 63)] * len(own)
+    return len(words), chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words), list(own), list(own.values()), whole.intdigest() - (1 << 63)
 
 
-MEASURED = "doc_id bigint, content bigint, host bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<key:bigint,words:bigint,doc:bigint>>"
+MEASURED = "doc_id bigint, content bigint, host bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, doc bigint, lines array<struct<key:bigint,words:bigint>>"
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """The MEASURED columns of every row, written to the shared folder; texts are read once and not moved. content names equal (text, source)."""
     ready_python(docs.sparkSession)
-    host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    host = _host(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             found = [measure(t, h) for t, h in zip(batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).cast(pa.binary()).to_pylist(), strict=True)]
             sizes = np.cumsum([0, *(len(f[5]) for f in found)]).astype(np.int32)
-            flat = [pa.array([x for f in found for x in f[i]], pa.int64()) for i in (5, 6, 7)]
-            lines = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(flat, ["key", "words", "doc"]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([f[i] for f in found], pa.int64()) for i in range(5)), lines], ["doc_id", "content", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            flat = [pa.array([x for f in found for x in f[i]], pa.int64()) for i in (5, 6)]
+            lines = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(flat, ["key", "words"]))
+            own = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1, 2, 3, 4, 7)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own, lines], ["doc_id", "content", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "doc", "lines"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text", host).alias("content"), F.xxhash64(host).alias("host"), "text", host.alias("host_name"))
     return materialize(rows.mapInArrow(run, MEASURED), "lines")
 
 
-def _above(seen: DataFrame, limits: DataFrame, least_docs: int) -> DataFrame:
-    """host and key of the lines that seen (host, key, doc) has in more distinct documents than their host's limit."""
-    counts = seen.select("host", "key", "doc").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("distinct_docs"))
-    return counts.where(F.col("distinct_docs") > least_docs).join(limits, "host").where(F.col("distinct_docs") > F.col("limit")).select("host", "key")
-
-
 def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """key of the lines whose distinct documents exceed their host's limit."""
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.least(F.lit(float(most_docs)), F.lit(share) * F.count(F.lit(1)))).alias("limit"))
-    lines = rows.select("host", "n_words", F.explode("lines").alias("l")).select("host", "n_words", "l.*")
-    often = materialize(_above(lines, limits, least_docs), "often")
-    held = lines.join(often, ["host", "key"]).groupBy("host", "doc").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("key", "words")).alias("held"))
-    covered = F.aggregate("held", F.lit(0).cast("bigint"), lambda s, x: s + x["words"])
-    near = F.when(covered >= F.lit(NEAR) * F.col("n_words"), F.array_min("held")["key"]).otherwise(F.col("doc"))
-    return _above(held.select("host", near.alias("doc"), F.explode("held.key").alias("key")), limits, least_docs).select("key")
+    once = rows.select("host", "doc", "lines").dropDuplicates(["host", "doc"])
+    sizes = rows.groupBy("host").agg(F.countDistinct("doc").alias("docs"))
+    limits = sizes.select("host", F.greatest(F.lit(float(least_docs)), F.least(F.lit(float(most_docs)), F.lit(share) * F.col("docs"))).alias("limit"))
+    counts = once.select("host", F.explode("lines.key").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("distinct_docs"))
+    return counts.where(F.col("distinct_docs") > least_docs).join(limits, "host").where(F.col("distinct_docs") > F.col("limit")).select("key")
 
 
 def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_left: float = 0.3, most_docs: int = MOST_DOCS) -> DataFrame:
@@ -138,18 +128,21 @@ def _verdicts(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHAR
     frequent = materialize(frequent_lines(rows, least_docs, share, most_docs), "frequent")
     lines = rows.select("content", F.explode("lines").alias("l")).select("content", "l.key", "l.words")
     gone = lines.join(frequent, "key").groupBy("content", "key").agg(F.first("words").alias("words")).groupBy("content").agg(F.sum("words").alias("gone"), F.collect_list("key").alias("gone_keys"))
-    out = rows.drop("lines", "host").join(gone, "content", "left").withColumn("n_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
+    out = rows.drop("lines", "host", "doc").join(gone, "content", "left").withColumn("n_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     depleted = (F.col("n_left") < F.col("n_words")) & ((F.col("n_left") < MIN_WORDS) | (F.col("n_left") < least_left * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("gone")
 
 
+def _host(docs: DataFrame):
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that the rules keep; columns stay as they are, texts are joined against the rejected contents only."""
-    rejected = judged(docs, **limits).where(~F.col("kept")).select("content").distinct()
+    """The rows of docs that the rules keep; columns stay as they are. Texts move only where very many contents are rejected."""
+    rejected = materialize(judged(docs, **limits).where(~F.col("kept")).select("content").distinct(), "rejected")
     name = fresh(docs, "content")
-    host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    return docs.withColumn(name, F.xxhash64("text", host)).join(rejected.withColumnRenamed("content", name), name, "left_anti").select(*docs.columns)
+    return docs.withColumn(name, F.xxhash64("text", _host(docs))).join(small(rejected.withColumnRenamed("content", name), SMALL_TABLE), name, "left_anti").select(*docs.columns)
 
 
 def _cut(text: bytes, host: bytes, gone: set[int]) -> bytes:
@@ -159,14 +152,14 @@ def _cut(text: bytes, host: bytes, gone: set[int]) -> bytes:
 def without_lines(docs: DataFrame, **limits) -> DataFrame:
     """The rows that keep_good keeps, their texts without the frequent lines that judged leaves out of n_left; n_chars follows the text.
 
-    Lines without a word stay. Texts are joined against the contents that change only, and only those go through Python.
+    Lines without a word stay. Texts are joined against the contents that change only, and only those go through Python; texts move only where
+    very many contents change.
     """
     found = _verdicts(docs, **limits).where(~F.col("kept") | F.col("gone_keys").isNotNull())
-    found = materialize(found.groupBy("content").agg(F.first("kept").alias("kept"), F.first("gone_keys").alias("gone_keys")), "cut")
+    found = materialize(found.groupBy("content").agg(F.first("kept").alias("kept"), F.first(F.when(F.col("kept"), F.col("gone_keys"))).alias("gone_keys")), "cut")
     key, keys, host_name, ok = (fresh(docs, x) for x in ("content", "gone_keys", "host_name", "kept"))
-    host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     found = found.select(F.col("content").alias(key), F.col("kept").alias(ok), F.col("gone_keys").alias(keys))
-    joined = docs.withColumn(host_name, host).withColumn(key, F.xxhash64("text", F.col(host_name))).join(found, key, "left").where(F.coalesce(F.col(ok), F.lit(True)))
+    joined = docs.withColumn(host_name, _host(docs)).withColumn(key, F.xxhash64("text", F.col(host_name))).join(small(found, SMALL_TABLE, 1 + F.coalesce(F.size(keys), F.lit(0))), key, "left").where(F.coalesce(F.col(ok), F.lit(True)))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, host: pa.Array, gone: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, materialize, uniform
+from .common import SPACES, fresh, materialize, settle, uniform
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -111,12 +111,11 @@ def _reduce_block(block: Column, seed: int) -> Column:
     return F.aggregate(F.slice(block, F.lit(2), F.size(block)), start, step, lambda s: F.array_append(s["done"], s["carried"]))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, n_copies (of every row of docs).
+def _decided(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, m, whole, more of every kind of row (id, source and size): its m rows get `whole` copies each, `more` of them one more.
 
-    Per level of the tree one exchange of small rows; the texts are read once, for their sizes, and never moved.
+    Per level of the tree one exchange of small rows.
     """
-    sizes = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
     sources = materialize(source_targets(sizes, weights, most), "sources")
     n_sources, largest = sources.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
@@ -140,21 +139,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
             break
         decided = decided.unionByName(left.where(settled), allowMissingColumns=True)
         left = left.where(~settled)
-    copies = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("m")), lambda i: F.col("whole") + F.when(i <= F.col("sure") + F.col("f").cast("bigint"), 1).otherwise(0))
-    return decided.select("doc_id", "source", "size", "source_size", "target", F.explode(copies).alias("n_copies"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", "m", "whole", (F.col("sure") + F.col("f").cast("bigint")).alias("more"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, n_copies (of every row of docs). The texts are read once, for their sizes, and never moved."""
+    sizes = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    copies = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("m")), lambda i: F.col("whole") + F.when(i <= F.col("more"), 1).otherwise(0))
+    return _decided(sizes, weights, most, seed).select("doc_id", "source", "size", "source_size", "target", F.explode(copies).alias("n_copies"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (not at all where that is 0). Columns stay as they are.
 
-    Rows with the same id, source and size are interchangeable to the mix; among them copies go by the hash of the text.
+    Rows with the same id, source and size are interchangeable to the mix; among them copies go by the hash of the text, then of all other columns.
+    Texts move once, by one key that the join and the count of equal rows share; words are counted once.
     """
-    names = {c: fresh(docs, f"mix_{c}") for c in ("doc_id", "source", "size", "n_copies", "at")}
-    mixed = mix(docs, weights, most, seed).select(*[F.col(c).alias(n) for c, n in names.items() if c != "at"])
-    keys = [names[c] for c in ("doc_id", "source", "size")]
-    mixed = mixed.withColumn(names["at"], F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(names["n_copies"]))))
-    size, at = fresh(docs, "row_size"), fresh(docs, "row_at")
-    rows = docs.withColumn(size, n_words(F.col("text"))).withColumn(at, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col(keys[0])) & F.col("source").eqNullSafe(F.col(keys[1])) & (F.col(size) == F.col(keys[2])) & (F.col(at) == F.col(names["at"]))
-    joined = rows.join(mixed.where(F.col(names["n_copies"]) > 0), same)
-    return joined.withColumn(at, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(names["n_copies"])))).select(*docs.columns)
+    row = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    sizes = materialize(row, "sizes")
+    kind = ("doc_id", "source", "size")
+    texts = sizes.groupBy(*kind, "text_hash").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy(*kind).orderBy("text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))  # equal ids, sources and sizes: a row per different text
+    decided = _decided(sizes, weights, most, seed).select(*[F.col(c).alias(f"of_{c}") for c in kind], "whole", "more")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    taken = texts.join(decided, same).where((F.col("whole") > 0) | (F.col("more") > F.col("before")))
+    keys = lambda text: (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull(), text)
+    own = [fresh(docs, f"mix_key{i}") for i in range(5)]
+    of = [fresh(docs, f"mix_of{i}") for i in range(5)]
+    whole, more, at = (fresh(docs, x) for x in ("mix_whole", "mix_more", "mix_at"))
+    taken = taken.select(*[k.alias(n) for k, n in zip(keys(F.col("text_hash")), of, strict=True)], F.col("whole").alias(whole), (F.col("more") - F.col("before")).alias(more))
+    rows = docs.withColumns(dict(zip(own, keys(F.xxhash64("text")), strict=True))).join(taken, [F.col(a) == F.col(b) for a, b in zip(own, of, strict=True)])
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(*own).orderBy(settle(docs, ("text",)))))
+    n = F.col(whole) + F.when(F.col(at) <= F.col(more), 1).otherwise(0)
+    return rows.where(n > 0).withColumn(at, F.explode(F.sequence(F.lit(1).cast("bigint"), n))).select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready_python
+from .common import ready_python, share_file, shared_file, slices
 
 MARK = "▁"
 #: Stands for the space mark where the text itself has it. No text and no piece can hold a lone surrogate, so it is encoded by bytes.
@@ -140,10 +140,11 @@ def model(path: str) -> PieceModel:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of every row."""
     ready_python(docs.sparkSession)
+    name = share_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for batch in batches:
+        m = model(shared_file(name))
+        for batch in slices(batches, 1):
             coded = m.encode([t or "" for t in batch.column(1).to_pylist()])
             at = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
@@ -155,9 +156,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text: the texts that the ids stand for."""
     ready_python(encoded.sparkSession)
+    name = share_file(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(shared_file(name))
         for batch in batches:
             ids = batch.column(1)
             flat, at = ids.flatten().to_numpy(), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in ids)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, ready_python, uniform
+from .common import held_out, materialize, ready_python, slices, uniform
 
 STATS = (
     "n_words", "n_chars", "n_lines", "mean_word", "unique_words", "dup_lines", "alpha", "digits", "upper", "punctuation",
@@ -79,7 +79,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), *(f"s{i} double" for i in range(len(STATS)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(fields)):
             stats = np.array([statistics(t) for t in batch.column(len(fields)).cast(pa.binary()).to_pylist()]).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *(pa.array(stats[:, i]) for i in range(len(STATS)))], [*keep, *(f"s{i}" for i in range(len(STATS)))])
 
@@ -136,6 +136,7 @@ def fit(rows: DataFrame, penalty: float = 0.002, seed: int = 11) -> RuleModel:
     """Grow trees, collect their rules, weigh them by a lasso logistic regression."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or ones in (0, n):
@@ -145,12 +146,11 @@ def fit(rows: DataFrame, penalty: float = 0.002, seed: int = 11) -> RuleModel:
     stats = VectorAssembler(inputCols=[f"s{i}" for i in range(len(STATS))], outputCol="features").transform(rows).select("label", "features", *[f"s{i}" for i in range(len(STATS))]).persist()
     trees = RandomForestClassifier(numTrees=12, maxDepth=4, subsamplingRate=0.7, seed=seed).fit(stats).toDebugString + GBTClassifier(maxIter=8, maxDepth=3, seed=seed).fit(stats).toDebugString
     rules = sorted(set(paths(trees)))
-    tested = stats.select("label", F.array(*[holds(r).cast("double") for r in rules]).alias("x"))
-    from pyspark.ml.functions import array_to_vector
-
-    model = LogisticRegression(featuresCol="v", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(tested.select("label", array_to_vector("x").alias("v")).persist())
+    tested = stats.select("label", array_to_vector(F.array(*[holds(r).cast("double") for r in rules])).alias("v")).persist()
+    model = LogisticRegression(featuresCol="v", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(tested)
     weights = {r: float(w) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if w}
-    stats.unpersist()
+    for held in (stats, tested):
+        held.unpersist()
     return RuleModel(float(model.intercept), weights)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ready_python
+from .common import fresh, materialize, ready_python, slices, small
 
 # The patterns of the three kinds and the lengths they need.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,11 +46,16 @@ MIN_RANDOM = 20
 _run = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RANDOM)
 _part, _atom = re.compile("[A-Za-z0-9_-]{%d,}" % MIN_RANDOM), re.compile("[A-Za-z0-9]{%d,}" % MIN_RANDOM)
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters of one case need more characters: a long word of a language is too like a short random one.
+MIN_LETTERS = 28
 ALPHABETS = {
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
+    "upper": _UPPER,
+    "lower": _LOWER,
+    "letters": _UPPER + _LOWER,
     "base62": _UPPER + _LOWER + _DIGITS,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
@@ -74,9 +79,13 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def infer_encoding(s: str) -> str | None:
-    """The smallest alphabet that holds s; None where s has letters or digits only, or words joined by - and _."""
+    """The smallest alphabet that holds s; None where s has digits only, is words joined by - and _, or is of one case and short."""
     chars = set(s)
-    if not chars & set(_DIGITS) or not chars - set(_DIGITS + "+/-_"):
+    if not chars & set(_DIGITS):
+        if not chars <= _ranks["letters"].keys() or len(s) < MIN_LETTERS and not (chars & set(_UPPER) and chars & set(_LOWER)):
+            return None
+        return next(name for name in ("upper", "lower", "letters") if chars <= _ranks[name].keys())
+    if not chars - set(_DIGITS + "+/-_"):
         return None
     return next((name for name, ranks in _ranks.items() if chars <= ranks.keys()), None)
 
@@ -151,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = f"doc_id bigint, text_hash bigint, {SCANNED}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             found = [_scan(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_hash", "base", "candidates"])
@@ -207,15 +216,21 @@ def find_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     return scanned.select("doc_id", "text_hash", "base", F.sort_array(F.concat("base", random)).alias("spans"))
 
 
+#: Rows and spans of the table of hits that may be sent to every task.
+SMALL_TABLE = 500_000
+
+
 def redact(docs: DataFrame, fdr: float = 0.05, mark: str = "<secret>") -> DataFrame:
     """docs with every secret span replaced by `mark`; overlapping spans become one mark. All rows and columns stay, n_chars follows the text.
 
-    The join is by id and hash of the text, so that texts are dealt out evenly whatever the ids; texts without a span stay as they are.
+    The join is by id and hash of the text, so that texts are dealt out evenly whatever the ids; texts without a span stay as they are, and all
+    stay in place unless very many have one.
     """
     spans = find_secrets(docs, fdr).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
     key, have = fresh(docs, "text_hash"), fresh(docs, "secret_spans")
+    spans = materialize(spans, "hits")
     hit = spans.select(F.col("doc_id").alias(fresh(docs, "hit_id")), F.col("text_hash").alias(fresh(docs, "hit_hash")), F.col("spans").alias(have))
-    joined = docs.withColumn(key, F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col(hit.columns[0])) & (F.col(key) == F.col(hit.columns[1])), "left")
+    joined = docs.withColumn(key, F.xxhash64("text")).join(small(hit, SMALL_TABLE, 1 + F.size(have)), F.col("doc_id").eqNullSafe(F.col(hit.columns[0])) & (F.col(key) == F.col(hit.columns[1])), "left")
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     cut = lambda text, a, b: F.substr(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     step = lambda text: lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], cut(text, s["at"], x["start"]), F.lit(mark))).alias("out"))

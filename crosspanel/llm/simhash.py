@@ -10,13 +10,17 @@ value shared by more than BUCKET fingerprints isn't joined: its members are expa
 two fingerprints link at two bits exactly if they meet in one of those. Such a meeting has at most 65 members, all of them linked, so
 a star loses nothing and the work is linear in the size of a group of near copies.
 
-Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; copies share a
+`similar` groups texts by the Jaccard similarity of their shingle sets instead: wide fingerprints find the candidates by the same principle,
+and every candidate is verified on the whole sets.
+
+Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other (to `similar`: with each other); copies share a
 fingerprint and are one vertex; a null doc_id is never the smallest (component_id is null only if a whole component has null
 ids); empty tables give empty results; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ready_python
+from .common import fresh, materialize, ready_python, settle, slices, small
 from .graph import connected_components
 
 BITS = 64
@@ -58,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     ready_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             fps = np.array([fingerprint(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
@@ -170,36 +174,368 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
 
 
 def _meetings(dense: DataFrame, most: int) -> DataFrame:
-    """Star edges of fingerprints that meet at a value within one bit of each; any two that do differ by two bits at most."""
-    if most != 2:
-        raise ValueError("groups of near copies are expanded for a distance of 2")
-    flips = [F.col("fp").bitwiseXOR(F.lit(x).cast("bigint")) for x in _flips(list(range(BITS)), 1)]
-    met = dense.select("fp", F.explode(F.array(*flips)).alias("key")).groupBy("key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    """Star edges of fingerprints that meet at a value within half of `most` bits of each; of an odd distance, the larger half holds for one side only."""
+    low, high = most // 2, most - most // 2
+    at = lambda r: [F.struct(F.lit(r <= low).alias("close"), F.col("fp").bitwiseXOR(F.lit(_signed(sum(1 << b for b in c))).cast("bigint")).alias("key")) for c in combinations(range(BITS), r)]
+    met = dense.select("fp", F.explode(F.array(*[k for r in range(high + 1) for k in at(r)])).alias("k")).groupBy("k.key").agg(F.collect_set("fp").alias("fps"), F.min(F.when(F.col("k.close"), F.col("fp"))).alias("a"))
+    return met.where(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
+def _grouped_rows(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows with group (a label that its members share) and component_id. reps: fp, least_id and, where it has links, label."""
+    reps = reps.withColumn("group", F.coalesce("label", "fp") if "label" in reps.columns else F.col("fp"))
+    least = reps.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    return rows.select("doc_id", "text_hash", "fp").join(reps.join(least, "group").select("fp", "group", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (smallest doc_id reachable by links, itself included) for every row."""
+    """doc_id, text_hash, fp, group, component_id (smallest doc_id reachable by links, itself included) for every row."""
     rows = fingerprints(docs, width)
     reps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "reps")
-    labels = connected_components(links(reps.select("fp"), most)).withColumnRenamed("id", "fp")
-    reps = reps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = reps.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return rows.join(reps.join(least, "label").select("fp", "component_id"), "fp")
+    return _grouped_rows(rows, reps.join(connected_components(links(reps.select("fp"), most)).withColumnRenamed("id", "fp"), "fp", "left"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of docs per group: the one with the smallest doc_id, of equal ids that with the smallest text hash, of equal texts by all other columns.
+
+    `found` is what near_duplicates (the default) or similar says of docs. In a group whose ids are all null, the row with the smallest text hash
+    stays. Columns stay as they are. Texts are joined against the rows to drop or to choose from only, and move only where those are very many.
+    """
+    found = materialize(near_duplicates(docs) if found is None else found, "groups")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    keys = found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("m")).join(first, "group")
+    kept = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
+    names = {c: fresh(docs, c) for c in ("dealt_id", "dealt_none", "text_hash", "dealt_hash", "choose", "row_at", "of_id", "of_none")}
+    id_, none, own, hash_, choose, at, of_id, of_none = names.values()
+    acted = keys.where(~kept | (F.col("m") > 1)).select(F.coalesce("doc_id", F.lit(0)).alias(of_id), F.col("doc_id").isNull().alias(of_none), F.col("text_hash").alias(hash_), kept.alias(choose))
+    acted = materialize(acted, "acted")
+    several = small(acted, SMALL_TABLE)
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), none: F.col("doc_id").isNull(), own: F.xxhash64("text")})
+    rows = rows.join(several, (F.col(id_) == F.col(of_id)) & (F.col(none) == F.col(of_none)) & (F.col(own) == F.col(hash_)), "left")
+    order = Window.partitionBy(id_, none, own).orderBy(settle(docs, ("text",)))
+    if several is acted:  # the join has moved the texts already
+        out = rows.withColumn(at, F.row_number().over(order)).where(F.col(choose).isNull() | (F.col(choose) & (F.col(at) == 1)))
+        return out.select(*docs.columns)
+    chosen = rows.where(F.col(choose)).withColumn(at, F.row_number().over(order)).where(F.col(at) == 1)
+    return rows.where(F.col(choose).isNull()).select(*docs.columns).unionByName(chosen.select(*docs.columns))
+
+
+# ---- Groups by the similarity of shingle sets -------------------------------------------------------------------------------------------
+
+WIDE = 256
+WORDS = WIDE // 64
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: What a row of the index costs, in pairs looked at.
+ROW_COST = 200
+#: Fingerprints that the plan's estimates are made from.
+SAMPLE = 1000
+#: Members of a bucket compared at once.
+BLOCK = 2048
+#: Rows of a bucket that one task takes; of a bucket beyond it, two blocks at a time.
+BUCKET_ROWS = 16_384
+#: Rows of a table that may be sent to every task.
+SMALL_TABLE = 1_000_000
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[0])
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[1])
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct hashes of a whole text's shingles of `width` words, ascending; a text of fewer words is one shingle, one of none has none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    rolled = np.full(len(words) - width + 1, width, np.uint64)
+    for i in range(width):
+        rolled = _mixed(rolled ^ h[i : len(h) - width + 1 + i])
+    return np.unique(rolled)
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """WIDE bits over distinct shingle hashes as WORDS integers: a bit is 1 if it is set in over half of the hashes of its word."""
+    ones = np.zeros(WIDE, np.int64)
+    for a in range(0, len(found), 1 << 14):
+        h = found[a : a + (1 << 14)]
+        block = np.stack([h, *(_mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(1, WORDS))], axis=1)
+        ones += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
+
+
+FPS = [f"f{k}" for k in range(WORDS)]
+_FPS = ", ".join(f"{f} bigint" for f in FPS)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, id (a hash of the set of shingles), n (its size) and the wide fingerprint of every row, written to the shared folder."""
+    ready_python(docs.sparkSession)
+    names = ["doc_id", "text_hash", "id", "n", *FPS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            sets = [shingles(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "<u8").view("<i8")
+            fps = np.array([wide_fingerprint(s) for s in sets], "<u8").view("<i8").reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return materialize(rows.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, n bigint, {_FPS}"), "sketches")
+
+
+def difference(least: float) -> float:
+    """The chance of a bit to differ between two equally large sets of the given Jaccard similarity: their angle over pi."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def grouped(cor: np.ndarray, parts: int) -> list[list[int]]:
+    """Parts of nearly equal size; a part starts with the bit most correlated with the free ones and takes those most correlated with it."""
+    free, out = np.ones(len(cor), bool), []
+    for i in range(parts):
+        room = int(free.sum()) // (parts - i)
+        part = [int(np.argmax(np.where(free, cor[:, free].sum(axis=1), -np.inf)))]
+        free[part[0]] = False
+        while len(part) < room:
+            part.append(int(np.argmax(np.where(free, cor[:, part].sum(axis=1), -np.inf))))
+            free[part[-1]] = False
+        out.append(sorted(part))
+    return out
+
+
+def groupings(bits: np.ndarray, width: int, most: int) -> list[list[int]]:
+    """Parts of about `width` bits: all bits are dealt out `most` times, correlated ones together, those that were together before apart."""
+    cor = np.abs(np.nan_to_num(np.corrcoef(bits.T))) if len(bits) > 1 else np.zeros((WIDE, WIDE))
+    out = []
+    for _ in range(most):
+        parts = grouped(cor, max(1, WIDE // width))
+        for part in parts:
+            cor[np.ix_(part, part)] -= 1
+        out += parts
+    return out
+
+
+def wide_plan(fps: np.ndarray, n: int, least: float, recall: float) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the parts to probe: the least work at which two sets of similarity `least` meet with a chance of `recall`.
+
+    A part of w bits with threshold t brings a pair together with the chance that at most t of its bits differ; parts multiply the chances to miss. The pairs
+    that a part makes in the whole corpus are estimated from the sample. Widths are tried in turn, thresholds allotted by dynamic programming.
+    """
+    p, steps = difference(least), 200
+    need = -math.log(1 - recall)
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").reshape(-1, WIDE)
+    u, v = np.triu_indices(len(bits), 1)
+    best = (math.inf, [])
+    first = max(8, max(n, 1).bit_length() - 8)
+    for width in range(first, first + 12, 2):
+        parts, costs, gains = groupings(bits, width, 3), [], []
+        for part in parts:
+            w = len(part)
+            key = bits[:, part].astype(np.uint64) @ (np.uint64(1) << np.arange(w, dtype=np.uint64))
+            apart = np.bitwise_count(key[u] ^ key[v]) if len(u) else np.zeros(1, np.uint8)
+            # a sample can't see what is rarer than one of its pairs: bits of their own chance stand in there
+            share = [max(float((apart <= t).mean()), (1 + t * w) / 2**w) for t in (0, 1)]
+            costs.append([share[t] * n * n / 2 + ROW_COST * n * (1 + t * w) for t in (0, 1)])
+            chance = [(1 - p) ** w, (1 - p) ** w + w * p * (1 - p) ** (w - 1)]
+            gains.append([-math.log(1 - c) for c in chance])
+        cost, chosen = allot_gain(costs, gains, need, steps)
+        if cost < best[0]:
+            best = (cost, [(part, t) for part, t in zip(parts, chosen, strict=True) if t >= 0])
+    return best[1]
+
+
+def allot_gain(costs: list[list[float]], gains: list[list[float]], need: float, steps: int = 200) -> tuple[float, list[int]]:
+    """Dynamic programming: a threshold per part (-1: none) so that the gains add up to `need` at the least sum of costs."""
+    best = np.full(steps + 1, math.inf)
+    best[0] = 0.0
+    came = []
+    for cost, gain in zip(costs, gains, strict=True):
+        step, own = best.copy(), np.full(steps + 1, -1)
+        for t, (c, g) in enumerate(zip(cost, gain, strict=True)):
+            up = min(steps, int(g / need * steps))
+            at = np.minimum(np.arange(steps + 1) + up, steps)
+            for s in np.flatnonzero(np.isfinite(best)):
+                if best[s] + c < step[at[s]]:
+                    step[at[s]], own[at[s]] = best[s] + c, t * (steps + 1) + s
+        came.append(own)
+        best = step
+    chosen, s = [], steps
+    for own in reversed(came):
+        t, before = (-1, s) if own[s] < 0 else divmod(int(own[s]), steps + 1)
+        chosen.append(t)
+        s = before
+    return float(best[steps]), chosen[::-1]
+
+
+def _indexed(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """part, key, probe, id, label and fingerprint: a row per part, and one per flipped bit where a part's threshold is 1."""
+    names = ["part", "key", "probe", "id", "label", *FPS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
+                fps = np.stack([batch.column(k + 2).to_numpy() for k in range(WORDS)], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+                for i, (part, t) in enumerate(parts):
+                    own = bits[:, part].astype(np.int64) @ (np.int64(1) << np.arange(len(part), dtype=np.int64))
+                    for probe, flip in [(0, 0)] + [(1, 1 << b) for b in range(len(part))] * t:
+                        n = batch.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(own ^ flip), pa.array(np.full(n, probe, np.int8)), *batch.columns], names)
+
+    return reps.select("id", "label", *FPS).mapInArrow(run, f"part int, key bigint, probe tinyint, id bigint, label bigint, {_FPS}")
+
+
+def _sides(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What is compared in a bucket, or in blocks i and j of it: members with members, flipped values with members."""
+    data, i, j = rows["probe"] == 0, rows["i"][0], rows["j"][0]
+    at = lambda kind, block: np.flatnonzero(kind & (rows["block"] == block))
+    yield at(data, i), at(data, j)
+    yield at(~data, i), at(data, j)
+    if i != j:
+        yield at(~data, j), at(data, i)
+
+
+def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket with different labels and at most `most` differing bits; where there are very many, the `limit` nearest of each member. Whether any was left out."""
+    found_a, found_b, cut = [], [], False
+    for side, other in _sides(rows):
+        for at in range(0, len(side), BLOCK // 4):
+            a_rows = side[at : at + BLOCK // 4]
+            for to in range(0, len(other), BLOCK):
+                b_rows = other[to : to + BLOCK]
+                apart = np.zeros((len(a_rows), len(b_rows)), np.uint16)
+                for f in FPS:
+                    apart += np.bitwise_count(rows[f][a_rows][:, None] ^ rows[f][b_rows][None, :])
+                apart[rows["label"][a_rows][:, None] == rows["label"][b_rows][None, :]] = WIDE + 1
+                near = apart <= most
+                if near.sum() > 8 * limit * len(a_rows):
+                    cut, k = True, min(limit, len(b_rows))
+                    nearest = np.argpartition(apart, k - 1, axis=1)[:, :k]
+                    some = np.zeros_like(near)
+                    np.put_along_axis(some, nearest, True, axis=1)
+                    near &= some
+                a, b = np.nonzero(near)
+                found_a.append(rows["id"][a_rows[a]])
+                found_b.append(rows["id"][b_rows[b]])
+    none = np.zeros(0, np.int64)
+    a, b = np.concatenate([*found_a, none]), np.concatenate([*found_b, none])
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], cut
+
+
+def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], most: int, limit: int) -> DataFrame:
+    """a, b: pairs with different labels that meet in a part; a row of nulls for every bucket that left some out."""
+    keys = ["part", "key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not rows.num_rows:
+                return
+            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label")} | {f: rows.column(f).to_numpy().view(np.uint64) for f in FPS}
+            ends = np.flatnonzero(np.any([col[c][1:] != col[c][:-1] for c in keys], axis=0)) + 1
+            cuts = [0, *ends.tolist(), rows.num_rows]
+            found_a, found_b = [], []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi - lo > 1 and (col["label"][lo:hi] != col["label"][lo]).any():
+                    a, b, cut = _near_pairs({c: v[lo:hi] for c, v in col.items()}, most, limit)
+                    found_a += [*a.tolist(), *[None] * cut]
+                    found_b += [*b.tolist(), *[None] * cut]
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            last = [rows.column(c).to_numpy() for c in keys]
+            cut = int(np.argmax(np.all([c == c[-1] for c in last], axis=0)))  # the last bucket may go on in the next batch
+            yield from whole(rows.slice(0, cut))
+            held = rows.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from whole(pa.Table.from_batches(held))
+
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = _indexed(reps, parts)
+    long = index.groupBy("part", "key").count().where(F.col("count") > BUCKET_ROWS)
+    long = small(materialize(long.select("part", "key", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("n_blocks")), "long"), SMALL_TABLE)
+    block = F.pmod(F.xxhash64("id", "probe"), F.col("n_blocks")).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    dealt = index.join(long, ["part", "key"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", block).withColumn("o", F.explode(both))
+    dealt = dealt.select("part", "key", "o.i", "o.j", "block", "probe", "id", "label", *FPS)
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, shingles of the wanted sets (id, text_hash): the texts that have them are read again, one each."""
+    ready_python(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["id", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64("text").alias("text_hash"), "text")
+    same = (F.col("text_hash") == F.col("of_text")) & F.col("own_id").eqNullSafe(F.col("of_doc"))
+    found = rows.join(small(wanted.select("id", F.col("text_hash").alias("of_text"), F.col("doc_id").alias("of_doc")), SMALL_TABLE), same).select("id", "text")
+    return materialize(found.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b, linked: whether the Jaccard similarity of the two sets is at least `least`."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    linked = both >= F.lit(least) * (F.size("s_a") + F.size("s_b") - both) - 1e-9
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", linked.alias("linked"))
 
 
-def keep_one(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group, one row each; columns stay as they are.
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float = 0.99, seed: int = 13) -> DataFrame:
+    """doc_id, text_hash, fp (a hash of the set of shingles), group, component_id (smallest doc_id reachable by links, itself included) for every row.
 
-    In a group whose ids are all null, the row with the smallest text hash stays.
+    Two texts link if the Jaccard similarity of their sets of `width`-word shingles is `least` or more. Candidates come from fingerprints of
+    WIDE bits by the generalised pigeonhole: parts of correlated bits, thresholds by dynamic programming on estimated candidates, such that two sets just at
+    `least` meet with a chance of `recall` (more similar ones nearly always); what meets within the distance that such sets
+    keep is verified on the whole sets. Of a bucket with very many pairs, as a group of near copies makes them, first the nearest of each member
+    are verified; whoever is in one group by then need not be compared again, and the search goes on between groups until no pair is left out.
     """
-    found = near_duplicates(docs, width, most)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "text_hash", "component_id", "fp")
-    nameless = found.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select(F.lit(None).cast("bigint").alias("doc_id"), "text_hash")
-    kept = kept.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).unionByName(nameless)
-    key, at = fresh(docs, "text_hash"), fresh(docs, "row_at")
-    kept = kept.select(F.col("doc_id").alias(fresh(docs, "kept_id")), F.col("text_hash").alias(fresh(docs, "kept_hash")))
-    rows = docs.withColumn(key, F.xxhash64("text"))
-    same = F.col(key) == F.col(kept.columns[1])
-    rows = rows.join(kept, same & F.col("doc_id").eqNullSafe(F.col(kept.columns[0])), "left_semi")
-    return rows.withColumn(at, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(1)))).where(F.col(at) == 1).select(*docs.columns)
+    rows = sketches(docs, width)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    reps = rows.groupBy("id").agg(one, *[F.first(f).alias(f) for f in FPS]).select("id", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), *FPS)
+    reps = materialize(reps, "reps")
+    n = reps.count()
+    sample = np.array(reps.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select(*FPS).collect(), np.int64).reshape(-1, WORDS)
+    parts, p = wide_plan(sample, n, least, recall), difference(least)
+    most = int(WIDE * p + 2.6 * math.sqrt(WIDE * p * (1 - p)))
+    now, links, limit, sets = reps.withColumn("label", F.col("id")), None, 1, None
+    checked = None
+    while n > 1:
+        met = materialize(_candidates(now, parts, most, limit).distinct(), "met")
+        cut = met.where(F.col("a").isNull()).count() > 0
+        pairs = met.where(F.col("a").isNotNull())
+        if sets is None:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            active = materialize(reps.join(wanted, "id"), "active")
+            sets = _sets(docs, active, width)
+        pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
+        done = materialize(_verified(pairs, sets, least), "verified")
+        found = done.where("linked").count()
+        checked = done.select("a", "b") if checked is None else checked.unionByName(done.select("a", "b"))
+        links = done.where("linked").select("a", "b") if links is None else links.unionByName(done.where("linked").select("a", "b"))
+        labels = connected_components(links)
+        if not cut:
+            break
+        limit = limit if 2 * found > done.count() else 4 * limit
+        now = materialize(active.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "now")
+    if links is not None:
+        reps = reps.join(labels, "id", "left")
+    return _grouped_rows(rows.withColumnRenamed("id", "fp"), reps.withColumnRenamed("id", "fp").withColumnRenamed("doc_id", "least_id"))
+
+
+def keep_dissimilar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """One row of docs per group of similar texts, as keep_one chooses it."""
+    return keep_one(docs, similar(docs, width, least, recall))

@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import os
 import re
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ready_python
+from .common import ready_python, scratch_path, share_file, shared_file, slices
 
 MANIFEST = "part int, n_docs bigint, n_tokens bigint"
 #: Most words that a Python worker remembers.
 CACHE_WORDS = 800_000
+#: Tokens that are read back at once (one document at least).
+READ_TOKENS = 1 << 21
 
 
 class WordEncoder:
@@ -119,8 +122,12 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def _whole_file(fs: pafs.FileSystem, path: str) -> Iterator[pa.NativeFile]:
     """Write under another name, then rename over whatever an earlier attempt left."""
     own = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
-        yield out
+    try:
+        with fs.open_output_stream(own) as out:
+            yield out
+    except BaseException:
+        fs.delete_file(own)
+        raise
     try:
         fs.move(own, path)
     except OSError:
@@ -128,15 +135,26 @@ def _whole_file(fs: pafs.FileSystem, path: str) -> Iterator[pa.NativeFile]:
         fs.move(own, path)
 
 
+def _ranges(fs: pafs.FileSystem, path: str, dtype: str, files: contextlib.ExitStack) -> Callable[[int, int], np.ndarray]:
+    """A function (first, end) that gives the numbers of a file: a local file is memory-mapped, of others only the range is read."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        whole = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return lambda a, b: whole[a:b]
+    held, width = files.enter_context(fs.open_input_file(path)), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(held.read_at((b - a) * width, a * width), dtype)
+
+
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Encode `text` of every row and write it in ascending doc_id order. Other columns are ignored."""
     spark = docs.sparkSession
     ready_python(spark)
+    name = share_file(spark, tokenizer_path)
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, n_docs, n_tokens = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        enc, part, n_docs, n_tokens = encoder(shared_file(name)), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], enc.dtype).tobytes()
-        first = next((b for b in batches if b.num_rows), None)
+        batches = slices(batches, 1)
+        first = next(batches, None)
         if first is None:
             return
         fs, root = _filesystem(out_dir)
@@ -171,30 +189,26 @@ def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = False) -> Da
 
     def read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(out_dir)
-
-        def flat(name: str, dtype: str) -> np.ndarray:
-            path = f"{root}/{name}"
-            if isinstance(fs, pafs.LocalFileSystem):
-                return np.memmap(path, dtype, "r")
-            with fs.open_input_file(path) as f:
-                return np.frombuffer(f.read(), dtype)
-
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"part-{row['part']:05d}"
-                tok, off, ids, nul = flat(f"{name}.tok", row["dtype"]), flat(f"{name}.off", "<i8"), flat(f"{name}.ids", "<i8"), flat(f"{name}.nul", "u1")
-                for a in range(0, len(ids), 2000):
-                    b = min(a + 2000, len(ids))
-                    at = off[a : b + 1]
-                    cols = [
-                        pa.array(ids[a:b], pa.int64(), mask=nul[a:b] == 1),
-                        pa.array(at[:-1] + row["token_base"], pa.int64()),
-                        pa.array(np.diff(at), pa.int64()),
-                        pa.array([zlib.crc32(tok[x:y].astype("<u4").tobytes()) for x, y in zip(at, at[1:], strict=False)], pa.int64()),
-                    ]
-                    if with_ids:
-                        cols.append(pa.ListArray.from_arrays(pa.array((at - at[0]).astype("i4")), pa.array(tok[at[0] : at[-1]].astype("i4"))))
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                with contextlib.ExitStack() as files:
+                    tok, off, ids, nul = (_ranges(fs, f"{root}/part-{row['part']:05d}.{x}", t, files) for x, t in (("tok", row["dtype"]), ("off", "<i8"), ("ids", "<i8"), ("nul", "u1")))
+                    a = 0
+                    while a < row["n_docs"]:
+                        at = off(a, min(a + 2000, row["n_docs"]) + 1)
+                        at = at[: max(2, int(np.searchsorted(at, at[0] + READ_TOKENS, "right")))]  # one document at least
+                        b, flat = a + len(at) - 1, tok(int(at[0]), int(at[-1]))
+                        cut = at - at[0]
+                        cols = [
+                            pa.array(ids(a, b), pa.int64(), mask=nul(a, b) == 1),
+                            pa.array(at[:-1] + row["token_base"], pa.int64()),
+                            pa.array(np.diff(at), pa.int64()),
+                            pa.array([zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(cut, cut[1:], strict=False)], pa.int64()),
+                        ]
+                        if with_ids:
+                            cols.append(pa.ListArray.from_arrays(pa.array(cut.astype("i4")), pa.array(flat.astype("i4"))))
+                        yield pa.RecordBatch.from_arrays(cols, names)
+                        a = b
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids

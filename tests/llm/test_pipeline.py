@@ -20,10 +20,15 @@ def test_stages_take_effect(spark):
         seen[name] = (before, docs)
         assert name == "piece_encoding" or docs.columns == columns
     rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    sets = lambda text: set(zip(*(text.lower().split()[i:] for i in range(5)), strict=False))
     kept = {r["doc_id"] for r in QUERIES["op10_line_rules"](spark, SF).collect() if r["kept"]}
     assert rows(seen["quality_rules"][1]).keys() == kept
     before, after = map(rows, seen["near_dedup"])
     assert after.keys() <= before.keys() and len(set(after.values())) == len(after)
+    known = {d: sets(t) for d, t in before.items() if len(t.split()) > 5}
+    near = {(a, b) for a in known for b in known if a < b and 5 * len(known[a] & known[b]) >= 4 * len(known[a] | known[b])}
+    assert not any(a in after and b in after for a, b in near)
+    assert all(d in after or any(d in pair for pair in near) for d in known)
     before, after = map(rows, seen["secret_scans"])
     assert after.keys() == before.keys() and all("<secret>" in after[d] for d in after if after[d] != before[d])
     before, after = rows(seen["source_mixing"][0]), defaultdict(int)
@@ -41,15 +46,16 @@ def test_stages_take_effect(spark):
 
 
 def test_stages_on_odd_tables(spark):
-    """Nulls everywhere, empty and long texts, repeats, clashing column names; and no rows at all."""
+    """Nulls everywhere, empty and long texts, repeats, a near copy (14 of 15 five-word shingles), clashing column names; and no rows at all."""
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
     schema = "doc_id long, text string, lang string, source string, n_chars long, content string, text_hash string, fp int, row_at int, row_size int, mix_at int, size int, spans string, kept string"
     extra = ("c", "h", 1, 2, 3, 4, 5, "s", "k")
     rows = [
         (1, words, "en", "a", 9, *extra),
         (1, words, "en", "a", 9, *extra),
-        (2, words + " secret: hunter2hunter2", None, None, None, *extra),
-        (None, "other " + words[::-1], "en", "a", 9, *([None] * 9)),
+        (2, f"{words[::-1]} secret: hunter2hunter2", None, None, None, *extra),
+        (5, f"{words} end", "en", "a", 9, *extra),
+        (None, "other " + words[::-2], "en", "a", 9, *([None] * 9)),
         (None, None, None, None, None, *extra),
         (3, "", "en", "b", 0, *extra),
         (4, " ".join(f"w{i}" for i in range(40_000)), "en", "b", 1, *extra),
@@ -64,7 +70,7 @@ def test_stages_on_odd_tables(spark):
             assert got[2]["text"].endswith("<secret>") and got[2]["n_chars"] is None or got[2]["n_chars"] == len(got[2]["text"])
             assert got[1]["kept"] == "k" and got[1]["size"] == 5
         assert name == "piece_encoding" or docs.columns == [f.split()[0] for f in schema.split(", ")]
-    assert sizes[:3] == [5, 4, 4]
+    assert sizes[:3] == [6, 4, 4]
     empty = spark.createDataFrame([], schema)
     for name, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, SF), name)

@@ -45,7 +45,7 @@ def test_rare_kinds_and_pieces_of_a_run_are_found(spark):
     """One secret per encoding and length class, one in a URL path and one after a name; ordinary paths and names are left alone."""
     rng, rows = random.Random(5), []
     key = lambda e, n: "".join(rng.choice(secrets.ALPHABETS[e]) for _ in range(n))
-    for e in secrets.ALPHABETS:
+    for e in ("hex", "HEX", "base32", "base36", "base62", "base64", "base64url"):
         for n in (20, 24, 32, 48, 64, 128):
             while secrets.infer_encoding(k := key(e, n)) != e or secrets.randomness(k, e) < 0.1:
                 pass
@@ -65,6 +65,19 @@ def test_rare_kinds_and_pieces_of_a_run_are_found(spark):
     assert all("<secret>" in marked[i] for i in range(44)) and not any(k in t for t in marked.values())
 
 
+def test_keys_of_letters_only_are_found_and_long_words_are_not(spark):
+    rng, n = random.Random(8), 200
+    key = lambda chars: "".join(rng.choice(chars) for _ in range(32))
+    kinds = (secrets.ALPHABETS["letters"], secrets.ALPHABETS["lower"], secrets.ALPHABETS["upper"])
+    rows = [f"word {key(chars)} end" for chars in kinds for _ in range(n)] + [f"https://host.example/a/{key(kinds[0])}/b" for _ in range(n)] + [f"https://host.example/keys/{key(secrets.ALPHABETS['base62'])}/b" for _ in range(n)]
+    words = "Rechtsschutzversicherungsgesellschaften Arbeiterunfallversicherungsgesetz Lebensversicherungsgesellschaften Kraftfahrzeughaftpflichtversicherung antidisestablishmentarianism".split()
+    prose = [f"{w} steht in /usr/share/{w.lower()}/{w}_{w} und {w.upper()}" for w in words]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(rows + prose)), "doc_id long, text string")).collect()}
+    for k in range(5):
+        assert sum(bool(found[i]) for i in range(k * n, (k + 1) * n)) >= 0.9 * n
+    assert sum(bool(found[i]) for i in range(5 * n, len(rows) + len(prose))) <= 1
+
+
 def test_sparse_classes_take_pooled_thresholds():
     uniform, low = np.full(secrets.CELLS, 40), np.eye(1, secrets.CELLS, dtype=int)[0]
     got = secrets.chosen({"hex:1": uniform + 2000 * low, "hex:2": low, "base32:1": low, "base62:5": low, "base64:4": 3000 * low})
