@@ -13,10 +13,10 @@ def across(keys: tuple[str, ...] = DATE) -> WindowSpec:
 
 
 def average_rank(x: Column, keys: tuple[str, ...] = DATE) -> Column:
-    """Rank among the present values of a group, ties averaged; the peers of a row are a range frame, so one sort serves both windows."""
+    """Rank among the present values of a group, ties averaged: the mean of the first place of a row's peers and of their last. One sort serves both."""
     order = across(keys).orderBy(x.asc_nulls_last())
-    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.when(x.isNotNull(), F.rank().over(order) + (ties - 1) / 2)
+    last = F.round(F.cume_dist().over(order) * F.count(F.lit(1)).over(across(keys)))
+    return F.when(x.isNotNull(), (F.rank().over(order) + last) / 2)
 
 
 def cs_rank(x: Column, keys: tuple[str, ...] = DATE) -> Column:

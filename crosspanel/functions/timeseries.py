@@ -43,12 +43,21 @@ def ts_delta(x: Column, w: int) -> Column:
     return x - F.lag(x, w).over(by_time())
 
 
+#: Windows up to this length are looked at through one lag per row instead of an array.
+LAGS = 64
+
+
 def ts_rank(x: Column, w: int) -> Column:
     """Share of the window's values below the current one, ties averaged."""
+    n = F.count(x).over(rows(w))
+    if w <= LAGS:
+        past = [F.lag(x, i).over(by_time()) for i in range(1, w)]
+        halves = sum((F.when(v < x, 2).when(v == x, 1).otherwise(0) for v in past), F.lit(0))
+        return F.when(x.isNotNull(), (halves + 2) / (2 * n))
     seen = F.collect_list(x).over(rows(w))
     below = F.size(F.filter(seen, lambda v: v < x))
     equal = F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull(), (below + (equal + 1) / 2) / F.size(seen))
+    return F.when(x.isNotNull(), (below + (equal + 1) / 2) / n)
 
 
 def ts_min(x: Column, w: int) -> Column:

@@ -96,10 +96,14 @@ def sanitize_name(name: Column, prefix: str = "osap_") -> Column:
     return F.concat(F.lit(prefix), F.lower(F.trim(F.regexp_replace(name, "[^0-9a-zA-Z]+", "_"), F.lit("_"))))
 
 
+# Names of id and date columns.
+ID_NAMES, DATE_NAMES = ("permno", "PERMNO", "symbol"), ("yyyymm", "date", "DATE", "eom")
+
+
 def detect_columns(names: list[str]) -> tuple[str, str]:
     """The id and date columns of a monthly file."""
-    symbol = next((c for c in ("permno", "PERMNO", "symbol") if c in names), None)
-    date = next((c for c in ("yyyymm", "date", "DATE", "eom") if c in names), None)
+    symbol = next((c for c in ID_NAMES if c in names), None)
+    date = next((c for c in DATE_NAMES if c in names), None)
     if symbol is None or date is None:
         raise ValueError(f"no id or date column among {names[:8]}")
     return symbol, date

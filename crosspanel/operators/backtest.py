@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.crosssection import quantile_bucket
+from ..functions.crosssection import average_rank, quantile_bucket
 from ..functions.elementwise import clip
-from .metrics import NO_SPREAD, Keys, ic_summary, rank_ic, return_summary, turnover
+from ..sources.writers import materialized
+from .metrics import NO_SPREAD, Keys, ic_summary, return_summary, turnover
 
 
 def buckets(df: DataFrame, signal: str, label: str, q: int = 5, keys: Keys = ()) -> DataFrame:
@@ -33,10 +34,24 @@ def quantile_returns(df: DataFrame, signal: str, label: str, q: int = 5, keys: K
     return daily.groupBy(*keys, "bucket").agg(F.avg("_r").alias("mean_return"), F.count(F.lit(1)).alias("n_days"))
 
 
+def book_figures(df: DataFrame, signal: str, label: str, q: int = 5, keys: Keys = ()) -> DataFrame:
+    """keys, date, ic, n (joint cells), ret (of long_short) for every date of df, all from one exchange by keys and date."""
+    by = (*keys, "date")
+    over = Window.partitionBy(*by)
+    joint = F.col(signal).isNotNull() & F.col(label).isNotNull()
+    cells = df.select(*by, "symbol", F.when(joint, F.col(signal)).alias("_x"), F.when(joint, F.col(label)).alias("_y"))
+    x, y = F.col("_x"), F.col("_y")
+    ranked = cells.select(*by, quantile_bucket(x, q, by).alias("_b"), clip(y).alias("_r"), average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry"), F.stddev_samp(x).over(over).alias("_sd"))
+    ic = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    spread = F.avg(F.when(F.col("_b") == q, F.col("_r"))) - F.avg(F.when(F.col("_b") == 1, F.col("_r")))
+    enough = (F.count("_rx") >= 2 * q) & (F.max("_sd") >= NO_SPREAD)
+    return ranked.groupBy(*by).agg(ic.alias("ic"), F.count("_rx").alias("n"), F.when(enough, F.coalesce(spread, F.lit(0.0))).otherwise(0.0).alias("ret"))
+
+
 def portfolio_metrics(df: DataFrame, signal: str, label: str, min_stocks: int = 20, q: int = 5, keys: Keys = ()) -> DataFrame:
     """keys, ic, icir, sharpe, annual_return, max_drawdown, turnover of signals."""
-    ic = ic_summary(rank_ic(df, signal, label, min_stocks, keys), keys=keys).select(*keys, "ic", "icir")
-    parts = (return_summary(long_short(df, signal, label, q, keys), keys=keys).drop("n_days"), turnover(df, signal, keys))
-    for part in parts:
-        ic = ic.join(part, list(keys)) if keys else ic.join(part, F.lit(True))
-    return ic
+    daily = materialized(book_figures(df, signal, label, q, keys), "book")
+    out = ic_summary(daily.withColumn("ic", F.when(F.col("n") >= min_stocks, F.col("ic"))), keys=keys).select(*keys, "ic", "icir")
+    for part in (return_summary(daily, keys=keys).drop("n_days"), turnover(df, signal, keys)):
+        out = out.join(part, list(keys)) if keys else out.join(part, F.lit(True))
+    return out

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.writers import materialized
 
 CELL = ("date", "symbol")
+#: Signals after which the running sums of a fit are written.
+KEPT = 16
 
 
 def combine_equal(signals: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def combine_equal(signals: DataFrame) -> DataFrame:
 
 def combine_weighted(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """The weighted mean over present cells; null where their weights add up to 0. weights: signal_id, weight (a row per signal)."""
-    joined = signals.join(F.broadcast(weights), "signal_id")
+    joined = signals.join(weights, "signal_id")
     have = F.when(F.col("value").isNotNull(), F.col("weight"))
     return joined.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum(have)).alias("value"))
 
@@ -30,14 +32,17 @@ def fit_orthogonal(signals: DataFrame, weights: dict[str, float]) -> list[tuple[
     """
     order = sorted(weights, key=lambda i: (-abs(weights[i]), i))
     wide = signals.where(F.col("signal_id").isin(order)).groupBy(*CELL).pivot("signal_id", order).agg(F.first("value"))
-    wide = materialized(wide.select(*CELL, *[F.col(f"`{i}`").alias(f"s{k}") for k, i in enumerate(order)]), "combine")
+    wide = wide.select(*CELL, F.lit(0.0).alias("num"), F.lit(0.0).alias("cnt"), *[F.col(f"`{i}`").alias(f"s{k}") for k, i in enumerate(order)])
+    wide, done = materialized(wide, "combine"), 0
     betas: list[tuple[str, float | None]] = []
     for k, i in enumerate(order):
         if k == 0:
             betas.append((i, None))
             continue
-        fold = _folded([b for _, b in betas])
-        x = F.aggregate(F.array(*[F.col(f"s{j}") for j in range(k)]), *fold)
+        if k - done > KEPT:  # so that no signal's work starts from the first again
+            x = _running([b for _, b in betas], done, k - 1)
+            wide, done = materialized(wide.select(*CELL, x["num"].alias("num"), x["cnt"].alias("cnt"), *[f"s{j}" for j in range(k - 1, len(order))]), "combine"), k - 1
+        x = _running([b for _, b in betas], done, k)
         composite = F.try_divide(x["num"], F.nullif(x["cnt"], F.lit(0.0)))
         s = F.col(f"s{k}")
         sums = wide.select(s.alias("s"), composite.alias("c")).where("s IS NOT NULL AND c IS NOT NULL").agg(F.sum(F.col("s") * F.col("c")), F.sum(F.col("c") * F.col("c"))).first()
@@ -45,14 +50,20 @@ def fit_orthogonal(signals: DataFrame, weights: dict[str, float]) -> list[tuple[
     return betas
 
 
-def _folded(betas: list[float | None]):
-    """(start, step) of a fold over a cell's signal values in order, with a running sum and count of residuals."""
+def _running(betas: list[float | None], done: int, k: int):
+    """The running sum and count of residuals before signal k, from the columns num and cnt, which hold those before signal `done`."""
+    start, step = _folded(betas[done:k], done)
+    return F.aggregate(F.array(*[F.col(f"s{j}") for j in range(done, k)]), F.struct(F.col("num").alias("num"), F.col("cnt").alias("cnt"), start["at"].alias("at")), step)
+
+
+def _folded(betas: list[float | None], first: int = 0):
+    """(start, step) of a fold over a cell's signal values in order from the one with number `first` on, with a running sum and count of residuals."""
     start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("cnt"), F.lit(0).alias("at"))
     known = F.array(*[F.lit(b).cast("double") for b in betas])
 
     def step(a, v):
         beta = F.get(known, a["at"])
-        res = F.when(beta.isNull() | (a["at"] == 0), v).otherwise(v - beta * F.try_divide(a["num"], F.nullif(a["cnt"], F.lit(0.0))))
+        res = F.when(beta.isNull() | ((a["at"] == 0) & F.lit(first == 0)), v).otherwise(v - beta * F.try_divide(a["num"], F.nullif(a["cnt"], F.lit(0.0))))
         return F.struct((a["num"] + F.coalesce(res, F.lit(0.0))).alias("num"), (a["cnt"] + res.isNotNull().cast("double")).alias("cnt"), (a["at"] + 1).alias("at"))
 
     return start, step

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import materialized
+
 
 def pairwise_rho(signals: DataFrame) -> DataFrame:
-    """One row: rho, n: the mean correlation over pairs of signals, on cells where all of them are present.
+    """One row: rho, n: the mean correlation over pairs of signals, on cells where all of them are present; pairs with a constant side are skipped.
 
-    Correlations come from the cells' arrays of values, pair by pair of signals, aggregated before the shuffle; pairs with a constant side are skipped.
+    The sum over all pairs is the square of a cell's sum of standardised values less the squares, so no pair is formed: the work is linear in the
+    number of signals.
     """
     n_signals = signals.agg(F.countDistinct("signal_id").alias("_all"))
     cells = signals.where(F.col("value").isNotNull()).groupBy("date", "symbol").agg(F.sort_array(F.collect_list(F.struct("signal_id", "value"))).alias("v"))
-    full = cells.join(F.broadcast(n_signals), F.lit(True)).where(F.size("v") == F.col("_all")).select("v")
-    pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["signal_id"] > a["signal_id"]), lambda b: F.struct(a["signal_id"].alias("a"), b["signal_id"].alias("b"), a["value"].alias("x"), b["value"].alias("y")))))
-    rho = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    by_pair = full.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(rho.alias("r"))
-    return by_pair.agg(F.avg("r").alias("rho")).join(n_signals.select(F.col("_all").alias("n")), F.lit(True))
+    full = cells.join(F.broadcast(n_signals), F.lit(True)).where(F.size("v") == F.col("_all")).select(F.transform("v", lambda x: x["value"]).alias("v"))
+    full = materialized(full, "cells")
+    stats = full.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    moving = F.col("sd") > 1e-12 * (1 + F.abs("mean"))
+    stats = stats.agg(F.sort_array(F.collect_list(F.struct("at", "mean", F.when(moving, F.col("sd")).alias("sd")))).alias("stats"), F.coalesce(F.sum(moving.cast("bigint")), F.lit(0)).alias("_n"))  # one row, a value per signal
+    z = F.zip_with("v", "stats", lambda x, s: F.coalesce((x - s["mean"]) / s["sd"], F.lit(0.0)))
+    total = F.aggregate(z, F.lit(0.0), lambda a, b: a + b)
+    mean = full.join(F.broadcast(stats), F.lit(True)).agg(F.avg(total * total).alias("_m"), F.first("_n").alias("_n"))
+    rho = F.when(F.col("_n") > 1, F.try_divide(F.col("_m") - F.col("_n"), F.col("_n") * (F.col("_n") - 1)))
+    return mean.select(rho.alias("rho")).join(n_signals.select(F.col("_all").alias("n")), F.lit(True))
 
 
 def effective_breadth(rho: DataFrame, mean_sharpe: DataFrame) -> DataFrame:

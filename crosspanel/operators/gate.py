@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crosssection import cs_rank
-from .backtest import long_short
-from .metrics import NO_SPREAD, factor_return, ic_summary, rank_ic, return_summary, turnover
-from .universe import subsample_dates
+from ..sources.writers import materialized
+from .backtest import book_figures, long_short
+from .metrics import NO_SPREAD, daily_figures, ic_summary, rank_ic, return_summary, turnover
 
 ID = ("signal_id",)
 
@@ -47,15 +47,20 @@ def search_fitness(signals: DataFrame, label: str = "forward_returns", min_stock
 
 
 def score_signals(signals: DataFrame, k: int = 3, label: str = "forward_returns", min_stocks: int = 20) -> DataFrame:
-    """signal_id and the eight metrics of the catalogue: IC and return figures on every k-th date, turnover and coverage on all."""
-    thin = subsample_dates(signals, k)
-    ic = ic_summary(rank_ic(thin, "value", label, min_stocks, ID), k, ID)
-    returns = return_summary(factor_return(thin, "value", label, ID).where(F.col("ret").isNotNull()), keys=ID).drop("n_days")
-    coverage = signals.groupBy("signal_id").agg((F.count("value") / F.count(F.lit(1))).alias("coverage"))
-    out = coverage.join(turnover(signals, "value", ID), "signal_id", "left").join(ic, "signal_id", "left").join(returns, "signal_id", "left")
+    """signal_id and the eight metrics of the catalogue: IC and return figures on every k-th date, turnover and coverage on all.
+
+    One pass gives a small table with a row per signal and day, which is written; the metrics are aggregates of it.
+    """
+    first = signals.agg(F.min("t").alias("_first"))
+    cells = signals.join(F.broadcast(first), F.lit(True))  # one row
+    scored = (F.col("t") - F.col("_first")) % k == 0
+    daily = materialized(daily_figures(cells.withColumn("_scored", scored), "value", label, ID, F.col("_scored")), "daily")
+    ic = F.when(F.col("n_joint") >= min_stocks, F.col("ic"))
+    own = ic_summary(daily.withColumn("ic", ic), k, ID).drop("n_days")
+    rest = daily.groupBy("signal_id").agg(F.avg("moved").alias("turnover"), (F.sum("n_values") / F.sum("n_cells")).alias("coverage"))
+    out = rest.join(own, "signal_id").join(return_summary(daily, keys=ID, guarded=True), "signal_id")
     named = {"ic": "is_ic", "icir": "is_icir", "tstat": "is_tstat", "sharpe": "is_sharpe", "annual_return": "is_annual_return", "max_drawdown": "is_max_drawdown"}
-    zero = {n: F.coalesce(F.col(c), F.lit(0.0)) for c, n in named.items()}
-    return out.select("signal_id", *[v.alias(n) for n, v in zero.items()], "turnover", "coverage")
+    return out.select("signal_id", *[F.col(c).alias(n) for c, n in named.items()], "turnover", "coverage")
 
 
 def best_single(scores: DataFrame) -> DataFrame:
@@ -76,14 +81,24 @@ def select_headline(rows: DataFrame, fit_scores: DataFrame) -> DataFrame:
 
 
 def gate_ablation(signals: DataFrame, tstats: DataFrame, thresholds: list[float], label: str = "forward_returns", min_stocks: int = 20, q: int = 5) -> DataFrame:
-    """threshold, n, ic, sharpe, annual_return: the equal book of all signals with an absolute t-stat of at least the threshold; one job for all."""
-    gates = tstats.select("signal_id", F.abs("is_tstat").alias("_t"), F.explode(F.array(*map(F.lit, map(float, thresholds)))).alias("threshold")).where(F.col("_t") >= F.col("threshold"))
-    book = signals.join(F.broadcast(gates.select("signal_id", "threshold")), "signal_id").groupBy("threshold", "date", "t", "symbol", label).agg(F.avg("value").alias("value"))
+    """threshold, n, ic, sharpe, annual_return: the equal book of all signals with an absolute t-stat of at least the threshold; one job for all.
+
+    A signal that passes a threshold passes all lower ones, so a cell is read once: sums and counts by the highest threshold passed, then added up from above.
+    """
+    rising = sorted(set(map(float, thresholds)))
+    passed = sum((F.when(F.abs("is_tstat") >= x, 1).otherwise(0) for x in rising), F.lit(0))
+    gates = tstats.select("signal_id", passed.alias("_passed")).where("_passed > 0")
+    cells = signals.join(gates, "signal_id")
+    value = lambda i: F.when(F.col("_passed") > i, F.col("value"))
+    wide = cells.groupBy("date", "t", "symbol", label).agg(*[F.sum(value(i)).alias(f"_s{i}") for i in range(len(rising))], *[F.count(value(i)).alias(f"_c{i}") for i in range(len(rising))])
+    books = F.array(*[F.struct(F.lit(x).alias("threshold"), F.try_divide(F.col(f"_s{i}"), F.col(f"_c{i}")).alias("value")) for i, x in enumerate(rising)])
+    book = wide.select("date", "t", "symbol", label, F.explode(books).alias("b")).select("b.*", "date", "t", "symbol", label)
     keys = ("threshold",)
-    ic = ic_summary(rank_ic(book, "value", label, min_stocks, keys), keys=keys).select("threshold", "ic")
-    figures = return_summary(long_short(book, "value", label, q, keys), keys=keys).select("threshold", "sharpe", "annual_return")
-    n = gates.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(ic, "threshold", "left").join(figures, "threshold", "left")
+    daily = materialized(book_figures(book, "value", label, q, keys), "books")
+    ic = ic_summary(daily.withColumn("ic", F.when(F.col("n") >= min_stocks, F.col("ic"))), keys=keys).select("threshold", "ic")
+    figures = return_summary(daily, keys=keys).select("threshold", "sharpe", "annual_return")
+    n = gates.select(F.explode(F.slice(F.array(*map(F.lit, rising)), F.lit(1), F.col("_passed"))).alias("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(ic, "threshold").join(figures, "threshold")
 
 
 def survivor_table(catalogue: DataFrame, columns: tuple[str, ...] = ("hash", "expression", "source", "is_ic", "is_icir", "is_tstat", "is_sharpe", "turnover", "coverage")) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crosssection import average_rank, cs_rank, drawdown, equity_curve
+from ..functions.elementwise import clip
 
 DAYS_PER_YEAR = 252
 #: A spread at or below this counts as none.
@@ -50,12 +51,35 @@ def turnover(df: DataFrame, signal: str, keys: Keys = ()) -> DataFrame:
 
 
 def factor_return(df: DataFrame, signal: str, label: str, keys: Keys = ()) -> DataFrame:
-    """keys, date, ret: the return of a dollar-neutral book with weights by centred rank; null where all ranks tie."""
+    """keys, date, ret: the return (clipped) of a dollar-neutral book with weights by centred rank; null where all ranks tie."""
     by = (*keys, "date")
-    cells = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(signal).alias("_x"), F.col(label).alias("_y"))
-    ranked = cells.select(*by, "_y", average_rank(F.col("_x"), by).alias("_x"))
-    centred = ranked.withColumn("_x", F.col("_x") - F.avg("_x").over(Window.partitionBy(*by)))
-    return centred.groupBy(*by).agg(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.abs("_x"))).alias("ret"))
+    cells = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(signal).alias("_x"), clip(F.col(label)).alias("_y"))
+    ranked = cells.select(*by, "_y", average_rank(F.col("_x"), by).alias("_x"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
+    return ranked.groupBy(*by).agg(_book_return(F.col("_x"), F.col("_n"), F.col("_y")).alias("ret"))
+
+
+def _book_return(rank: Column, n: Column, ret: Column) -> Column:
+    """Aggregate: weights are ranks less their mean, which is (n + 1) / 2 of n cells."""
+    weight = rank - (n + 1) / 2
+    return F.try_divide(F.sum(weight * ret), F.sum(F.abs(weight)))
+
+
+def daily_figures(df: DataFrame, signal: str, label: str, keys: Keys = (), scored: Column | None = None) -> DataFrame:
+    """keys, date, ic, n_joint, ret (of factor_return), moved (mean absolute change in percentile rank), n_values, n_cells: all that scores of a signal need, per day.
+
+    IC and return are of the cells where `scored` holds (all by default). All ranks share one exchange by signal and date; the change in rank
+    needs a second one by signal and symbol; what is aggregated then has a row per signal and day. df: with symbol and t.
+    """
+    by = (*keys, "date")
+    x, y = F.col(signal), F.col(label)
+    joint = x.isNotNull() & y.isNotNull() & (F.lit(True) if scored is None else scored)
+    cells = df.select(*by, "symbol", "t", x.alias("_v"), F.when(joint, x).alias("_x"), F.when(joint, y).alias("_y"))
+    ranked = cells.select(*by, "symbol", "t", F.col("_v").isNotNull().alias("_has"), clip(F.col("_y")).alias("_r"), cs_rank(F.col("_v"), by).alias("_u"), average_rank(F.col("_x"), by).alias("_x"), average_rank(F.col("_y"), by).alias("_y"), F.count("_x").over(Window.partitionBy(*by)).alias("_n"))
+    before = F.lag("_u").over(Window.partitionBy(*keys, "symbol").orderBy("t"))
+    ic = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return ranked.withColumn("_moved", F.abs(F.col("_u") - before)).groupBy(*by).agg(
+        ic.alias("ic"), F.count("_x").alias("n_joint"), _book_return(F.col("_x"), F.col("_n"), F.col("_r")).alias("ret"), F.avg("_moved").alias("moved"), F.sum(F.col("_has").cast("bigint")).alias("n_values"), F.count(F.lit(1)).alias("n_cells")
+    )
 
 
 def sharpe(r: Column) -> Column:
@@ -76,12 +100,14 @@ def max_drawdown(daily: DataFrame, ret: str = "ret", keys: Keys = ()) -> DataFra
     return curve.withColumn("_d", drawdown(F.col("_e"), keys)).groupBy(*keys).agg(F.coalesce(F.min("_d"), F.lit(0.0)).alias("max_drawdown"))
 
 
-def return_summary(daily: DataFrame, ret: str = "ret", keys: Keys = ()) -> DataFrame:
-    """keys, sharpe, annual_return, max_drawdown, n_days."""
+def return_summary(daily: DataFrame, ret: str = "ret", keys: Keys = (), guarded: bool = False) -> DataFrame:
+    """keys, sharpe, annual_return, max_drawdown, n_days. guarded: with fewer than two returns or without a spread all three figures are 0, the rule of scores."""
     r = F.col(ret)
-    own = daily.groupBy(*keys).agg(sharpe(r).alias("sharpe"), annual_return(r).alias("annual_return"), F.count(r).alias("n_days"))
-    down = max_drawdown(daily, ret, keys)
-    return own.join(down, list(keys), "left") if keys else own.join(down, F.lit(True))
+    curve = daily.select(*keys, "date", r).withColumn("_e", F.when(r.isNotNull(), equity_curve(F.coalesce(r, F.lit(0.0)), keys)))
+    some = (F.stddev_samp(r) > NO_SPREAD) | F.lit(not guarded)
+    figures = {"sharpe": sharpe(r), "annual_return": annual_return(r), "max_drawdown": F.coalesce(F.min("_d"), F.lit(0.0))}
+    held = curve.withColumn("_d", drawdown(F.col("_e"), keys))
+    return held.groupBy(*keys).agg(*[F.when(some, c).otherwise(0.0).alias(n) for n, c in figures.items()], F.count(r).alias("n_days"))
 
 
 def vw_benchmark(df: DataFrame, label: str = "forward_returns", cap: str = "market_cap") -> DataFrame:

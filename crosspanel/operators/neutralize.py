@@ -12,7 +12,7 @@ from ..functions.timeseries import by_time, ts_returns, ts_std
 from ..shipping import ship
 from ..sources.readers import fields
 
-#: Trading data, which is no characteristic.
+# Trading data, which is no characteristic.
 PRICE_FIELDS = ("open", "high", "low", "close", "volume", "returns", "bid", "ask", "dollar_volume", "num_trades", "price")
 
 

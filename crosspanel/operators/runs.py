@@ -31,7 +31,7 @@ def catalogue_stats(catalogue: DataFrame) -> DataFrame:
 def token_cost(rows: DataFrame, prices: DataFrame, default: tuple[float, float] = (5.0, 30.0)) -> DataFrame:
     """rows with cost: tokens at the model's price per million; an unknown model costs the default, which is the dearest. prices: a row per model."""
     price = prices.select("model", "prompt_price", "completion_price")
-    out = rows.join(F.broadcast(price), "model", "left")
+    out = rows.join(price, "model", "left")
     million = F.lit(1e6)
     cost = F.col("prompt_tokens") / million * F.coalesce("prompt_price", F.lit(default[0])) + F.col("completion_tokens") / million * F.coalesce("completion_price", F.lit(default[1]))
     return out.withColumn("cost", cost).drop("prompt_price", "completion_price")

@@ -74,6 +74,19 @@ def select_fields(panel: DataFrame, candidates: list[str], core: list[str], min_
     return out.unionByName(good.select("field", F.lit(False).alias("is_core")))
 
 
+#: Names of fields that may be sent to every task.
+SMALL_MENU = 100_000
+
+
+def ideas_by_fields(ideas: DataFrame, fields: DataFrame) -> DataFrame:
+    """idea, field, family, members (fields of the family): every idea with every field on its menu."""
+    family = F.coalesce(*[F.when(F.col("field").isin(*members), name) for name, members in FAMILIES.items()], F.lit("other"))
+    menu = fields.select("field").distinct().withColumn("family", family)
+    menu = menu.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("family")))
+    few = menu.count() <= SMALL_MENU
+    return ideas.select("idea").join(F.broadcast(menu) if few else menu, F.lit(True))
+
+
 def default_subset_size(n: int) -> int:
     return max(3, round(math.sqrt(n)))
 
@@ -84,13 +97,11 @@ def draw_field_subset(ideas: DataFrame, fields: DataFrame, size: int | None = No
     Families are in the order of u^(1/members), so every field comes up about equally often; a daily family leads, drawn with a
     number of its own; then one field per family and round. Draws are hashes of seed, idea and name.
     """
-    family = F.coalesce(*[F.when(F.col("field").isin(*members), name) for name, members in FAMILIES.items()], F.lit("other"))
-    menu = fields.select("field").distinct().withColumn("family", family)
-    menu = menu.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("family")))
+    menu = fields.select("field").distinct()
     n = menu.count()  # names of fields, not data
     size = default_subset_size(n) if size is None else size
     u = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 11).cast("double") / F.lit(float(1 << 53))
-    cells = ideas.select("idea").join(F.broadcast(menu), F.lit(True))
+    cells = ideas_by_fields(ideas, menu)
     cells = cells.withColumn("key", F.pow(u("idea", F.lit("family"), "family"), 1 / F.col("members")))
     daily = F.col("family").isin(*DAILY_FAMILIES)
     cells = cells.withColumn("lead", F.when(daily, F.pow(u("idea", F.lit("lead"), "family"), 1 / F.col("members"))))

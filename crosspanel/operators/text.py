@@ -137,11 +137,11 @@ def metric_sentence(expr: Column, ic: Column, icir: Column, sharpe: Column, annu
     return F.format_string("%s: %s %s signal, mean IC %.4f, ICIR %.4f; long-short Sharpe %.2f, %.2f%% a year, drawdown %.2f%%", expr, strength, direction, ic, icir, sharpe, annual * 100, drawdown * 100)
 
 
-def sweep_candidates(spark, fields: list[str], operators: list[str] | None = None, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """expression: every registered unary time-series operator and window on every field, or a share of them by hash."""
+def sweep_candidates(spark, fields: list[str] | DataFrame, operators: list[str] | None = None, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """expression: every registered unary time-series operator and window on every field (names, or a table with the column field), or a share of them by hash."""
     pairs = [(op, w) for op, windows in WINDOWS.items() if op not in ("ts_corr", "ts_cov") and (operators is None or op in operators) for w in windows]
     ops = spark.createDataFrame(pairs, "op string, w int").select(F.concat_ws("_", "op", "w").alias("name"))
-    menu = spark.createDataFrame([(f,) for f in fields], "field string")
-    out = ops.join(F.broadcast(menu), F.lit(True)).select(F.concat("name", F.lit("("), "field", F.lit(")")).alias("expression"))
+    menu = fields if isinstance(fields, DataFrame) else spark.createDataFrame([(f,) for f in fields], "field string")
+    out = menu.select("field").join(F.broadcast(ops), F.lit(True)).select(F.concat("name", F.lit("("), "field", F.lit(")")).alias("expression"))
     u = F.pmod(F.xxhash64(F.lit(seed), "expression"), F.lit(1_000_000)) / 1_000_000
     return out.where(u < share)

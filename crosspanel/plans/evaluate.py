@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import finite
+from ..sources.writers import materialized
 from .registry import IS_CROSS_SECTION, REGISTRY
 
 Formula = str | float | tuple
@@ -70,6 +71,8 @@ def signal_columns(panel: DataFrame, signals: dict[str, Formula]) -> DataFrame:
 def evaluate_signals(panel: DataFrame, signals: dict[str, Formula], keep: tuple[str, ...] = ("date", "t", "symbol")) -> DataFrame:
     """signal_id, the kept columns, value: a long table of all signals, BATCH signals per plan."""
     out = None
+    if len(signals) > BATCH:  # read by more than one plan
+        panel = materialized(panel, "panel")
     for part in batched(signals.items(), BATCH):
         wide = signal_columns(panel, dict(part))
         ids = [k for k, _ in part]

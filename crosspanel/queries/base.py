@@ -146,14 +146,15 @@ def long_short_sql(rows: str, by: str = "date", q: int = 5) -> str:
     return f"SELECT {by}, coalesce(ret, 0.0) AS ret FROM (SELECT DISTINCT {by} FROM ({rows})) LEFT JOIN ({daily}) USING ({by})"
 
 
-def returns_sql(daily: str, by: str = "") -> str:
+def returns_sql(daily: str, by: str = "", guarded: bool = False) -> str:
     """sharpe, annual_return, max_drawdown, n_days of SELECT by, date, ret."""
+    some = "stddev_samp(ret) > 1e-12 AND" if guarded else ""
     part, group, key = (f"PARTITION BY {by}", f"GROUP BY {by}", f"{by}, ") if by else ("", "", "")
     curve = f"SELECT {key}date, ret, product(1 + ret) OVER ({part} ORDER BY date) AS e FROM ({daily})"
     down = f"SELECT {key}ret, (e - max(e) OVER ({part} ORDER BY date)) / nullif(max(e) OVER ({part} ORDER BY date), 0) AS d FROM ({curve})"
     return f"""SELECT {key}CASE WHEN stddev_samp(ret) > 1e-12 THEN sqrt(252) * avg(ret) / stddev_samp(ret) ELSE 0.0 END AS sharpe,
-        CASE WHEN count(ret) = 0 THEN 0.0 WHEN product(1 + ret) <= 0 THEN -1.0 ELSE pow(product(1 + ret), 252.0 / count(ret)) - 1 END AS annual_return,
-        coalesce(min(d), 0.0) AS max_drawdown, count(ret) AS n_days FROM ({down}) {group}"""
+        CASE WHEN {some} count(ret) > 0 THEN CASE WHEN product(1 + ret) <= 0 THEN -1.0 ELSE pow(product(1 + ret), 252.0 / count(ret)) - 1 END ELSE 0.0 END AS annual_return,
+        CASE WHEN {some} count(ret) > 0 THEN coalesce(min(d), 0.0) ELSE 0.0 END AS max_drawdown, count(ret) AS n_days FROM ({down}) {group}"""
 
 
 def turnover_sql(rows: str, by: str = "") -> str:

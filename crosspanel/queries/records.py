@@ -49,18 +49,18 @@ def write_report(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("s14_append_new", f"SELECT count(*) FILTER (id % 3 <> 0) AS n_new, count(*) FILTER (id % 3 = 0) AS n_dup FROM ({_CDB})")
+@query("s14_append_new", f"SELECT count(*) FILTER (status <> 'reject') AS n_new, count(*) FILTER (status = 'reject') AS n_dup FROM ({_CDB})")
 def append_new(spark, sf_dir):
     path, cat = scratch(spark, "catalogue"), catalogue(spark, sf_dir)
-    cat.where("id % 3 = 0").write.parquet(path)
+    cat.where("status = 'reject'").write.parquet(path)
     new, dup = writers.append_new(path, cat)
     return spark.createDataFrame([(new, dup)], "n_new bigint, n_dup bigint")
 
 
-@query("s14_append_counts", f"SELECT count(*) FILTER (id % 3 <> 0) AS n_new, count(*) FILTER (id % 3 = 0) AS n_dup FROM ({_CDB})")
+@query("s14_append_counts", f"SELECT count(*) FILTER (status <> 'reject') AS n_new, count(*) FILTER (status = 'reject') AS n_dup FROM ({_CDB})")
 def append_counts(spark, sf_dir):
     cat = catalogue(spark, sf_dir)
-    return writers.append_counts(cat.where("id % 3 = 0"), cat)
+    return writers.append_counts(cat.where("status = 'reject'"), cat)
 
 
 @query("s15_evolve_schema", f"SELECT id, NULL::DOUBLE AS is_max_drawdown, NULL::BIGINT AS depth FROM ({_CDB})")
@@ -163,10 +163,10 @@ def rates(spark, sf_dir):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
-@query("u04_merge_catalogues", f"SELECT id, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS run FROM ({_CDB})")
+@query("u04_merge_catalogues", f"SELECT id, CASE WHEN status = 'reject' THEN 2 ELSE 1 END AS run FROM ({_CDB})")
 def merge_catalogues(spark, sf_dir):
-    cat = catalogue(spark, sf_dir).select("id", "hash")
-    out = writers.merge_catalogues(cat.withColumn("run", F.lit(1)), cat.where("id % 3 = 0").withColumn("run", F.lit(2)), "hash", "run")
+    cat = catalogue(spark, sf_dir).select("id", "hash", "status")
+    out = writers.merge_catalogues(cat.withColumn("run", F.lit(1)), cat.where("status = 'reject'").withColumn("run", F.lit(2)), "hash", "run")
     return out.select("id", "run")
 
 
@@ -218,7 +218,12 @@ def sanitize(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), asof.sanitize_name(F.col("p_name")).alias("name"))
 
 
-@query("t08_extract_json_payload")
+_SAID = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('Sure:', chr(10), '```json', chr(10), props, chr(10), '```', chr(10), 'Done') WHEN 2 THEN concat('I think [', props, '] fits') ELSE 'no json {here' END"
+_BODY = "trim(CASE WHEN contains(said, '```json') THEN regexp_extract(said, '```json(.*?)```', 1, 's') ELSE said END, concat(' ', chr(9), chr(10), chr(13)))"
+
+
+@query("t08_extract_json_payload", f"""SELECT event_id, coalesce(CASE WHEN json_valid(body) THEN body END, CASE WHEN json_valid(listed) THEN listed END, CASE WHEN json_valid(one) THEN one END) AS payload
+    FROM (SELECT event_id, body, nullif(regexp_extract(body, '(\\[.*\\])', 1, 's'), '') AS listed, nullif(regexp_extract(body, '(\\{{.*\\}})', 1, 's'), '') AS one FROM (SELECT event_id, {_BODY} AS body FROM (SELECT event_id, {_SAID} AS said FROM events)))""")
 def extract_json(spark, sf_dir):
     k, props = F.col("event_id") % 4, F.col("props")
     said = F.when(k == 0, props).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n```\nDone"))).when(k == 2, F.concat(F.lit("I think ["), props, F.lit("] fits"))).otherwise("no json {here")
@@ -242,5 +247,5 @@ def metric_sentence(spark, sf_dir):
 
 @query("t11_sweep_candidates", "SELECT concat(op, '_', w, '(', f, ')') AS expression FROM (VALUES ('ts_mean', 5), ('ts_mean', 10), ('ts_mean', 20), ('ts_mean', 60), ('ts_skew', 60)) o(op, w), (SELECT DISTINCT o_orderpriority AS f FROM orders)")
 def sweep(spark, sf_dir):
-    fields = [r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect()]  # five names
+    fields = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("field")).distinct()
     return text.sweep_candidates(spark, fields, ["ts_mean", "ts_skew"])

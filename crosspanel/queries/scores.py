@@ -42,7 +42,7 @@ def turnover(spark, sf_dir):
     return rounded(metrics.turnover(signal(spark, sf_dir), "x"), "turnover")
 
 _CENTRED = f"SELECT date, y, rk - avg(rk) OVER (PARTITION BY date) AS c FROM (SELECT date, y, {avg_rank_sql('x')} AS rk FROM s WHERE x IS NOT NULL AND y IS NOT NULL)"
-_FACTOR = f"SELECT date, sum(c * y) / nullif(sum(abs(c)), 0) AS ret FROM ({_CENTRED}) GROUP BY date"
+_FACTOR = f"SELECT date, sum(c * least(greatest(y, -0.95), 1.0)) / nullif(sum(abs(c)), 0) AS ret FROM ({_CENTRED}) GROUP BY date"
 
 @query("a12_factor_return", f"{_X} SELECT date, {q6('ret')} AS value FROM ({_FACTOR})")
 def factor_return(spark, sf_dir):
@@ -54,10 +54,10 @@ _FIGURES = "sharpe", "annual_return", "max_drawdown"
 def long_short(spark, sf_dir):
     return backtest.long_short(signal(spark, sf_dir), "x", "y")
 
-@query("a13_summary", f"{_X} SELECT {', '.join(f'{q6(c)} AS {c}' for c in _FIGURES)}, n_days FROM ({returns_sql(_FACTOR)})")
+@query("a13_summary", f"{_X} SELECT {', '.join(f'{q6(c)} AS {c}' for c in _FIGURES)}, n_days FROM ({returns_sql(_FACTOR, guarded=True)})")
 def summary(spark, sf_dir):
     daily = metrics.factor_return(signal(spark, sf_dir), "x", "y")
-    return rounded(metrics.return_summary(daily), *_FIGURES)
+    return rounded(metrics.return_summary(daily, guarded=True), *_FIGURES)
 
 def _figure(name: str, column: str) -> None:
     @query(name, f"{_X} SELECT {q6(column)} AS {column} FROM ({returns_sql(_LS)})")
@@ -159,11 +159,19 @@ def fast_ic(spark, sf_dir):
 def select_terminals(spark, sf_dir):
     return screen.select_fields(panel_w(spark, sf_dir), _FIELDS, ["close", "volume"], 5, 0.1, True, 4, MIN_STOCKS)
 
+_MENU = [(f, family, len(members)) for family, members in screen.FAMILIES.items() for f in members]
+
+def _ideas(spark, sf_dir):
+    ideas = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("idea"))
+    return ideas, spark.createDataFrame([(f,) for f, *_ in _MENU], "field string")
+
 @query("g04_draw_field_subset")
 def draw_subset(spark, sf_dir):
-    ideas = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("idea"))
-    menu = spark.createDataFrame([(f,) for members in screen.FAMILIES.values() for f in members], "field string")
-    return screen.draw_field_subset(ideas, menu)
+    return screen.draw_field_subset(*_ideas(spark, sf_dir))
+
+@query("j10_ideas_by_fields", f"SELECT p_partkey AS idea, field, family, members FROM part, (VALUES {', '.join(f'{(f, family)}'[:-1] + f', {n}::BIGINT)' for f, family, n in _MENU)}) m(field, family, members)")
+def ideas_by_fields(spark, sf_dir):
+    return screen.ideas_by_fields(*_ideas(spark, sf_dir))
 
 _GATE = """d AS (SELECT signal_id, date, count(value) AS n, count(*) AS cells, count(DISTINCT value) AS k, coalesce(stddev_samp(value), 0) AS sd FROM long GROUP BY 1, 2)"""
 
@@ -194,11 +202,12 @@ def search_fitness(spark, sf_dir):
 
 _THIN = "SELECT signal_id, date, t, symbol, value AS x, forward_returns AS y FROM long WHERE t % 3 = 0"
 _LC = f"SELECT signal_id, date, y, rk - avg(rk) OVER (PARTITION BY signal_id, date) AS c FROM (SELECT signal_id, date, y, {avg_rank_sql('x', _SD)} AS rk FROM ({_THIN}) WHERE x IS NOT NULL AND y IS NOT NULL)"
-_LF = f"SELECT * FROM (SELECT signal_id, date, sum(c * y) / nullif(sum(abs(c)), 0) AS ret FROM ({_LC}) GROUP BY 1, 2) WHERE ret IS NOT NULL"
+_LF = f"SELECT * FROM (SELECT signal_id, date, sum(c * least(greatest(y, -0.95), 1.0)) / nullif(sum(abs(c)), 0) AS ret FROM ({_LC}) GROUP BY 1, 2) WHERE ret IS NOT NULL"
 _SCORES = f"""{LONG}, a AS (SELECT signal_id, coalesce(avg(ic), 0.0) AS is_ic, {_ICIR} AS is_icir, ({_ICIR}) * sqrt(count(ic) * 3.0) AS is_tstat FROM ({ic_sql(_THIN, _SD)}) GROUP BY signal_id),
-    b AS (SELECT signal_id, sharpe AS is_sharpe, annual_return AS is_annual_return, max_drawdown AS is_max_drawdown FROM ({returns_sql(_LF, "signal_id")})),
+    b AS (SELECT signal_id, sharpe AS is_sharpe, annual_return AS is_annual_return, max_drawdown AS is_max_drawdown FROM ({returns_sql(_LF, "signal_id", guarded=True)})),
     c AS ({turnover_sql(_LROWS, "signal_id")}), e AS (SELECT signal_id, count(value) / count(*) AS coverage FROM long GROUP BY 1),
-    scores AS (SELECT * FROM a JOIN b USING (signal_id) JOIN c USING (signal_id) JOIN e USING (signal_id))"""
+    scores AS (SELECT signal_id, turnover, coverage, {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in ("is_ic", "is_icir", "is_tstat", "is_sharpe", "is_annual_return", "is_max_drawdown"))}
+        FROM e LEFT JOIN c USING (signal_id) LEFT JOIN a USING (signal_id) LEFT JOIN b USING (signal_id))"""
 
 _SHOWN = ("is_ic", "is_icir", "is_tstat", "is_sharpe", "is_max_drawdown", "turnover", "coverage")
 
@@ -236,12 +245,32 @@ def combine_weighted(spark, sf_dir):
 def _parts(spark, sf_dir):
     return universe.split(gate.standardised(signals_long(spark, sf_dir)), IS_END)
 
-@query("g10_fit_orthogonal")
+_ORDER = sorted(_WEIGHTS, key=lambda i: (-abs(_WEIGHTS[i]), i))
+
+
+def _steps_sql(name: str, where: str, fitted: str) -> str:
+    """CTEs {name}_0, {name}_1, ...: cells with the running sum and count of residuals after each signal; slopes are b1, b2, ..., made from `fitted`."""
+    picked = ", ".join(f"max(z) FILTER (signal_id = '{i}') AS s{k}" for k, i in enumerate(_ORDER))
+    out = [f"{name}_0 AS (SELECT *, coalesce(s0, 0.0) AS num, (s0 IS NOT NULL)::INT AS cnt FROM (SELECT date, symbol, {picked} FROM ({_Z}) WHERE {where} GROUP BY date, symbol))"]
+    for k in range(1, len(_ORDER)):
+        if name == fitted:
+            out.append(f"b{k} AS (SELECT coalesce(sum(s{k} * c) / nullif(sum(c * c), 0), 0.0) AS b FROM (SELECT s{k}, num / nullif(cnt, 0) AS c FROM {name}_{k - 1}) WHERE s{k} IS NOT NULL AND c IS NOT NULL)")
+        res = f"SELECT {name}_{k - 1}.*, s{k} - b * (num / nullif(cnt, 0)) AS res FROM {name}_{k - 1}, b{k}"
+        out.append(f"{name}_{k} AS (SELECT * EXCLUDE (num, cnt, res), num + coalesce(res, 0.0) AS num, cnt + (res IS NOT NULL)::INT AS cnt FROM ({res}))")
+    return ", ".join(out)
+
+
+_IN, _OUT = f"date <= DATE '{IS_END}'", f"date > DATE '{IS_END}'"
+_FIT = f"{LONG}, {_steps_sql('fit', _IN, 'fit')}"
+_BETAS = " UNION ALL ".join([f"SELECT 0 AS at, '{_ORDER[0]}' AS signal_id, NULL::DOUBLE AS beta", *(f"SELECT {k}, '{i}', {q6('b')} FROM b{k}" for k, i in enumerate(_ORDER) if k)])
+
+
+@query("g10_fit_orthogonal", f"{_FIT} {_BETAS}")
 def fit_orthogonal(spark, sf_dir):
     betas = combine.fit_orthogonal(_parts(spark, sf_dir)[0], _WEIGHTS)
-    return spark.createDataFrame([(k, i, b) for k, (i, b) in enumerate(betas)], "at int, signal_id string, beta double")
+    return rounded(spark.createDataFrame([(k, i, b) for k, (i, b) in enumerate(betas)], "at int, signal_id string, beta double"), "beta")
 
-@query("g11_apply_orthogonal")
+@query("g11_apply_orthogonal", f"{_FIT}, {_steps_sql('test', _OUT, 'fit')} SELECT date, symbol, {q6('num / nullif(cnt, 0)')} AS value FROM test_{len(_ORDER) - 1}")
 def apply_orthogonal(spark, sf_dir):
     fit, test = _parts(spark, sf_dir)
     return rounded(combine.apply_orthogonal(test, combine.fit_orthogonal(fit, _WEIGHTS), list(SIGNALS)), "value")
@@ -256,8 +285,6 @@ def _books(spark, sf_dir) -> DataFrame:
 def _method_sql(where: str) -> str:
     return f"SELECT signal_id AS method, sharpe FROM ({returns_sql(long_short_sql(f'SELECT signal_id, date, symbol, round(x, 12) AS x, y FROM books WHERE {where}', _SD), 'signal_id')})"
 
-_IN, _OUT = f"date <= DATE '{IS_END}'", f"date > DATE '{IS_END}'"
-
 def _rounded_books(spark, sf_dir):
     return universe.split(_books(spark, sf_dir).withColumn("value", F.round("value", 12)), IS_END)
 
@@ -276,7 +303,7 @@ _TAUS = [0.0, 0.5, 1.0]
     "g17_gate_ablation",
     f"""{_SCORES}, g AS (SELECT signal_id, tau AS threshold FROM scores, (VALUES {", ".join(f"({x}::DOUBLE)" for x in _TAUS)}) v(tau) WHERE abs(is_tstat) >= tau),
     book AS (SELECT threshold, date, symbol, round(avg(value), 9) AS x, any_value(forward_returns) AS y FROM long JOIN g USING (signal_id) GROUP BY 1, 2, 3)
-    SELECT threshold, n, {q6("ic")} AS ic, {q6("sharpe")} AS sharpe, {q6("annual_return")} AS annual_return FROM (SELECT threshold, count(*) AS n FROM g GROUP BY 1)
+    SELECT threshold, n, {q6("coalesce(ic, 0.0)")} AS ic, {q6("sharpe")} AS sharpe, {q6("annual_return")} AS annual_return FROM (SELECT threshold, count(*) AS n FROM g GROUP BY 1)
     LEFT JOIN (SELECT threshold, avg(ic) AS ic FROM ({ic_sql("SELECT threshold, date, x, y FROM book", "threshold, date")}) GROUP BY 1) USING (threshold)
     LEFT JOIN ({returns_sql(long_short_sql("SELECT threshold, date, symbol, x, y FROM book", "threshold, date"), "threshold")}) USING (threshold)""",
 )
@@ -312,7 +339,7 @@ def effective_breadth(spark, sf_dir):
     out = diversity.effective_breadth(diversity.pairwise_rho(s), mean).withColumn("ceiling", F.least("ceiling", F.lit(1e9)))
     return rounded(out, "rho", "n_eff", "ceiling", "realised", "implied_sharpe")
 
-@query("o03_top_by_ic", f"{_SCORES} SELECT signal_id, {q6('is_ic')} AS is_ic FROM scores ORDER BY abs(is_ic) DESC LIMIT 3")
+@query("o03_top_by_ic", f"{_SCORES} SELECT signal_id, {q6('is_ic')} AS is_ic FROM scores ORDER BY abs(is_ic) DESC, signal_id LIMIT 3")
 def top_by_ic(spark, sf_dir):
-    return gate.score_signals(signals_long(spark, sf_dir), 3, min_stocks=MIN_STOCKS).orderBy(F.desc(F.abs("is_ic"))).limit(3).select("signal_id", r6("is_ic").alias("is_ic"))
+    return gate.score_signals(signals_long(spark, sf_dir), 3, min_stocks=MIN_STOCKS).orderBy(F.desc(F.abs("is_ic")), "signal_id").limit(3).select("signal_id", r6("is_ic").alias("is_ic"))
 

@@ -19,9 +19,12 @@ CATALOGUE = T.StructType(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in spark.checkpoint.dir, the folder that driver and executors share; where it is unset, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crosspanel-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new place in spark.checkpoint.dir, the folder that driver and executors share; where it is unset, a local one, which only a local master allows."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='crosspanel-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
@@ -31,9 +34,10 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_panel(panel: DataFrame, path: str) -> None:
-    """One long table by year, so that splits prune; a year's rows are gathered so that files stay few."""
-    panel.withColumn("year", F.year("date")).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+def write_panel(panel: DataFrame, path: str, rows_a_file: int = 10_000_000) -> None:
+    """One long table by year, so that splits prune. Rows are dealt out by year and date, so that a year is shared by several tasks and files are few and in order."""
+    rows = panel.withColumn("year", F.year("date")).repartitionByRange("year", "date")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy("year").parquet(path)
 
 
 def evolve_schema(catalogue: DataFrame, schema: T.StructType = CATALOGUE) -> DataFrame:
