@@ -27,8 +27,8 @@ def cs_zscore(x: Column, keys: tuple[str, ...] = DATE) -> Column:
     return F.try_divide(x - F.avg(x).over(across(keys)), F.stddev_samp(x).over(across(keys)))
 
 
-def cs_winsorize(x: Column, low: float = 0.01, high: float = 0.99) -> Column:
-    lo, hi = (F.percentile(x, F.lit(p)).over(across()) for p in (low, high))
+def cs_winsorize(x: Column, low: float = 0.01, high: float = 0.99, keys: tuple[str, ...] = DATE) -> Column:
+    lo, hi = (F.percentile(x, F.lit(p)).over(across(keys)) for p in (low, high))
     return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
 
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import WINDOWS
-from ..shipping import ship
 
 # Short names that stand for operators, and the window that an operator has where none is given.
 ALIASES = {"rank": "cs_rank", "zscore": "cs_zscore", "delta": "ts_delta", "std": "ts_std", "mean": "ts_mean", "abs": "abs_val", "log": "log_abs", "div": "safe_div"}
@@ -23,43 +19,37 @@ def normalize_alias(expr: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(expr, r"correlation\(", "ts_corr_20("), r"(?<!\w)corr\(", "ts_corr_20(")
 
 
-def _closing(text: str, at: int) -> int:
-    """Where the parenthesis opened just before `at` closes; -1 if it doesn't."""
-    depth = 1
-    for i in range(at, len(text)):
-        depth += (text[i] == "(") - (text[i] == ")")
-        if not depth:
-            return i
-    return -1
+#: Stand for the parentheses of calls that are done; they occur in no formula.
+OPENED, CLOSED = "\ue000", "\ue001"
 
 
-def _curried(expr: str | None) -> str | None:
-    """ts_op(x, w) as ts_op_w(x); a window that isn't registered becomes the operator's default where it has one."""
-    if expr is None:
-        return None
-    for _ in range(MAX_NESTING):
-        for m in re.finditer(r"(ts_[a-z_]+)\(", expr):
-            end = _closing(expr, m.end())
-            args, comma, window = expr[m.end() : end].rpartition(",") if end >= 0 else ("", "", "")
-            known = WINDOWS.get(m[1], ())
-            if comma and window.strip().isdecimal() and args.count("(") == args.count(")"):
-                w = int(window) if int(window) in known else DEFAULT_WINDOWS.get(m[1])
-                if w in known:
-                    expr = f"{expr[: m.start()]}{m[1]}_{w}({args.strip()}){expr[end + 1 :]}"
-                    break
-        else:
-            break
-    return re.sub(r"(?<!\w)(%s)\((?!\d)" % "|".join(DEFAULT_WINDOWS), lambda m: f"{m[1]}_{DEFAULT_WINDOWS[m[1]]}(", expr)
+def _alike(windows: dict[str, object]) -> dict[object, str]:
+    """Operators with the same windows, as alternatives of a pattern."""
+    out: dict[object, str] = {}
+    for op, w in windows.items():
+        out[w] = f"{out[w]}|{op}" if w in out else op
+    return out
 
 
-def _curry(expr: pd.Series) -> pd.Series:
-    return expr.map(_curried, na_action="ignore")
+def curry_rules() -> list[tuple[str, str]]:
+    """(pattern, replacement) in turn, for calls without a call inside: a registered window joins the name, any other gives way to the default, the rest stay."""
+    rules = [(rf"({ops})\(\s*([^()]*?)\s*,\s*0*({'|'.join(map(str, w))})\s*\)", f"$1_$3{OPENED}$2{CLOSED}") for w, ops in _alike(WINDOWS).items()]
+    rules += [(rf"({ops})\(\s*([^()]*?)\s*,\s*[0-9]+\s*\)", f"$1_{w}{OPENED}$2{CLOSED}") for w, ops in _alike(DEFAULT_WINDOWS).items()]
+    return [*rules, (r"\(([^()]*)\)", f"{OPENED}$1{CLOSED}")]
 
 
 def curry_windows(expr: Column) -> Column:
-    """Nested calls need a balanced scan, which no built-in function makes; texts go through Arrow in batches."""
-    ship(SparkSession.active())
-    return F.pandas_udf(_curry, "string")(expr)
+    """ts_op(x, w) as ts_op_w(x); a window that isn't registered becomes the operator's default where it has one, and so does a missing one.
+
+    Calls are done from the innermost outwards, up to MAX_NESTING levels.
+    """
+    for _ in range(MAX_NESTING):
+        for pattern, to in curry_rules():
+            expr = F.regexp_replace(expr, pattern, to)
+    expr = F.translate(expr, OPENED + CLOSED, "()")
+    for w, ops in _alike(DEFAULT_WINDOWS).items():
+        expr = F.regexp_replace(expr, rf"(?<!\w)({ops})\((?!\d)", f"$1_{w}(")
+    return expr
 
 
 def normalize_expression(expr: Column) -> Column:

@@ -12,6 +12,7 @@ from itertools import batched
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.crosssection import cs_rank, cs_winsorize, cs_zscore
 from ..functions.elementwise import finite
 from ..sources.writers import materialized
 from .registry import IS_CROSS_SECTION, REGISTRY
@@ -21,6 +22,8 @@ Formula = str | float | tuple
 BATCH = 50
 #: Digits that derived columns keep before they are ranked, so that equal values tie.
 DIGITS = 12
+#: Functions of one column across the symbols of a date, which can be keyed by signal too.
+ACROSS = {"cs_rank": cs_rank, "cs_zscore": cs_zscore, "cs_winsorize": lambda x, keys: cs_winsorize(x, keys=keys)}
 
 
 def text(f: Formula) -> str:
@@ -68,15 +71,39 @@ def signal_columns(panel: DataFrame, signals: dict[str, Formula]) -> DataFrame:
     return out.drop(*names.values())
 
 
+def _outer(f: Formula) -> str | None:
+    """The function across dates that a formula ends with, if it is one of a single column."""
+    return f[0] if isinstance(f, tuple) and f[0] in ACROSS and len(f) == 2 else None
+
+
+def _ranked_long(long: DataFrame, outer: dict[str, tuple[str, bool]]) -> DataFrame:
+    """long with the values of the signals in `outer` put through their function, all signals of a function by one window. outer: name, and whether its argument is derived."""
+    among = lambda ids: F.col("signal_id").isin(*ids) if ids else F.lit(False)
+    value = F.col("value")
+    for name in sorted({n for n, _ in outer.values()}):
+        own = among([k for k, (n, _) in outer.items() if n == name])
+        derived = among([k for k, (n, d) in outer.items() if n == name and d and name == "cs_rank"])
+        x = F.when(own, F.when(derived, F.round("value", DIGITS)).otherwise(F.col("value")))
+        value = F.when(own, finite(ACROSS[name](x, ("signal_id", "date")))).otherwise(value)
+    return long.withColumn("value", value)
+
+
 def evaluate_signals(panel: DataFrame, signals: dict[str, Formula], keep: tuple[str, ...] = ("date", "t", "symbol")) -> DataFrame:
-    """signal_id, the kept columns, value: a long table of all signals, BATCH signals per plan."""
+    """signal_id, the kept columns, value: a long table of all signals, BATCH signals per plan.
+
+    A function across dates at the end of formulas is applied to the long table, by signal and date: one exchange and one sort for all signals
+    instead of a sort of the wide table for each.
+    """
     out = None
     if len(signals) > BATCH:  # read by more than one plan
         panel = materialized(panel, "panel")
+    columns = set(panel.columns)
     for part in batched(signals.items(), BATCH):
-        wide = signal_columns(panel, dict(part))
+        outer = {k: (name, isinstance(f[1], tuple)) for k, f in part if (name := _outer(f)) and _valid(f, columns)}
+        wide = signal_columns(panel, {k: f[1] if k in outer else f for k, f in part})
         ids = [k for k, _ in part]
         long = wide.select(*keep, *ids).unpivot(list(keep), ids, "signal_id", "value")
+        long = _ranked_long(long, outer) if outer else long
         out = long if out is None else out.unionByName(long)
     if out is None:
         raise ValueError("no signals")

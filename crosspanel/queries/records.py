@@ -182,7 +182,17 @@ def normalize_alias(spark, sf_dir):
     return both(spark, sf_dir, _RAW, "part").select("id", text.normalize_alias(F.col("expression")).alias("expression"))
 
 
-@query("t02_curry_windows")
+_CURRIED = _ALIAS
+for _ in range(text.MAX_NESTING):
+    for _a, _b in text.curry_rules():
+        _b = _b.replace("$", "\\")
+        _CURRIED = f"regexp_replace({_CURRIED}, '{_a}', '{_b}', 'g')"
+_CURRIED = f"translate({_CURRIED}, '{text.OPENED}{text.CLOSED}', '()')"
+for _op, _w in [*text.DEFAULT_WINDOWS.items()] * 2:  # a match takes the character before it, so calls side by side need a second pass
+    _CURRIED = f"regexp_replace({_CURRIED}, '(^|[^A-Za-z0-9_]){_op}\\(([^0-9]|$)', '\\1{_op}_{_w}(\\2', 'g')"
+
+
+@query("t02_curry_windows", f"SELECT id, {_CURRIED} AS expression FROM ({_RAW.format(part='part')})")
 def curry_windows(spark, sf_dir):
     return both(spark, sf_dir, _RAW, "part").select("id", text.normalize_expression(F.col("expression")).alias("expression"))
 
