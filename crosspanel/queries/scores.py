@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.crosssection import drawdown, equity_curve
 from ..functions.timeseries import ts_delta
-from ..operators import backtest, combine, diversity, gate, metrics, screen, universe
-from .base import IS_END, LONG, MIN_STOCKS, PANEL_W, P, SIGNALS, avg_rank_sql, ic_sql, long_short_sql, panel_w, q6, query, r6, returns_sql, signals_long, turnover_sql
+from ..operators import backtest, combine, diversity, gate, metrics, neutralize, screen, universe
+from .base import IS_END, LONG, MIN_STOCKS, PANEL_W, P, SIGNALS, avg_rank_sql, ic_sql, long_short_sql, panel_w, pct_rank_sql, q6, query, r6, returns_sql, signals_long, turnover_sql
 
 _X = f"{PANEL_W}, s AS (SELECT date, t, symbol, member, market_cap, round(close - lag(close, 5) {P}, 12) AS x, forward_returns AS y FROM panel)"
 _ROWS = "SELECT date, t, symbol, x, y FROM s"
@@ -95,6 +95,17 @@ def portfolio_metrics(spark, sf_dir):
     out = backtest.portfolio_metrics(signal(spark, sf_dir), "x", "y", MIN_STOCKS)
     return out.select(*[r6(c).alias(c) for c in ("ic", "icir", *_FIGURES, "turnover")])
 
+_NEUTRAL = f"""{PANEL_W}, r AS (SELECT date, t, symbol, round(close - lag(close, 5) {P}, 12) AS v, forward_returns AS y, coalesce({pct_rank_sql("volume")}, 0.5) AS c FROM panel),
+    fit AS (SELECT date, regr_slope(v, c) AS b, regr_intercept(v, c) AS a, count(v) AS n FROM r GROUP BY date),
+    s AS (SELECT date, t, symbol, round(CASE WHEN n >= 20 THEN v - a - b * c END, 9) AS x, y FROM r JOIN fit USING (date))"""
+
+@query("g13_factor_neutral_book", f"{_NEUTRAL} SELECT {q6('ic')} AS ic, {q6('icir')} AS icir, {', '.join(f'{q6(c)} AS {c}' for c in _FIGURES)}, {q6('turnover')} AS turnover FROM (SELECT coalesce(avg(ic), 0.0) AS ic, {_ICIR} AS icir FROM ({ic_sql(_ROWS)})), ({returns_sql(_LS)}), ({turnover_sql(_ROWS)})")
+def factor_neutral_book(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    rest = neutralize.single_neutralize(s, "x", "volume").select("date", "symbol", F.round("value", 9).alias("value"))
+    out = backtest.portfolio_metrics(s.select("date", "t", "symbol", "y").join(rest, ["date", "symbol"]), "value", "y", MIN_STOCKS)
+    return out.select(*[r6(c).alias(c) for c in ("ic", "icir", *_FIGURES, "turnover")])
+
 @query(
     "a25_vw_benchmark",
     f"""{PANEL_W}, d AS (SELECT date, coalesce(coalesce(sum(forward_returns * market_cap), 0) / nullif(sum(market_cap), 0), avg(forward_returns)) AS ret FROM panel GROUP BY date)
