@@ -19,8 +19,8 @@ def normalize_alias(expr: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(expr, r"correlation\(", "ts_corr_20("), r"(?<!\w)corr\(", "ts_corr_20(")
 
 
-#: Stand for the parentheses of calls that are done; they occur in no formula.
-OPENED, CLOSED = "\ue000", "\ue001"
+#: Stand for the parentheses of calls that are done, and of those at hand; they occur in no formula.
+OPENED, CLOSED, HERE, THERE = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
 def _alike(windows: dict[str, object]) -> dict[object, str]:
@@ -32,10 +32,11 @@ def _alike(windows: dict[str, object]) -> dict[object, str]:
 
 
 def curry_rules() -> list[tuple[str, str]]:
-    """(pattern, replacement) in turn, for calls without a call inside: a registered window joins the name, any other gives way to the default, the rest stay."""
-    rules = [(rf"({ops})\(\s*([^()]*?)\s*,\s*0*({'|'.join(map(str, w))})\s*\)", f"$1_$3{OPENED}$2{CLOSED}") for w, ops in _alike(WINDOWS).items()]
-    rules += [(rf"({ops})\(\s*([^()]*?)\s*,\s*[0-9]+\s*\)", f"$1_{w}{OPENED}$2{CLOSED}") for w, ops in _alike(DEFAULT_WINDOWS).items()]
-    return [*rules, (r"\(([^()]*)\)", f"{OPENED}$1{CLOSED}")]
+    """(pattern, replacement) in turn, for the calls without a call inside: a registered window joins the name, any other gives way to the default, the rest stay."""
+    call = rf"({{}}){HERE}\s*([^{HERE}{THERE}]*?)\s*,\s*{{}}\s*{THERE}"
+    rules = [(call.format(ops, f"0*({'|'.join(map(str, w))})"), f"$1_$3{OPENED}$2{CLOSED}") for w, ops in _alike(WINDOWS).items()]
+    rules += [(call.format(ops, "[0-9]+"), f"$1_{w}{OPENED}$2{CLOSED}") for w, ops in _alike(DEFAULT_WINDOWS).items()]
+    return [(r"\(([^()]*)\)", f"{HERE}$1{THERE}"), *rules, (HERE, OPENED), (THERE, CLOSED)]
 
 
 def curry_windows(expr: Column) -> Column:
@@ -43,9 +44,13 @@ def curry_windows(expr: Column) -> Column:
 
     Calls are done from the innermost outwards, up to MAX_NESTING levels.
     """
-    for _ in range(MAX_NESTING):
+
+    def one_level(e: Column) -> Column:
         for pattern, to in curry_rules():
-            expr = F.regexp_replace(expr, pattern, to)
+            e = F.regexp_replace(e, pattern, to)
+        return e
+
+    expr = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_NESTING)), expr, lambda e, _: one_level(e))
     expr = F.translate(expr, OPENED + CLOSED, "()")
     for w, ops in _alike(DEFAULT_WINDOWS).items():
         expr = F.regexp_replace(expr, rf"(?<!\w)({ops})\((?!\d)", f"$1_{w}(")
