@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from ..shipping import ship
 
 #: The characters that part words, as they stand in a regular expression.
 SPACES = r"\x20\x09-\x0D"
+#: Rows that are handed to Python at once.
+BATCH_ROWS = 1000
 _own_scratch: list[str] = []
 _made: dict[str, list[str]] = {}
 _hooked: list = []
@@ -47,10 +50,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it holds, Spark hands Python at most BATCH_ROWS rows at a time: texts can be long, and buffers on both sides are as large as a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, computes df once, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, computes df once, survives lost executors. Session settings are as before afterwards."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -85,18 +101,25 @@ def ready_python(spark: SparkSession) -> None:
     ship(spark)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of at most `rows` rows and about `size` bytes in the given text column, so that memory is bounded where texts are long."""
-    for batch in batches:
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = BATCH_ROWS, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Copies of pieces of the batches with at most `rows` rows and about `size` bytes in the given text column, so that memory is bounded where texts are long."""
+    batches = iter(batches)
+    while (batch := next(batches, None)) is not None:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        at, held = 0, 0
+        at, held, cuts = 0, 0, []
         for i, n in enumerate(lengths.tolist()):
             if i > at and (i - at >= rows or held + n > size):
-                yield batch.slice(at, i - at)
+                cuts.append((at, i))
                 at, held = i, 0
             held += n
-        if at < batch.num_rows:
-            yield batch.slice(at)
+        cuts.append((at, batch.num_rows))
+        if len(cuts) == 1:
+            if batch.num_rows:
+                yield batch
+        else:
+            for lo, hi in cuts:
+                yield batch.take(pa.array(range(lo, hi), pa.int64()))
+        batch = None
 
 
 def share_file(spark: SparkSession, path: str) -> str:

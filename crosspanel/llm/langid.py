@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ready_python, slices, uniform
+from .common import held_out, materialize, ready_python, slices, uniform
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -137,13 +137,10 @@ class LanguageFilter:
 
 def train(docs: DataFrame, per_lang: int = 1500, least_share: float = 3e-4) -> LanguageFilter:
     ready_python(docs.sparkSession)
-    counts = ngram_counts(sample(docs, per_lang)).persist()
-    try:
-        total = counts.groupBy("lang", "n").agg(F.sum("count").alias("total"))
-        kept = counts.join(F.broadcast(total), ["lang", "n"]).where(F.col("count") >= F.lit(least_share) * F.col("total"))  # total: a row per language and order
-        grams = kept.groupBy("lang").agg(F.collect_list("h").alias("h")).collect()  # bounded by 1 / least_share n-grams per order
-    finally:
-        counts.unpersist()
+    counts = materialize(ngram_counts(sample(docs, per_lang)), "ngrams")
+    total = counts.groupBy("lang", "n").agg(F.sum("count").alias("total"))
+    kept = counts.join(F.broadcast(total), ["lang", "n"]).where(F.col("count") >= F.lit(least_share) * F.col("total"))  # total: a row per language and order
+    grams = kept.groupBy("lang").agg(F.collect_list("h").alias("h")).collect()  # bounded by 1 / least_share n-grams per order
     grams = sorted((r["lang"], np.array(r["h"], np.int64).view(np.uint64)) for r in grams) if grams else []
     size = 1 << max(10, (16 * max((len(h) for _, h in grams), default=1)).bit_length())
     word = np.uint8 if len(grams) <= 8 else np.uint64
@@ -179,7 +176,7 @@ def _decide(model: LanguageFilter, texts: list[bytes]) -> tuple[list[str], np.nd
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """doc_id, lang_pred, score. The filters are broadcast; their size is bounded (see train)."""
+    """doc_id, lang_pred, score, written to the shared folder. The filters are broadcast; their size is bounded (see train)."""
     ready_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,4 +185,4 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             langs, scores = _decide(shared.value, [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double"), "langs")

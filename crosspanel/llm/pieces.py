@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready_python, share_file, shared_file, slices
+from .common import BATCH_ROWS, materialize, ready_python, share_file, shared_file, slices
 
 MARK = "▁"
 #: Stands for the space mark where the text itself has it. No text and no piece can hold a lone surrogate, so it is encoded by bytes.
@@ -138,7 +138,7 @@ def model(path: str) -> PieceModel:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) of every row."""
+    """doc_id, ids (array of int) of every row, written to the shared folder."""
     ready_python(docs.sparkSession)
     name = share_file(docs.sparkSession, path)
 
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>"), "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -160,7 +160,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(shared_file(name))
-        for batch in batches:
+        for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             ids = batch.column(1)
             flat, at = ids.flatten().to_numpy(), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in ids)])
             texts = [m.decode(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]

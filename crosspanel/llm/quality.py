@@ -155,6 +155,6 @@ def fit(rows: DataFrame, penalty: float = 0.002, seed: int = 11) -> RuleModel:
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted for every row."""
-    scored = with_statistics(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", model.score().alias("score"))
+    """doc_id, score, predicted for every row; the scores are written to the shared folder."""
+    scored = materialize(with_statistics(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", model.score().alias("score")), "scores")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -173,10 +173,13 @@ def _plain(c: Column) -> Column:
 
 
 def _least(counts: np.ndarray, fdr: float) -> float | None:
-    """The lowest p from which on at most `fdr` of the candidates are ordinary; twice those above p = 1/2 are taken as random ones (Storey)."""
+    """The lowest p from which on at most `fdr` of the candidates are ordinary; twice those above p = 1/2 are taken as random ones (Storey).
+
+    What lies below the first cell's end is never listed: a few plain words would else pass among very many keys.
+    """
     above = counts[::-1].cumsum()[::-1]
     random = 2.0 * counts[CELLS // 2 :].sum() * (1.0 - np.arange(CELLS) / CELLS)
-    fit = np.flatnonzero((counts > 0) & (above - random <= fdr * above))
+    fit = np.flatnonzero((counts > 0) & (above - random <= fdr * above) & (np.arange(CELLS) > 0))
     return float(fit[0]) / CELLS if len(fit) else None
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ready_python, settle, slices, small
+from .common import forget, fresh, materialize, ready_python, settle, slices, small
 from .graph import connected_components
 
 BITS = 64
@@ -397,8 +397,15 @@ def _sides(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         yield at(~data, j), at(data, i)
 
 
-def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a bucket with different labels and at most `most` differing bits; where there are very many, the `limit` nearest of each member. Whether any was left out."""
+def _first_part(apart: np.ndarray, masks: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The first part that brings each pair together. apart: the differing bits of a pair, WORDS integers; masks and most: bits and threshold of every part."""
+    differ = sum(np.bitwise_count(apart[:, k, None] & masks[None, :, k]).astype(np.int16) for k in range(WORDS))
+    return np.argmax(differ <= most[None, :], axis=1)
+
+
+def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int, masks: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket with different labels and at most `most` differing bits that no earlier part brings together; where there are very many, of the `limit` nearest
+    of each member. Whether any was left out. (A member's nearest of all is also the nearest in the first part that they share, so it is always there.)"""
     found_a, found_b, cut = [], [], False
     for side, other in _sides(rows):
         for at in range(0, len(side), BLOCK // 4):
@@ -406,8 +413,8 @@ def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int) -> tuple[np.
             for to in range(0, len(other), BLOCK):
                 b_rows = other[to : to + BLOCK]
                 apart = np.zeros((len(a_rows), len(b_rows)), np.uint16)
-                for f in FPS:
-                    apart += np.bitwise_count(rows[f][a_rows][:, None] ^ rows[f][b_rows][None, :])
+                for k in range(WORDS):
+                    apart += np.bitwise_count(rows["fps"][a_rows, k][:, None] ^ rows["fps"][b_rows, k][None, :])
                 apart[rows["label"][a_rows][:, None] == rows["label"][b_rows][None, :]] = WIDE + 1
                 near = apart <= most
                 if near.sum() > 8 * limit * len(a_rows):
@@ -417,8 +424,10 @@ def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int) -> tuple[np.
                     np.put_along_axis(some, nearest, True, axis=1)
                     near &= some
                 a, b = np.nonzero(near)
-                found_a.append(rows["id"][a_rows[a]])
-                found_b.append(rows["id"][b_rows[b]])
+                a, b = a_rows[a], b_rows[b]
+                own = _first_part(rows["fps"][a] ^ rows["fps"][b], masks, thresholds) == rows["part"][0]
+                found_a.append(rows["id"][a[own]])
+                found_b.append(rows["id"][b[own]])
     none = np.zeros(0, np.int64)
     a, b = np.concatenate([*found_a, none]), np.concatenate([*found_b, none])
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -428,6 +437,8 @@ def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int) -> tuple[np.
 def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], most: int, limit: int) -> DataFrame:
     """a, b: pairs with different labels that meet in a part; a row of nulls for every bucket that left some out."""
     keys = ["part", "key", "i", "j"]
+    masks = np.array([[sum(1 << b % 64 for b in part if b // 64 == k) for k in range(WORDS)] for part, _ in parts], np.uint64).reshape(-1, WORDS)
+    thresholds = np.array([t for _, t in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -435,13 +446,13 @@ def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], most: int,
         def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             if not rows.num_rows:
                 return
-            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label")} | {f: rows.column(f).to_numpy().view(np.uint64) for f in FPS}
+            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label")} | {"fps": np.stack([rows.column(f).to_numpy().view(np.uint64) for f in FPS], axis=1)}
             ends = np.flatnonzero(np.any([col[c][1:] != col[c][:-1] for c in keys], axis=0)) + 1
             cuts = [0, *ends.tolist(), rows.num_rows]
             found_a, found_b = [], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi - lo > 1 and (col["label"][lo:hi] != col["label"][lo]).any():
-                    a, b, cut = _near_pairs({c: v[lo:hi] for c, v in col.items()}, most, limit)
+                    a, b, cut = _near_pairs({c: v[lo:hi] for c, v in col.items()}, most, limit, masks, thresholds)
                     found_a += [*a.tolist(), *[None] * cut]
                     found_b += [*b.tolist(), *[None] * cut]
             if found_a:
@@ -511,10 +522,10 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float =
     sample = np.array(reps.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select(*FPS).collect(), np.int64).reshape(-1, WORDS)
     parts, p = wide_plan(sample, n, least, recall), difference(least)
     most = int(WIDE * p + 2.6 * math.sqrt(WIDE * p * (1 - p)))
-    now, links, limit, sets = reps.withColumn("label", F.col("id")), None, 1, None
-    checked = None
+    now, links, limit, sets, checked = reps, None, 1, None, None
     while n > 1:
-        met = materialize(_candidates(now, parts, most, limit).distinct(), "met")
+        at = now if "label" in now.columns else now.withColumn("label", F.col("id"))
+        met = materialize(_candidates(at, parts, most, limit).distinct(), "met")
         cut = met.where(F.col("a").isNull()).count() > 0
         pairs = met.where(F.col("a").isNotNull())
         if sets is None:
@@ -524,14 +535,19 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float =
         pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
         done = materialize(_verified(pairs, sets, least), "verified")
         found = done.where("linked").count()
+        forget(met)
         checked = done.select("a", "b") if checked is None else checked.unionByName(done.select("a", "b"))
         links = done.where("linked").select("a", "b") if links is None else links.unionByName(done.where("linked").select("a", "b"))
         labels = connected_components(links)
+        if now is not reps:
+            forget(now)
         if not cut:
             break
         limit = limit if 2 * found > done.count() else 4 * limit
         now = materialize(active.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "now")
     if links is not None:
+        for table in (sets, active):
+            forget(table)
         reps = reps.join(labels, "id", "left")
     return _grouped_rows(rows.withColumnRenamed("id", "fp"), reps.withColumnRenamed("id", "fp").withColumnRenamed("doc_id", "least_id"))
 

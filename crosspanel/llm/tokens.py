@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ready_python, scratch_path, share_file, shared_file, slices
+from .common import ready_python, scratch_path, share_file, shared_file, slices, small_batches
 
 MANIFEST = "part int, n_docs bigint, n_tokens bigint"
 #: Most words that a Python worker remembers.
@@ -175,7 +175,8 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
 
     key = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key)
-    ordered.mapInArrow(write_part, MANIFEST).write.parquet(f"{out_dir}/parts")
+    with small_batches(spark):
+        ordered.mapInArrow(write_part, MANIFEST).write.parquet(f"{out_dir}/parts")
     dtype = encoder(tokenizer_path).dtype.str
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     base = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint")

@@ -73,3 +73,32 @@ def test_token_files_edges(spark):
     assert [r["doc_id"] for r in got] == [None, 3, 5, 5]
     assert [r["start"] for r in got] == [0, 2, 3, 5]
     assert tokens.tokenize_to_files(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_files_read_by_ranges_and_in_small_pieces(spark, monkeypatch):
+    """Another file system than a local one is read range by range; long documents come alone."""
+    import contextlib
+
+    import pyarrow.fs as pafs
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, f"word {i} " * (i * 40)) for i in range(12)]
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/ranges"
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), folder, path)
+    whole = tokens.read_tokens(spark, folder, with_ids=True).collect()
+    assert [sum(len(r["ids"]) for r in whole), {r["doc_id"] for r in whole}] == [sum(r["n_tokens"] for r in whole), set(range(12))]
+    part = next(p for p in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(folder)) if p.path.endswith(".tok")).path
+    with contextlib.ExitStack() as files:
+        near, far = tokens._ranges(pafs.LocalFileSystem(), part, "<u2", files), tokens._ranges(pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), part, "<u2", files)
+        assert near(3, 9).tolist() == far(3, 9).tolist() and far(0, 0).tolist() == []
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from crosspanel.llm.common import slices
+
+    texts = ["a" * 100, None, "b" * 5000, "", "c" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["id", "text"])
+    got = list(slices(iter([batch, batch.slice(0, 0)]), 1, rows=3, size=1000))
+    assert [b.num_rows for b in got] == [2, 1, 2] and [t for b in got for t in b.column(1).to_pylist()] == texts

@@ -185,6 +185,35 @@ def test_op7_learns_languages_on_held_out_rows(spark):
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in told) >= 0.97 * len(told)
 
 
+def test_filter_counts_equal_exact_ngram_sets(spark):
+    """The bit-sliced filters against sets of the n-grams themselves: none is missed, few are added, and the decision on whole texts is the same."""
+    rng = random.Random(9)
+    sounds = {"aa": "ka ke lo mi", "bb": "tar ter mos li", "cc": "qua qui ka mos"}
+    text = lambda lang, n: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, 40), lang) for lang in sounds for i in range({"aa": 0, "bb": 100, "cc": 200}[lang], {"aa": 60, "bb": 160, "cc": 260}[lang])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, least_share=0.0)
+
+    def grams(t):
+        codes = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " "
+        return [codes[i : i + n] for n in langid.ORDERS for i in range(len(codes) - n + 1) if codes[i : i + n].strip()]
+
+    known = defaultdict(set)
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            known[lang].update(grams(t))
+    for codes, starts, _, ends in langid._pieces([" ".join(t for _, t, _ in rows).encode()]):
+        hashes = np.concatenate([h[valid] for _, h, valid in langid._ngrams(codes, starts, ends)])
+    mask = model.containing(hashes)[:, 0]
+    exact = grams(" ".join(t for _, t, _ in rows))
+    for i, lang in enumerate(model.langs):
+        found, want = int(((mask >> i) & 1).sum()), sum(g in known[lang] for g in exact)
+        assert want <= found <= want + 0.01 * len(exact)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}
+    best = lambda t: max(sorted(known), key=lambda x: sum(g in known[x] for g in grams(t)))
+    assert all(got[i] == best(t) == lang for i, t, lang in rows)
+
+
 def test_language_filter_edges(spark):
     rows = [(i, "der hund und die katze " * 3, "de") for i in range(40)] + [(100 + i, "the dog and the cat " * 3, "en") for i in range(40)] + [(200, None, None), (201, "", "en"), (202, "12345 !!", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
@@ -219,6 +248,17 @@ def test_op8_scores_held_out_rows(spark):
     assert np.mean([a >= 0.7 for a in good]) >= 0.9
 
 
+def test_compiled_rules_equal_a_plain_evaluation(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{MEDIUM}/labels.parquet")))
+    assert model.weights
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for d, t in texts(MEDIUM).items():
+        stats = quality.statistics(t.encode() if t is not None else None)
+        total = model.intercept + sum(w for rule, w in model.weights.items() if all((stats[i] <= at) if op == "<=" else (stats[i] > at) for i, op, at in rule))
+        assert abs(got[d] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_rules_and_edges(spark):
     tree = "DecisionTree\n  If (feature 2 <= 0.5)\n   If (feature 1 <= 3.0)\n    Predict: 0.0\n   Else (feature 1 > 3.0)\n    Predict: 1.0\n  Else (feature 2 > 0.5)\n   Predict: 1.0\n"
     assert quality.paths(tree) == [((2, "<=", 0.5),), ((1, "<=", 3.0), (2, "<=", 0.5)), ((1, ">", 3.0), (2, "<=", 0.5)), ((2, ">", 0.5),)]

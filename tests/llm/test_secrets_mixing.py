@@ -75,7 +75,9 @@ def test_keys_of_letters_only_are_found_and_long_words_are_not(spark):
     found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(rows + prose)), "doc_id long, text string")).collect()}
     for k in range(5):
         assert sum(bool(found[i]) for i in range(k * n, (k + 1) * n)) >= 0.9 * n
-    assert sum(bool(found[i]) for i in range(5 * n, len(rows) + len(prose))) <= 1
+    # words in both cases never pass; some of one case do, within the share that false discoveries may have
+    wrong = [prose[i - 5 * n][s["start"] : s["end"]] for i in range(5 * n, len(found)) for s in found[i]]
+    assert len(wrong) <= 0.05 * sum(map(len, found.values())) and all(w in (w.lower(), w.upper()) for w in wrong)
 
 
 def test_sparse_classes_take_pooled_thresholds():
@@ -135,3 +137,30 @@ def test_mix_edges(spark):
     out = mixing.apply_mix(df)
     assert out.columns == df.columns
     assert out.count() == sum(r["n_copies"] for r in got)
+
+
+def test_inclusion_rates_over_seeds(spark):
+    """Every document is taken as often as its source's rate says, on average over seeds, whatever its size."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), "ab"[i % 2]) for i in range(120)]
+    df, n = spark.createDataFrame(rows, "doc_id long, text string, source string"), 40
+    taken, rate = defaultdict(int), {}
+    for seed in range(n):
+        for r in mixing.mix(df, seed=seed).collect():
+            taken[r["doc_id"]] += r["n_copies"]
+            rate[r["doc_id"]] = r["target"] / r["source_size"]
+    for d, p in rate.items():
+        f = p % 1
+        assert abs(taken[d] / n - p) <= 4.5 * (f * (1 - f) / n) ** 0.5 + 1e-9
+    for s in "ab":
+        own = [d for d, _, x in rows if x == s]
+        assert abs(np.mean([taken[d] / n - rate[d] for d in own])) < 0.02
+
+
+def test_copies_of_equal_rows_are_settled_by_all_columns(spark):
+    rows = [(1, "one two three", "a", x) for x in range(5)] + [(1, "four five six", "a", x) for x in range(5)] + [(i, f"x{i} y z w", "b", 0) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int")
+    once = [sorted(map(str, mixing.apply_mix(df.orderBy(F.rand(i)).repartition(3)).collect())) for i in range(2)]
+    assert once[0] == once[1]
+    words = sum(r["n_copies"] * r["size"] for r in mixing.mix(df).collect())
+    assert words == sum(len(r["text"].split()) for r in mixing.apply_mix(df).collect())
