@@ -76,16 +76,16 @@ def _outer(f: Formula) -> str | None:
     return f[0] if isinstance(f, tuple) and f[0] in ACROSS and len(f) == 2 else None
 
 
-def _ranked_long(long: DataFrame, outer: dict[str, tuple[str, bool]]) -> DataFrame:
-    """long with the values of the signals in `outer` put through their function, all signals of a function by one window. outer: name, and whether its argument is derived."""
-    among = lambda ids: F.col("signal_id").isin(*ids) if ids else F.lit(False)
-    value = F.col("value")
-    for name in sorted({n for n, _ in outer.values()}):
-        own = among([k for k, (n, _) in outer.items() if n == name])
-        derived = among([k for k, (n, d) in outer.items() if n == name and d and name == "cs_rank"])
-        x = F.when(own, F.when(derived, F.round("value", DIGITS)).otherwise(F.col("value")))
-        value = F.when(own, finite(ACROSS[name](x, ("signal_id", "date")))).otherwise(value)
-    return long.withColumn("value", value)
+def _long(wide: DataFrame, signals: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
+    """signal_id, the kept columns, value; signals: per id the function across dates that its column still has to go through ("" for none, "+" behind it where the argument is derived)."""
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_at"))
+    long = wide.select(*keep, F.posexplode(F.array(*[F.col(f"`{k}`") for k in signals])).alias("_at", "value"))
+    long = long.select(of([*signals]).alias("signal_id"), *keep, "value", of([*signals.values()]).alias("_kind"))
+    kind, value = F.col("_kind"), F.col("value")
+    for name in sorted({k.rstrip("+") for k in signals.values()} - {""}):
+        x = F.when(kind == name, F.col("value")).when(kind == f"{name}+", F.round("value", DIGITS) if name == "cs_rank" else F.col("value"))
+        value = F.when(kind.isin(name, f"{name}+"), finite(ACROSS[name](x, ("signal_id", "date")))).otherwise(value)
+    return long.withColumn("value", value).drop("_kind")
 
 
 def evaluate_signals(panel: DataFrame, signals: dict[str, Formula], keep: tuple[str, ...] = ("date", "t", "symbol")) -> DataFrame:
@@ -99,11 +99,9 @@ def evaluate_signals(panel: DataFrame, signals: dict[str, Formula], keep: tuple[
         panel = materialized(panel, "panel")
     columns = set(panel.columns)
     for part in batched(signals.items(), BATCH):
-        outer = {k: (name, isinstance(f[1], tuple)) for k, f in part if (name := _outer(f)) and _valid(f, columns)}
-        wide = signal_columns(panel, {k: f[1] if k in outer else f for k, f in part})
-        ids = [k for k, _ in part]
-        long = wide.select(*keep, *ids).unpivot(list(keep), ids, "signal_id", "value")
-        long = _ranked_long(long, outer) if outer else long
+        outer = {k: _outer(f) if _valid(f, columns) else None for k, f in part}
+        wide = signal_columns(panel, {k: f[1] if outer[k] else f for k, f in part})
+        long = _long(wide, {k: outer[k] + "+" * isinstance(f[1], tuple) if outer[k] else "" for k, f in part}, keep)
         out = long if out is None else out.unionByName(long)
     if out is None:
         raise ValueError("no signals")
