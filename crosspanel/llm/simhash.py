@@ -222,7 +222,7 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 # ---- Groups by the similarity of shingle sets -------------------------------------------------------------------------------------------
 
-WIDE = 256
+WIDE = 512
 WORDS = WIDE // 64
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: What a row of the index costs, in pairs looked at.
@@ -330,7 +330,7 @@ def wide_plan(fps: np.ndarray, n: int, least: float, recall: float) -> list[tupl
     best = (math.inf, [])
     first = max(8, max(n, 1).bit_length() - 8)
     for width in range(first, first + 12, 2):
-        parts, costs, gains = groupings(bits, width, 3), [], []
+        parts, costs, gains = groupings(bits, width, 2), [], []
         for part in parts:
             w = len(part)
             key = bits[:, part].astype(np.uint64) @ (np.uint64(1) << np.arange(w, dtype=np.uint64))
@@ -370,13 +370,13 @@ def allot_gain(costs: list[list[float]], gains: list[list[float]], need: float,
 
 
 def _indexed(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """part, key, probe, id, label and fingerprint: a row per part, and one per flipped bit where a part's threshold is 1."""
-    names = ["part", "key", "probe", "id", "label", *FPS]
+    """part, key, probe, id, label, n and fingerprint: a row per part, and one per flipped bit where a part's threshold is 1."""
+    names = ["part", "key", "probe", "id", "label", "n", *FPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
-                fps = np.stack([batch.column(k + 2).to_numpy() for k in range(WORDS)], axis=1)
+                fps = np.stack([batch.column(k + 3).to_numpy() for k in range(WORDS)], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
                 for i, (part, t) in enumerate(parts):
                     own = bits[:, part].astype(np.int64) @ (np.int64(1) << np.arange(len(part), dtype=np.int64))
@@ -384,7 +384,7 @@ def _indexed(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
                         n = batch.num_rows
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(own ^ flip), pa.array(np.full(n, probe, np.int8)), *batch.columns], names)
 
-    return reps.select("id", "label", *FPS).mapInArrow(run, f"part int, key bigint, probe tinyint, id bigint, label bigint, {_FPS}")
+    return reps.select("id", "label", F.col("n").cast("int").alias("n"), *FPS).mapInArrow(run, f"part int, key bigint, probe tinyint, id bigint, label bigint, n int, {_FPS}")
 
 
 def _sides(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -403,8 +403,8 @@ def _first_part(apart: np.ndarray, masks: np.ndarray, most: np.ndarray) -> np.nd
     return np.argmax(differ <= most[None, :], axis=1)
 
 
-def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int, masks: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a bucket with different labels and at most `most` differing bits that no earlier part brings together; where there are very many, of the `limit` nearest
+def _near_pairs(rows: dict[str, np.ndarray], least: float, most: int, limit: int, masks: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket with different labels, sizes that allow a similarity of `least` and at most `most` differing bits, that no earlier part brings together; where there are very many, of the `limit` nearest
     of each member. Whether any was left out. (A member's nearest of all is also the nearest in the first part that they share, so it is always there.)"""
     found_a, found_b, cut = [], [], False
     for side, other in _sides(rows):
@@ -415,7 +415,8 @@ def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int, masks: np.nd
                 apart = np.zeros((len(a_rows), len(b_rows)), np.uint16)
                 for k in range(WORDS):
                     apart += np.bitwise_count(rows["fps"][a_rows, k][:, None] ^ rows["fps"][b_rows, k][None, :])
-                apart[rows["label"][a_rows][:, None] == rows["label"][b_rows][None, :]] = WIDE + 1
+                n_a, n_b = rows["n"][a_rows][:, None], rows["n"][b_rows][None, :]
+                apart[(rows["label"][a_rows][:, None] == rows["label"][b_rows][None, :]) | (np.minimum(n_a, n_b) < least * np.maximum(n_a, n_b) - 1e-9)] = WIDE + 1
                 near = apart <= most
                 if near.sum() > 8 * limit * len(a_rows):
                     cut, k = True, min(limit, len(b_rows))
@@ -434,8 +435,8 @@ def _near_pairs(rows: dict[str, np.ndarray], most: int, limit: int, masks: np.nd
     return pairs[:, 0], pairs[:, 1], cut
 
 
-def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], most: int, limit: int) -> DataFrame:
-    """a, b: pairs with different labels that meet in a part; a row of nulls for every bucket that left some out."""
+def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], least: float, most: int, limit: int) -> DataFrame:
+    """a, b: pairs with different labels that meet in a part and can have a similarity of `least`; a row of nulls for every bucket that left some out."""
     keys = ["part", "key", "i", "j"]
     masks = np.array([[sum(1 << b % 64 for b in part if b // 64 == k) for k in range(WORDS)] for part, _ in parts], np.uint64).reshape(-1, WORDS)
     thresholds = np.array([t for _, t in parts])
@@ -446,13 +447,13 @@ def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], most: int,
         def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             if not rows.num_rows:
                 return
-            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label")} | {"fps": np.stack([rows.column(f).to_numpy().view(np.uint64) for f in FPS], axis=1)}
+            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label", "n")} | {"fps": np.stack([rows.column(f).to_numpy().view(np.uint64) for f in FPS], axis=1)}
             ends = np.flatnonzero(np.any([col[c][1:] != col[c][:-1] for c in keys], axis=0)) + 1
             cuts = [0, *ends.tolist(), rows.num_rows]
             found_a, found_b = [], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi - lo > 1 and (col["label"][lo:hi] != col["label"][lo]).any():
-                    a, b, cut = _near_pairs({c: v[lo:hi] for c, v in col.items()}, most, limit, masks, thresholds)
+                    a, b, cut = _near_pairs({c: v[lo:hi] for c, v in col.items()}, least, most, limit, masks, thresholds)
                     found_a += [*a.tolist(), *[None] * cut]
                     found_b += [*b.tolist(), *[None] * cut]
             if found_a:
@@ -477,7 +478,7 @@ def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], most: int,
     block = F.pmod(F.xxhash64("id", "probe"), F.col("n_blocks")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = index.join(long, ["part", "key"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", block).withColumn("o", F.explode(both))
-    dealt = dealt.select("part", "key", "o.i", "o.j", "block", "probe", "id", "label", *FPS)
+    dealt = dealt.select("part", "key", "o.i", "o.j", "block", "probe", "id", "label", "n", *FPS)
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
@@ -516,16 +517,17 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float =
     """
     rows = sketches(docs, width)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
-    reps = rows.groupBy("id").agg(one, *[F.first(f).alias(f) for f in FPS]).select("id", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), *FPS)
+    same = ["n", *FPS]  # equal in all rows of an id
+    reps = rows.groupBy("id").agg(one, *[F.first(f).alias(f) for f in same]).select("id", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), *same)
     reps = materialize(reps, "reps")
     n = reps.count()
     sample = np.array(reps.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select(*FPS).collect(), np.int64).reshape(-1, WORDS)
     parts, p = wide_plan(sample, n, least, recall), difference(least)
-    most = int(WIDE * p + 2.6 * math.sqrt(WIDE * p * (1 - p)))
+    most = int(WIDE * p + 2.5 * math.sqrt(WIDE * p * (1 - p)))
     now, links, limit, sets, checked = reps, None, 1, None, None
     while n > 1:
         at = now if "label" in now.columns else now.withColumn("label", F.col("id"))
-        met = materialize(_candidates(at, parts, most, limit).distinct(), "met")
+        met = materialize(_candidates(at, parts, least, most, limit).distinct(), "met")
         cut = met.where(F.col("a").isNull()).count() > 0
         pairs = met.where(F.col("a").isNotNull())
         if sets is None:
@@ -543,7 +545,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float =
             forget(now)
         if not cut:
             break
-        limit = limit if 2 * found > done.count() else 4 * limit
+        limit = limit if 2 * found > done.count() else 64 * limit
         now = materialize(active.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "now")
     if links is not None:
         for table in (sets, active):
