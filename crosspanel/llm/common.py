@@ -19,8 +19,9 @@ from ..shipping import ship
 
 #: The characters that part words, as they stand in a regular expression.
 SPACES = r"\x20\x09-\x0D"
-#: Rows that are handed to Python at once.
+#: Rows and bytes that are handed to Python at once.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 _own_scratch: list[str] = []
 _made: dict[str, list[str]] = {}
 _hooked: list = []
@@ -52,14 +53,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it holds, Spark hands Python at most BATCH_ROWS rows at a time: texts can be long, and buffers on both sides are as large as a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    """While it holds, Spark hands Python at most BATCH_ROWS rows and about BATCH_BYTES at a time: texts can be long, and buffers on both sides are as large as a batch."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {key: spark.conf.get(key) for key in (rows, size)}
+    spark.conf.set(rows, str(min(int(before[rows]), BATCH_ROWS) if int(before[rows]) > 0 else BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

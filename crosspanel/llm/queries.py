@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, mixing, pieces, pivots, quality, secrets, simhash, tokens
+from . import chat, importance, langid, lines, mixing, pieces, pivots, quality, secrets, sharding, simhash, tokens, trie
 from .common import held_out, table
 
 
@@ -72,6 +72,22 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 6
+    return trie.prefix_trie(trie.with_shared_heads(table(spark, sf_dir, "conversations"), conv - conv % 100, heads, 5))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = sharding.shard(docs, 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +101,9 @@ QUERIES = {
         op8_rule_quality,
         op9_pivot_links,
         op10_line_rules,
+        op11_prefix_trie,
+        op12_importance_resampling,
+        op13_histogram_shards,
     )
 }
 
