@@ -54,7 +54,11 @@ def score_signals(signals: DataFrame, k: int = 3, label: str = "forward_returns"
     first = signals.agg(F.min("t").alias("_first"))
     cells = signals.join(F.broadcast(first), F.lit(True))  # one row
     scored = (F.col("t") - F.col("_first")) % k == 0
-    daily = materialized(daily_figures(cells.withColumn("_scored", scored), "value", label, ID, F.col("_scored")), "daily")
+    return summarised(materialized(daily_figures(cells.withColumn("_scored", scored), "value", label, ID, F.col("_scored")), "daily"), k, min_stocks)
+
+
+def summarised(daily: DataFrame, k: int, min_stocks: int) -> DataFrame:
+    """The eight metrics from the daily figures of signals (columns as of daily_figures)."""
     ic = F.when(F.col("n_joint") >= min_stocks, F.col("ic"))
     own = ic_summary(daily.withColumn("ic", ic), k, ID).drop("n_days")
     rest = daily.groupBy("signal_id").agg(F.avg("moved").alias("turnover"), (F.sum("n_values") / F.sum("n_cells")).alias("coverage"))

@@ -7,6 +7,7 @@ level, so a batch costs at most two exchanges per level, however many signals it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import batched
 
 from pyspark.sql import DataFrame
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions.crosssection import cs_rank, cs_winsorize, cs_zscore
 from ..functions.elementwise import finite
+from ..functions.rolling import EXTREMES, MOMENTS, Ask, with_rolling
 from ..sources.writers import materialized
-from .registry import IS_CROSS_SECTION, REGISTRY
+from .registry import IS_CROSS_SECTION, REGISTRY, WINDOWS
 
 Formula = str | float | tuple
-#: Signals per plan.
-BATCH = 50
+#: Most signals per plan.
+BATCH = 24
 #: Digits that derived columns keep before they are ranked, so that equal values tie.
 DIGITS = 12
+#: Registered functions whose windows are made together, with base name and window.
+ROLLING = {f"{base}_{w}": (base, w) for base in (*MOMENTS, *EXTREMES) for w in WINDOWS[base]}
 #: Functions of one column across the symbols of a date, which can be keyed by signal too.
 ACROSS = {"cs_rank": cs_rank, "cs_zscore": cs_zscore, "cs_winsorize": lambda x, keys: cs_winsorize(x, keys=keys)}
 
@@ -64,6 +68,11 @@ def signal_columns(panel: DataFrame, signals: dict[str, Formula]) -> DataFrame:
 
     for depth in range(1, max(map(level, good.values()), default=0) + 1):
         now = [f for f in nodes.values() if level(f) == depth]
+        together = [f for f in now if f[0] in ROLLING and not any(isinstance(x, int | float) for x in f[1:])]
+        if together:
+            of = lambda x: names[text(x)] if isinstance(x, tuple) else x
+            panel = with_rolling(panel, [Ask(names[text(f)], *ROLLING[f[0]], tuple(map(of, f[1:]))) for f in together])
+            now = [f for f in now if f not in together]
         for across in (False, True):
             if some := {names[text(f)]: column(f) for f in now if (f[0] in IS_CROSS_SECTION) == across}:
                 panel = panel.withColumns(some)
@@ -76,6 +85,25 @@ def _outer(f: Formula) -> str | None:
     return f[0] if isinstance(f, tuple) and f[0] in ACROSS and len(f) == 2 else None
 
 
+def parts(signals: dict[str, Formula], columns: set[str], most: int = BATCH) -> Iterator[dict[str, Formula]]:
+    """The signals in plans of at most `most`, like with like: rows grow with every column that a plan makes, so functions that share none go apart."""
+    kinds: dict[int, dict[str, Formula]] = {}
+    for k, f in signals.items():
+        own = inner(f, columns)[1]
+        name = ROLLING.get(own[0], ("",))[0] if isinstance(own, tuple) else ""
+        kinds.setdefault(1 if name in MOMENTS else 2 if name in EXTREMES else 0, {})[k] = f
+    for kind in sorted(kinds):
+        n = -(-len(kinds[kind]) // most)
+        for part in batched(kinds[kind].items(), -(-len(kinds[kind]) // n)):
+            yield dict(part)
+
+
+def inner(f: Formula, columns: set[str]) -> tuple[str, Formula, bool]:
+    """The function across dates that a formula ends with ("" for none), what it is applied to, and whether that is derived."""
+    end = _outer(f) if _valid(f, columns) else None
+    return (end, f[1], isinstance(f[1], tuple)) if end else ("", f, isinstance(f, tuple))
+
+
 def _long(wide: DataFrame, signals: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
     """signal_id, the kept columns, value; signals: per id the function across dates that its column still has to go through ("" for none, "+" behind it where the argument is derived)."""
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_at"))
@@ -98,10 +126,10 @@ def evaluate_signals(panel: DataFrame, signals: dict[str, Formula], keep: tuple[
     if len(signals) > BATCH:  # read by more than one plan
         panel = materialized(panel, "panel")
     columns = set(panel.columns)
-    for part in batched(signals.items(), BATCH):
-        outer = {k: _outer(f) if _valid(f, columns) else None for k, f in part}
-        wide = signal_columns(panel, {k: f[1] if outer[k] else f for k, f in part})
-        long = _long(wide, {k: outer[k] + "+" * isinstance(f[1], tuple) if outer[k] else "" for k, f in part}, keep)
+    for part in parts(signals, columns):
+        ends = {k: inner(f, columns) for k, f in part.items()}
+        wide = signal_columns(panel, {k: f for k, (_, f, _) in ends.items()})
+        long = _long(wide, {k: end + "+" * derived if end else "" for k, (end, _, derived) in ends.items()}, keep)
         out = long if out is None else out.unionByName(long)
     if out is None:
         raise ValueError("no signals")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import crosssection as cs
 from ..functions import elementwise as el
-from ..functions import timeseries as ts
 from ..operators import neutralize
+from ..plans.evaluate import signal_columns
 from ..plans.registry import WINDOWS
 from .base import PANEL_W, P, R, panel_w, pct_rank_sql, q6, query, r6
 
@@ -52,14 +52,15 @@ def _window_sql(name: str, w: int) -> str:
 
 def _register_window(name: str) -> None:
     number, _ = _W[name]
-    fn, two = getattr(ts, name), name in ("ts_corr", "ts_cov")
+    two = name in ("ts_corr", "ts_cov")
     source = f"(SELECT *, {_JX} AS jx, {_JY} AS jy FROM panel)" if two else "panel"
     values = ", ".join(f"{q6(_window_sql(name, w))} AS v{w}" for w in WINDOWS[name])
 
     @query(f"w{number:02d}_{name}", f"{PANEL_W} SELECT date, symbol, {values} FROM {source}")
     def run(spark, sf_dir) -> DataFrame:
-        args = [F.col("close"), F.col("volume")] if two else [F.col("close")]
-        return panel_w(spark, sf_dir).select("date", "symbol", *[r6(fn(*args, w)).alias(f"v{w}") for w in WINDOWS[name]])
+        args = ("close", "volume") if two else ("close",)
+        out = signal_columns(panel_w(spark, sf_dir), {f"v{w}": (f"{name}_{w}", *args) for w in WINDOWS[name]})
+        return out.select("date", "symbol", *[r6(f"v{w}").alias(f"v{w}") for w in WINDOWS[name]])
 
 
 for _name in _W:

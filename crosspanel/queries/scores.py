@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.crosssection import drawdown, equity_curve
 from ..functions.timeseries import ts_delta
 from ..operators import backtest, combine, diversity, gate, metrics, neutralize, screen, universe
+from ..plans.score import score_batch
 from .base import IS_END, LONG, MIN_STOCKS, PANEL_W, P, SIGNALS, avg_rank_sql, ic_sql, long_short_sql, panel_w, pct_rank_sql, q6, query, r6, returns_sql, signals_long, turnover_sql
 
 _X = f"{PANEL_W}, s AS (SELECT date, t, symbol, member, market_cap, round(close - lag(close, 5) {P}, 12) AS x, forward_returns AS y FROM panel)"
@@ -225,7 +226,7 @@ _SHOWN = ("is_ic", "is_icir", "is_tstat", "is_sharpe", "is_max_drawdown", "turno
 
 @query("g06_score_signals", f"{_SCORES} SELECT signal_id, {', '.join(f'{q6(c)} AS {c}' for c in _SHOWN)}, {q6('ln(nullif(1 + is_annual_return, 0))')} AS log_annual_growth FROM scores")
 def score_signals(spark, sf_dir):
-    out = gate.score_signals(signals_long(spark, sf_dir), 3, min_stocks=MIN_STOCKS)
+    out = score_batch(panel_w(spark, sf_dir), {k: f for k, (f, _) in SIGNALS.items()}, 3, min_stocks=MIN_STOCKS, digits=12)
     return out.select("signal_id", *[r6(c).alias(c) for c in _SHOWN], r6(F.ln(F.nullif(1 + F.col("is_annual_return"), F.lit(0.0)))).alias("log_annual_growth"))
 
 @query("g07_evaluate_signals", f"{LONG} SELECT signal_id, date, symbol, {q6('value')} AS value FROM long UNION ALL SELECT 'unknown', date, symbol, NULL FROM panel")
