@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.writers import materialized
 
 CELL = ("date", "symbol")
 #: Signals after which the running sums of a fit are written.
 KEPT = 16
+#: Numbers of all Gram matrices together up to which they are gathered, and numbers that a task holds.
+MOST_ENTRIES, GRAM_ENTRIES = 20_000_000, 4_000_000
 
 
 def combine_equal(signals: DataFrame) -> DataFrame:
@@ -24,13 +31,89 @@ def combine_weighted(signals: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum(have)).alias("value"))
 
 
-def fit_orthogonal(signals: DataFrame, weights: dict[str, float]) -> list[tuple[str, float | None]]:
+def fit_orthogonal(signals: DataFrame, weights: dict[str, float], most_entries: int = MOST_ENTRIES) -> list[tuple[str, float | None]]:
     """(signal_id, beta) in order of absolute weight: each signal's slope on the running mean of the residuals before it; None for the first.
 
-    The order makes this sequential: one aggregate per signal over a frame with one row per cell. A cell that the first signal
-    lacks has no composite, so it stays out of all later residuals.
+    A cell that the first signal lacks has no composite, so it stays out of all later residuals. In all cells where the same signals are present, every residual is the
+    same linear combination of their values; so the sums of products of these values (a Gram matrix per pattern of presence) are all that the slopes depend on,
+    and they follow from them in turn without another look at the cells. Three jobs, however many signals. Where patterns are so many that their matrices have
+    more than `most_entries` numbers, the slopes are fitted in turn by a pass over the cells each.
     """
     order = sorted(weights, key=lambda i: (-abs(weights[i]), i))
+    if not order:
+        return []
+    spark = signals.sparkSession
+    places = spark.createDataFrame([(i, k) for k, i in enumerate(order)], "signal_id string, at int")  # a row per fitted signal
+    present = signals.where(F.col("value").isNotNull()).join(F.broadcast(places), "signal_id")
+    cells = present.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v")).where(F.col("v")[0]["at"] == 0)
+    at = F.transform("v", lambda x: x["at"])
+    cells = materialized(cells.select(F.xxhash64(at).alias("h1"), F.xxhash64(F.lit(1), at).alias("h2"), at.alias("at"), F.transform("v", lambda x: x["value"]).alias("values")), "cells")
+    patterns = cells.groupBy("h1", "h2").agg(F.first("at").alias("at"))
+    n = F.size("at").cast("bigint")
+    if (patterns.agg(F.sum(n * (n + 1) / 2)).first()[0] or 0) > most_entries:
+        return _fit_in_turn(signals, order)
+    ship(spark)
+    sums = cells.select("h1", "h2", "values").mapInArrow(_grams, "h1 bigint, h2 bigint, g array<double>")
+    sums = sums.select("h1", "h2", F.posexplode("g").alias("place", "g")).groupBy("h1", "h2", "place").agg(F.sum("g").alias("g"))
+    whole = sums.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("place", "g"))).alias("g")).join(patterns, ["h1", "h2"])
+    found = whole.select("at", F.transform("g", lambda x: x["g"]).alias("g")).collect()  # at most most_entries numbers
+    slopes = solve_in_turn([(np.array(r["at"]), _square(np.array(r["g"]), len(r["at"]))) for r in found], len(order))
+    return [(i, None if k == 0 else slopes[k]) for k, i in enumerate(order)]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pattern the upper triangle of the sums of products, row by row; handed on whenever GRAM_ENTRIES numbers are held."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def out() -> pa.RecordBatch:
+        keys = [*held]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([g[np.triu_indices(len(g))] for g in held.values()], pa.list_(pa.float64()))], ["h1", "h2", "g"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, values = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        flat, sizes = values.flatten().to_numpy(), values.value_lengths().to_numpy()
+        starts, order = np.cumsum(sizes) - sizes, np.lexsort([h2, h1])
+        cuts = np.flatnonzero((np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)) + 1
+        for rows in np.split(order, cuts):
+            x = flat[starts[rows][:, None] + np.arange(sizes[rows[0]])]
+            key = int(h1[rows[0]]), int(h2[rows[0]])
+            held[key] = held[key] + x.T @ x if key in held else x.T @ x
+            if sum(g.size for g in held.values()) > GRAM_ENTRIES:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
+
+
+def _square(upper: np.ndarray, n: int) -> np.ndarray:
+    g = np.zeros((n, n))
+    g[np.triu_indices(n)] = upper
+    return g + np.triu(g, 1).T
+
+
+def solve_in_turn(patterns: list[tuple[np.ndarray, np.ndarray]], n_signals: int) -> list[float]:
+    """The slope of every signal (0 for the first) from (present signals, Gram matrix) per pattern; the first signal is present in all.
+
+    Of a pattern, u holds the coefficients of the sum of residuals so far, w its products with every signal, m their number.
+    """
+    places = [{int(s): i for i, s in enumerate(at)} for at, _ in patterns]
+    u, w, m = [np.eye(len(at))[0] for at, _ in patterns], [g[0].copy() for _, g in patterns], [1] * len(patterns)
+    slopes = [0.0]
+    for k in range(1, n_signals):
+        own = [p for p, at in enumerate(places) if k in at]
+        above, below = sum(w[p][places[p][k]] / m[p] for p in own), sum(u[p] @ w[p] / m[p] ** 2 for p in own)
+        slopes.append(float(above / below) if below else 0.0)
+        for p in own:  # the residual is the signal less slope times u / m
+            i, rest = places[p][k], 1 - slopes[k] / m[p]
+            u[p], w[p], m[p] = u[p] * rest, w[p] * rest + patterns[p][1][i], m[p] + 1
+            u[p][i] += 1
+    return slopes
+
+
+def _fit_in_turn(signals: DataFrame, order: list[str]) -> list[tuple[str, float | None]]:
+    """The same slopes by one aggregate per signal over a written frame with one row per cell, whose running sums are written anew every KEPT signals."""
     wide = signals.where(F.col("signal_id").isin(order)).groupBy(*CELL).pivot("signal_id", order).agg(F.first("value"))
     wide = wide.select(*CELL, F.lit(0.0).alias("num"), F.lit(0.0).alias("cnt"), *[F.col(f"`{i}`").alias(f"s{k}") for k, i in enumerate(order)])
     wide, done = materialized(wide, "combine"), 0
@@ -71,7 +154,8 @@ def _folded(betas: list[float | None], first: int = 0):
 
 def apply_orthogonal(signals: DataFrame, betas: list[tuple[str, float | None]], present: list[str] | None = None) -> DataFrame:
     """date, symbol, value: the composite by fixed betas, in the order of the fit; ids that are absent are skipped. One pass over the signals."""
-    present = present if present is not None else [r[0] for r in signals.select("signal_id").distinct().collect()]
+    if present is None:  # of the fitted ones, so at most as many
+        present = [r[0] for r in signals.where(F.col("signal_id").isin([i for i, _ in betas])).select("signal_id").distinct().collect()]
     used = [(i, b) for i, b in betas if i in present]
     if not used:
         raise ValueError("none of the fitted signals is at hand")

@@ -10,7 +10,9 @@ from ..plans.registry import WINDOWS
 # Short names that stand for operators, and the window that an operator has where none is given.
 ALIASES = {"rank": "cs_rank", "zscore": "cs_zscore", "delta": "ts_delta", "std": "ts_std", "mean": "ts_mean", "abs": "abs_val", "log": "log_abs", "div": "safe_div"}
 DEFAULT_WINDOWS = {"ts_mean": 20, "ts_std": 20, "ts_min": 20, "ts_max": 20, "ts_delta": 5, "ts_rank": 20, "ts_returns": 1, "ts_corr": 20}
-MAX_NESTING = 10
+# Beginnings of the names of two-argument functions that are constant where both arguments are equal, and the pairs of functions that are when nested.
+SAME_ARGUMENTS = ("sub", "safe_div", "ts_corr")
+CONSTANT_CHAINS = (("sign", "abs_val"), ("abs_val", "sign"))
 
 
 def normalize_alias(expr: Column) -> Column:
@@ -42,7 +44,7 @@ def curry_rules() -> list[tuple[str, str]]:
 def curry_windows(expr: Column) -> Column:
     """ts_op(x, w) as ts_op_w(x); a window that isn't registered becomes the operator's default where it has one, and so does a missing one.
 
-    Calls are done from the innermost outwards, up to MAX_NESTING levels.
+    Calls are done from the innermost outwards, as often as the formula is deep.
     """
 
     def one_level(e: Column) -> Column:
@@ -50,7 +52,7 @@ def curry_windows(expr: Column) -> Column:
             e = F.regexp_replace(e, pattern, to)
         return e
 
-    expr = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_NESTING)), expr, lambda e, _: one_level(e))
+    expr = F.aggregate(F.sequence(F.lit(1), F.greatest(depth(expr), F.lit(1))), expr, lambda e, _: one_level(e))
     expr = F.translate(expr, OPENED + CLOSED, "()")
     for w, ops in _alike(DEFAULT_WINDOWS).items():
         expr = F.regexp_replace(expr, rf"(?<!\w)({ops})\((?!\d)", f"$1_{w}(")
@@ -80,15 +82,49 @@ def depth(expr: Column) -> Column:
     return F.aggregate(signs, start, step, lambda a: a["most"])
 
 
-def structural_reject(expr: Column, max_depth: int = 20) -> Column:
-    """empty, no_terminals, too_deep or degenerate (provably constant: equal plain arguments, sign of an absolute value); null if clean.
+def _frame(name: Column | str, args: Column | None = None, now: Column | str = "") -> Column:
+    """A call that is being read: its name, the arguments so far, and the text of the one at hand."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(lit(name).alias("name"), (F.array().cast("array<string>") if args is None else args).alias("args"), lit(now).alias("now"))
+
+
+def degenerate(expr: Column) -> Column:
+    """Whether a call in a formula is provably constant: two equal arguments of any form and depth (SAME_ARGUMENTS), or one of CONSTANT_CHAINS.
 
-    Equal arguments are compared as text where they hold no comma; deeper ones are caught by their constant values.
+    One fold over the tokens with a stack of open calls. A finished call stands in its parent as its name and a hash of its arguments, so equal subtrees have equal
+    texts of bounded length, whatever spaces they are written with. Stray parentheses and commas are no calls; null is not degenerate.
     """
-    same = expr.rlike(r"(?<!\w)(?:sub|safe_div|ts_corr\w*)\(([^,]+),\s*\1\)")
-    chain = expr.rlike(r"(?<!\w)sign\(abs_val\(|(?<!\w)abs_val\(sign\(")
+    tokens = F.regexp_extract_all(expr, F.lit(r"[A-Za-z_]\w*\s*\(|[(),]|[^\s(),]+"), 0)
+    start = F.struct(F.array(_frame("")).alias("stack"), F.lit(False).alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        stack, top = state["stack"], F.element_at(state["stack"], -1)
+        below = F.slice(stack, F.lit(1), F.size(stack) - 1)
+        put = lambda frames, frame, found=None: F.struct(F.array_append(frames, frame).alias("stack"), (state["found"] if found is None else found).alias("found"))
+        args = F.array_append(top["args"], top["now"])
+        first, name = F.element_at(args, 1), top["name"]
+        same = (F.size(args) == 2) & (first == F.element_at(args, -1)) & name.rlike(f"^({'|'.join(SAME_ARGUMENTS)})")
+        chain = F.lit(False)
+        for outer, inner in CONSTANT_CHAINS:
+            chain = chain | ((name == outer) & (F.size(args) == 1) & first.startswith(f"{inner}<"))
+        up = F.element_at(below, -1)
+        done = F.concat(name, F.lit("<"), F.sha2(F.array_join(args, "\n"), 256), F.lit(">"))
+        opened = F.regexp_replace(token, r"\s*\($", "")
+        return (
+            F.when(token.endswith("("), put(stack, _frame(opened)))
+            .when((token == ",") & (F.size(stack) > 1), put(below, _frame(name, args)))
+            .when((token == ")") & (F.size(stack) > 1), put(F.slice(below, F.lit(1), F.size(below) - 1), _frame(up["name"], up["args"], F.concat(up["now"], done)), state["found"] | same | chain))
+            .when(token.isin(",", ")"), state)
+            .otherwise(put(below, _frame(name, top["args"], F.concat(top["now"], token))))
+        )
+
+    return F.coalesce(F.aggregate(tokens, start, step, lambda s: s["found"]), F.lit(False))
+
+
+def structural_reject(expr: Column, max_depth: int = 20) -> Column:
+    """empty, no_terminals, too_deep or degenerate (provably constant); null if clean."""
     empty = expr.isNull() | (F.trim(expr) == "")
-    return F.when(empty, "empty").when(n_terminals(expr) < 1, "no_terminals").when(depth(expr) > max_depth, "too_deep").when(same | chain, "degenerate")
+    return F.when(empty, "empty").when(n_terminals(expr) < 1, "no_terminals").when(depth(expr) > max_depth, "too_deep").when(degenerate(expr), "degenerate")
 
 
 def dedup_expressions(rows: DataFrame, order: str, key: str = "hash") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def write_panels(spark, sf_dir):
     return spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("close").alias("n_close"))
 
 
+@query("s05_read_jdbc_yearly", "SELECT CASE WHEN o_orderkey % 13 <> 4 THEN year(o_orderdate) END AS year, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, max(o_orderdate::DATE) FILTER (o_orderkey % 13 <> 4) AS last_day FROM orders GROUP BY 1")
+def jdbc_yearly(spark, sf_dir):
+    """Orders, some without a date, in a database in the driver's memory (Spark brings one along), read back by year. Other masters than a local one need a server."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    day = F.when(F.col("o_orderkey") % 13 != 4, F.col("o_orderdate").cast("date"))
+    table(spark, sf_dir, "orders").select("o_orderkey", day.alias("o_orderdate")).write.jdbc(url, "orders", properties=driver)
+    back = readers.read_jdbc_yearly(spark, url, "orders", '"o_orderdate"', 1990, 2010, driver)
+    return back.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.max("o_orderdate").alias("last_day"))
+
+
 @query("s06_fundamentals_extract", "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def extract(spark, sf_dir):
     header = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").withColumnRenamed("c_custkey", "o_custkey")

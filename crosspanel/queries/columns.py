@@ -148,8 +148,21 @@ def single_neutralize(spark, sf_dir) -> DataFrame:
     return neutralize.single_neutralize(panel_w(spark, sf_dir), "close", "volume").withColumn("value", r6("value"))
 
 
-@query("g16_characteristic_neutralize_many")
-def characteristic_neutralize(spark, sf_dir) -> DataFrame:
-    return neutralize.characteristic_neutralize(panel_w(spark, sf_dir), "close", ["volume", "num_trades", "returns"]).withColumn("value", r6("value"))
+_RANKS = ("volume", "num_trades", "returns")
+
 
+def _residuals_sql() -> str:
+    """Least squares by turns: every rank, then the signal, less its projections on what is left of the ranks before it."""
+    over, kept = "OVER (PARTITION BY date)", ["date", "symbol", "has"]
+    ranks = [f"coalesce({pct_rank_sql(c)}, 0.5) AS x{i}" for i, c in enumerate(_RANKS)]
+    names = [*(f"x{i}" for i in range(len(_RANKS))), "y"]
+    steps = [f"r AS (SELECT date, symbol, close IS NOT NULL AS has, close AS y, count(close) {over} AS n, {', '.join(ranks)} FROM panel)", f"l0 AS (SELECT {', '.join(kept)}, n, {', '.join(f'{v} - avg({v}) FILTER (has) {over} AS {v}' for v in names)} FROM r)"]
+    for k in range(len(_RANKS)):
+        less = [f"{v} - x{k} * coalesce(sum({v} * x{k}) FILTER (has) {over} / nullif(sum(x{k} * x{k}) FILTER (has) {over}, 0), 0) AS {v}" if v == "y" or int(v[1:]) > k else v for v in names]
+        steps.append(f"l{k + 1} AS (SELECT {', '.join(kept)}, n, {', '.join(less)} FROM l{k})")
+    return f"{PANEL_W}, {', '.join(steps)} SELECT date, symbol, {q6('CASE WHEN n >= 20 AND has THEN y END')} AS value FROM l{len(_RANKS)}"
 
+
+@query("g16_characteristic_neutralize_many", _residuals_sql())
+def characteristic_neutralize(spark, sf_dir) -> DataFrame:
+    return neutralize.characteristic_neutralize(panel_w(spark, sf_dir), "close", [*_RANKS]).withColumn("value", r6("value"))

@@ -42,6 +42,27 @@ def read_run_json(spark, sf_dir):
     return readers.read_run_json(spark, f"{path}/*/*.txt").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_survivors").alias("n_survivors"))
 
 
+_IDEA = "SELECT p_partkey, p_size, p_brand, p_partkey % 10 = 3 AS torn, p_partkey % 11 = 5 AS bare FROM {part}"
+
+
+@query("s12_read_idea_lines", """SELECT source, count(*) FILTER (NOT torn) AS n_good, count(*) FILTER (torn) AS n_bad, coalesce(sum(CASE WHEN torn OR bare THEN 0 ELSE 1 + p_size % 3 END), 0)::BIGINT AS n_expressions,
+    coalesce(sum(CASE WHEN torn OR bare THEN 0 ELSE (1 + p_size % 3) * round_even(p_size * 37 / (1 + p_size % 3), 0) END), 0)::BIGINT AS prompt_tokens
+    FROM (SELECT *, CASE WHEN torn THEN '?' ELSE p_brand END AS source FROM (SELECT p_partkey, p_size, p_brand, p_partkey % 10 = 3 AS torn, p_partkey % 11 = 5 AS bare FROM part)) GROUP BY source""")
+def read_idea_lines(spark, sf_dir):
+    """Parts as idea batches: a line of JSON each, a tenth of them torn off as by a crash while writing, some without expressions."""
+    path, p = scratch(spark, "ideas"), both(spark, sf_dir, _IDEA, "part")
+    n = (F.col("p_size") % 3 + 1).cast("int")
+    formulas = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("ts_mean_"), (5 * i).cast("string"), F.lit("(close)")))
+    line = F.to_json(F.struct(F.concat(F.lit("idea "), F.col("p_partkey").cast("string")).alias("idea"), F.col("p_brand").alias("source"), F.when(F.col("bare"), F.array().cast("array<string>")).otherwise(formulas).alias("expressions"), (F.col("p_size") * 37).cast("bigint").alias("prompt_tokens"), (F.col("p_size") * 11).cast("bigint").alias("completion_tokens")))
+    p.select(F.when(F.col("torn"), F.substring(line, 1, F.length(line) - 9)).otherwise(line).alias("value")).write.text(path)
+    good, bad = readers.read_ideas(spark, path)
+    per = readers.idea_expressions(good).groupBy("source").agg(F.count(F.lit(1)).alias("n_expressions"), F.sum("prompt_tokens").alias("prompt_tokens"))
+    counted = good.groupBy("source").agg(F.count(F.lit(1)).alias("n_good")).join(per, "source", "left").withColumn("n_bad", F.lit(0).cast("bigint"))
+    lost = bad.agg(F.count(F.lit(1)).alias("n_bad")).where("n_bad > 0").select(F.lit("?").alias("source"), F.lit(0).cast("bigint").alias("n_good"), "n_bad", *[F.lit(0).cast("bigint").alias(c) for c in ("n_expressions", "prompt_tokens")])
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return counted.select("source", "n_good", "n_bad", zero("n_expressions"), zero("prompt_tokens")).unionByName(lost)
+
+
 @query("s13_write_report_tables", f"SELECT concat('| ', status, ' | ', n, ' |') AS line FROM (SELECT status, count(*) AS n FROM ({_CDB}) GROUP BY 1) UNION ALL SELECT '| status | n |' UNION ALL SELECT '|---|---|'")
 def write_report(spark, sf_dir):
     path = scratch(spark, "report")
@@ -183,7 +204,7 @@ def normalize_alias(spark, sf_dir):
 
 
 _CURRIED = _ALIAS
-for _ in range(text.MAX_NESTING):
+for _ in range(4):  # as deep as the formulas of the table are
     for _a, _b in text.curry_rules():
         _b = _b.replace("$", "\\")
         _CURRIED = f"regexp_replace({_CURRIED}, '{_a}', '{_b}', 'g')"
@@ -218,6 +239,21 @@ def structural_reject(spark, sf_dir):
     return catalogue(spark, sf_dir).select("id", text.structural_reject(F.col("expression")).alias("reason"))
 
 
+#: Formulas whose first call has two arguments, which are calls of two arguments themselves and equal in some rows.
+_PAIR = "concat(CASE CAST({k} % 3 AS INT) WHEN 0 THEN 'add(' WHEN 1 THEN 'ts_cov_20(' ELSE 'mul(' END, {x}, ', ts_mean_5(', {y}, '))')"
+_FIELDS = "CASE CAST({k} % 3 AS INT) WHEN 0 THEN 'close' WHEN 1 THEN 'volume' ELSE 'open' END"
+_OUTER = "CASE CAST(p_size % 4 AS INT) WHEN 0 THEN 'sub' WHEN 1 THEN 'safe_div' WHEN 2 THEN 'ts_corr_20' ELSE 'mul' END"
+_LEFT = _PAIR.format(k="p_partkey", x=_FIELDS.format(k="p_partkey"), y=_FIELDS.format(k="p_size"))
+_RIGHT = _PAIR.format(k="p_size", x=_FIELDS.format(k="p_size"), y=_FIELDS.format(k="p_partkey"))
+_NESTED = f"SELECT p_partkey AS id, {_OUTER} AS outer_name, {_LEFT} AS x, {_RIGHT} AS y FROM {{part}}"
+
+
+@query("t05_equal_subtrees", f"SELECT id, CASE WHEN outer_name <> 'mul' AND x = y THEN 'degenerate' END AS reason FROM ({_NESTED.format(part='part')})")
+def equal_subtrees(spark, sf_dir):
+    whole = F.concat(F.lit("neg(cs_rank("), "outer_name", F.lit("("), "x", F.lit(" , "), F.regexp_replace("y", ", ", ",   "), F.lit(")))"))
+    return both(spark, sf_dir, _NESTED, "part").select("id", text.structural_reject(whole).alias("reason"))
+
+
 @query("t06_dedup_expressions", f"SELECT id, row_number() OVER (PARTITION BY expression ORDER BY id) > 1 AS is_duplicate FROM ({_CDB})")
 def dedup(spark, sf_dir):
     return text.dedup_expressions(catalogue(spark, sf_dir), "id", "expression").select("id", "is_duplicate")

@@ -335,10 +335,9 @@ _FULL = f"full_cells AS (SELECT date, symbol FROM long WHERE value IS NOT NULL G
 def pairwise_rho(spark, sf_dir):
     return rounded(diversity.pairwise_rho(signals_long(spark, sf_dir)), "rho")
 
-@query("j11_signal_pairs", f"{LONG}, {_FULL} SELECT count(*) AS n_pairs, {q6('avg(r)')} AS rho FROM pairs")
+@query("j11_signal_pairs", f"{LONG}, {_FULL} SELECT a, b, {q6('r')} AS rho FROM pairs")
 def signal_pairs(spark, sf_dir):
-    rho = diversity.pairwise_rho(signals_long(spark, sf_dir))
-    return rho.select((F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n_pairs"), r6("rho").alias("rho"))
+    return rounded(diversity.pair_correlations(signals_long(spark, sf_dir)), "rho")
 
 @query(
     "a18_effective_breadth",

@@ -82,13 +82,15 @@ def read_wide_panels(spark: SparkSession, paths: list[str], date: str = "date")
     return long.groupBy("date", "symbol").pivot("field", names).agg(F.first("value"))
 
 
-def read_jdbc_yearly(spark: SparkSession, url: str, view: str, date: str, start: int, end: int, properties: dict[str, str] | None = None) -> DataFrame:
-    """A big SQL view, one partition per year."""
-    return spark.read.jdbc(url, view, predicates=yearly_predicates(date, start, end), properties=properties or {})
+def read_jdbc_yearly(spark: SparkSession, url: str, view: str, date: str, start: int, end: int, properties: dict[str, str] | None = None, timestamps: bool = False, undated: bool = True) -> DataFrame:
+    """A big SQL view, one partition per year from start to end (both included), and one for rows without a date unless `undated` is False."""
+    return spark.read.jdbc(url, view, predicates=yearly_predicates(date, start, end, timestamps, undated), properties=properties or {})
 
 
-def yearly_predicates(date: str, start: int, end: int) -> list[str]:
-    return [f"{date} BETWEEN '{y}-01-01' AND '{y}-12-31'" for y in range(start, end + 1)]
+def yearly_predicates(date: str, start: int, end: int, timestamps: bool = False, undated: bool = True) -> list[str]:
+    """Conditions that part the rows: half-open years, so that no moment of 31 December is lost, in JDBC's own notation for dates or timestamps."""
+    at = lambda y: f"{{ts '{y}-01-01 00:00:00'}}" if timestamps else f"{{d '{y}-01-01'}}"
+    return [f"{date} >= {at(y)} AND {date} < {at(y + 1)}" for y in range(start, end + 1)] + [f"{date} IS NULL"] * undated
 
 
 def fundamentals_extract(items: DataFrame, header: DataFrame, filters: dict[str, str], key: str = "gvkey", keep: tuple[str, ...] = ("gsector",)) -> DataFrame:
@@ -117,7 +119,23 @@ def read_run_json(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(glob).withColumn("_file", F.input_file_name())
 
 
-def read_ideas(spark: SparkSession, glob: str) -> DataFrame:
-    """Idea batches, a JSON object per line."""
-    schema = "idea string, hypothesis string, source string, model string, terminals array<string>, confidence double, expressions array<string>, prompt_tokens bigint, completion_tokens bigint"
-    return spark.read.schema(schema).json(glob)
+IDEAS = "idea string, hypothesis string, source string, model string, terminals array<string>, confidence double, expressions array<string>, prompt_tokens bigint, completion_tokens bigint"
+
+
+def read_ideas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Idea batches, a JSON object per line: (the whole ones, the lines that are none, with column line).
+
+    A run that broke off leaves its last line torn; such lines are kept apart instead of becoming rows of nulls. Blank lines are neither.
+    """
+    parsed = F.from_json("value", f"{IDEAS}, line string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"})
+    lines = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"), "value")
+    torn = F.col("r").isNull() | F.col("r.line").isNotNull()
+    return lines.where(~torn).select("r.*").drop("line"), lines.where(torn).select(F.col("value").alias("line"))
+
+
+def idea_expressions(ideas: DataFrame) -> DataFrame:
+    """A row per expression: idea, hypothesis, source, model, terminals, confidence, at (place in its batch), expression, and its share of the batch's tokens, rounded half to even."""
+    n = F.greatest(F.size("expressions"), F.lit(1))
+    share = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0)) / n, 0).cast("bigint").alias(c)
+    kept = ("idea", "hypothesis", "source", "model", "terminals", "confidence")
+    return ideas.select(*kept, share("prompt_tokens"), share("completion_tokens"), F.posexplode("expressions").alias("at", "expression"))

@@ -4,6 +4,7 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,62 @@ def test_neutralisation_is_orthogonal(spark):
     assert all(abs(got[day(t)]["dot"]) < 1e-8 and abs(got[day(t)]["total"]) < 1e-8 for t in range(3)) and got[day(3)]["n"] == 0
 
 
+@pytest.mark.parametrize("tile", [2, 3, 64])
+def test_correlation_of_every_pair(spark, tile):
+    rng = random.Random(12)
+    x = np.array([[rng.gauss(0, 1) for _ in range(60)] for _ in range(7)])
+    x[3], x[5] = x[1] * 2 + 0.1 * x[3] + 1e6, 4.0  # nearly equal under an offset; constant
+    rows = [(f"s{i}", day(c // 6), c % 6, float(x[i, c])) for i in range(7) for c in range(60) if not (i == 2 and c < 5)]
+    long = spark.createDataFrame(rows, "signal_id string, date date, symbol long, value double")
+    got = {(r["a"], r["b"]): r["rho"] for r in diversity.pair_correlations(long, tile).collect()}
+    assert len(got) == 21
+    for (a, b), rho in got.items():
+        i, j = int(a[1]), int(b[1])
+        assert (rho is None) == (5 in (i, j)) and (rho is None or abs(rho - np.corrcoef(x[i, 5:], x[j, 5:])[0, 1]) < 1e-9)
+    known = [r for r in got.values() if r is not None]
+    assert abs(diversity.pairwise_rho(long).first()["rho"] - sum(known) / len(known)) < 1e-9
+
+
+def test_neutralisation_with_dependent_characteristics(spark):
+    """A characteristic that repeats another, and one that is constant, change nothing; the residual is numpy's."""
+    rng = random.Random(8)
+    draw = lambda: [[rng.random() if rng.random() > 0.1 else None for _ in range(50)] for _ in range(3)]
+    c1, c2, c3, x = draw(), draw(), draw(), [[rng.gauss(1e6, 1) if rng.random() > 0.1 else None for _ in range(50)] for _ in range(3)]
+    df = frame(spark, x, c1=c1, c2=c2, c3=c3).withColumns({"again": 2 * F.col("c2"), "flat": F.lit(1.0)})
+    rank = lambda rows: pd.DataFrame(rows, dtype=float).rank(axis=1, pct=True).fillna(0.5)
+    want = {}
+    for t in range(3):
+        have = [s for s in range(50) if x[t][s] is not None]
+        a = np.column_stack([np.ones(len(have)), *[rank(c).iloc[t, have] for c in (c1, c2, c3)]])
+        y = np.array([x[t][s] for s in have])
+        want |= {(day(t), s): v for s, v in zip(have, y - a @ np.linalg.lstsq(a, y, rcond=None)[0], strict=True)}
+    for names in (["c1", "c2", "c3"], ["c1", "c2", "again", "flat", "c3"]):
+        got = {(r["date"], r["symbol"]): r["value"] for r in neutralize.characteristic_neutralize(df, "x", names).collect() if r["value"] is not None}
+        assert got.keys() == want.keys() and all(abs(v - want[k]) < 1e-7 for k, v in got.items()), names
+    assert neutralize.characteristic_neutralize(df, "x", []).where("value IS NOT NULL").count() == len(want)
+
+
+def test_orthogonal_slopes_from_gram_matrices(spark):
+    """Many signals with gaps of their own: as the passes in turn give them, in a number of jobs that doesn't grow."""
+    rng = random.Random(6)
+    rows = [(f"s{i:02d}", day(t), s, rng.gauss(0, 1) + t) for i in range(12) for t in range(8) for s in range(9) if rng.random() > (0.3 if i % 4 == 1 else 0.05)]
+    long = spark.createDataFrame(rows, "signal_id string, date date, symbol long, value double").cache()
+    weights = {f"s{i:02d}": (i * 7 % 5 - 2.0) for i in range(12)}
+    one, turn = combine.fit_orthogonal(long, weights), combine.fit_orthogonal(long, weights, most_entries=0)
+    assert [i for i, _ in one] == [i for i, _ in turn] and one[0][1] is None
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(one[1:], turn[1:], strict=True))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("gram"))
+    spark.sparkContext.setJobGroup("gram", "")
+    seen = []
+    for n in (4, 12):
+        before = jobs()
+        combine.fit_orthogonal(long, {k: weights[k] for k in sorted(weights)[:n]})
+        seen.append(jobs() - before)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[0] == seen[1] > 0
+    assert combine.fit_orthogonal(long.limit(0), {"s00": 1.0, "s01": 0.5}) == [("s00", None), ("s01", 0.0)]
+
+
 def test_orthogonal_fit_and_apply(spark):
     rng = random.Random(4)
     cells = [(day(t), s) for t in range(6) for s in range(8)]
@@ -222,6 +279,48 @@ def test_expressions(spark):
     assert tuple(last) == (2, 3)
 
 
+def test_deep_formulas(spark):
+    """Windows are curried at every depth; equal arguments are found whatever they hold."""
+    deep = "close"
+    for _ in range(20):
+        deep = f"ts_mean({deep}, 5)"
+    rows = {
+        deep: (deep.replace("ts_mean(", "ts_mean_5(").replace(", 5)", ")"), None),
+        f"neg({deep})": (None, "too_deep"),
+        "sub(add(a, b), add(a, b))": (None, "degenerate"),
+        "sub(add(a, b), add(b, a))": (None, None),
+        "cs_rank(safe_div( ts_cov_20(a,b) ,ts_cov_20( a, b )))": (None, "degenerate"),
+        "neg(ts_corr_10(sub(a, b), sub(a, c)))": (None, None),
+        "mul(sub(a, mul(b, sub(c, d))), sub(a, mul(b, sub(c, d))))": (None, None),
+        "add(x, subtract(a, a))": (None, "degenerate"),
+        "sign( abs_val(add(a, b)))": (None, "degenerate"),
+        "sign(neg(abs_val(a)))": (None, None),
+        "sub(sub(a, b), sub(a,b)": (None, None),
+        "a)), b((": (None, None),
+        " ": (None, "empty"),
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, e string").orderBy("i")
+    got = df.select(text.normalize_expression(F.col("e")).alias("n"), text.structural_reject(F.col("e")).alias("r")).collect()
+    for (e, (curried, reason)), r in zip(rows.items(), got, strict=True):
+        assert r["r"] == reason and (curried is None or r["n"] == curried), (e, tuple(r))
+
+
+def test_torn_idea_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"idea": "x", "expressions": ["f(a)", "g(b)", "h(c)"], "prompt_tokens": 10}\n\n{"idea": "y", "expr\n{"idea": "z", "expressions": []}\n[1, 2\n')
+    good, bad = readers.read_ideas(spark, str(tmp_path))
+    assert sorted(r["idea"] for r in good.collect()) == ["x", "z"] and sorted(r["line"] for r in bad.collect()) == ["[1, 2", '{"idea": "y", "expr']
+    assert [(r["at"], r["expression"], r["prompt_tokens"]) for r in readers.idea_expressions(good).orderBy("at").collect()] == [(0, "f(a)", 3), (1, "g(b)", 3), (2, "h(c)", 3)]
+
+
+def test_jdbc_by_year_keeps_the_last_day_and_missing_dates(spark):
+    rows = [(i, x) for i, x in enumerate(["1999-12-31 23:59:59", "2000-01-01 00:00:00", "2000-12-31 18:30:00", None, "2001-06-01 00:00:00", "2002-01-01 00:00:00"])]
+    df = spark.createDataFrame(rows, "id int, said string").select("id", F.col("said").cast("timestamp").alias("at"))
+    url, driver = "jdbc:derby:memory:years;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df.write.jdbc(url, "moments", mode="overwrite", properties=driver)
+    got = readers.read_jdbc_yearly(spark, url, "moments", '"at"', 2000, 2001, driver, timestamps=True)
+    assert got.rdd.getNumPartitions() == 3 and sorted(r[0] for r in got.select("id").collect()) == [1, 2, 3, 4]
+
+
 def test_json_payloads(spark):
     say = ['[1, 2]', 'So:\n```json\n{"a": 1}\n```\nbye', '```\n[3]\n```', 'text {"b": [1]} end', "none {here", "", None, '  {"c": 2} ']
     got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(say)], "i int, s string").orderBy("i").select(text.extract_json_payload(F.col("s"))).collect()]
@@ -250,7 +349,8 @@ def test_contract(spark):
     assert out.schema["symbol"].dataType.simpleString() == "bigint" and out.first()["bid"] is None
     with pytest.raises(ValueError, match="missing"):
         readers.enforce_contract(df, ["nope"])
-    assert readers.yearly_predicates("d", 2000, 2001) == ["d BETWEEN '2000-01-01' AND '2000-12-31'", "d BETWEEN '2001-01-01' AND '2001-12-31'"]
+    years = readers.yearly_predicates("d", 2000, 2001)
+    assert years == ["d >= {d '2000-01-01'} AND d < {d '2001-01-01'}", "d >= {d '2001-01-01'} AND d < {d '2002-01-01'}", "d IS NULL"]
 
 
 def test_unknown_signals_are_missing(spark, ragged):
