@@ -7,20 +7,56 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import drop_duplicates_keep_last
 
+#: Days of a stretch of time by which rows and spans meet.
+SPAN_DAYS = 1024
 
-def asof_fill(obs: DataFrame, grid: DataFrame, values: list[str], member: str | None = "member") -> DataFrame:
+
+def asof_fill(obs: DataFrame, grid: DataFrame, values: list[str], member: str | None = "member", carry: DataFrame | None = None) -> DataFrame:
     """grid with the last observation at or before each date, per symbol and value; never filled backwards.
 
-    Observations off the calendar count, as they are put between the grid's rows before filling. One exchange by symbol
-    serves all values.
+    Observations off the calendar count, as they are put between the grid's rows before filling. Two phases: rows are filled within symbol and year, so no
+    task sorts a symbol's whole history, and where a year has none so far, the last value of the years before comes from a table with a row per symbol and
+    year. `carry` (symbol and values, as `carried` gives it) stands for all observations before those given: a new year's grid needs that year's
+    observations and the carry, not the history.
     """
-    rows = obs.select("date", "symbol", *values, F.lit(0).alias("_grid"))
+    year = F.year("date")
+    rows = obs.select("date", "symbol", *values, F.lit(0).alias("_grid"), year.alias("_year"))
     empty = {v: F.lit(None).cast(obs.schema[v].dataType) for v in values}
-    cells = grid.drop(*values).withColumns(empty | {"_grid": F.lit(1)})
+    cells = grid.drop(*values).withColumns(empty | {"_grid": F.lit(1), "_year": year})
     both = cells.unionByName(rows, allowMissingColumns=True)
-    order = Window.partitionBy("symbol").orderBy("date", "_grid").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("symbol", "_year").orderBy("date", "_grid").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumns({v: F.last(v, ignorenulls=True).over(order) for v in values}).where(F.col("_grid") == 1).drop("_grid")
-    return filled.withColumns({v: F.when(F.col(member), F.col(v)) for v in values}) if member else filled
+    before = _before_years(obs, grid, values, carry)
+    filled = filled.join(before, (F.col("symbol") == F.col("_of")) & (F.col("_year") == F.col("_into")), "left")
+    known = {v: F.coalesce(F.col(v), F.col(f"_b{i}")) for i, v in enumerate(values)}
+    return filled.withColumns({v: F.when(F.col(member), x) if member else x for v, x in known.items()}).select(*cells.drop("_grid", "_year").columns)
+
+
+def _last_of_year(obs: DataFrame, values: list[str]) -> DataFrame:
+    """symbol, year, values: the last of each value within the year; an aggregate, so most of it happens before rows move."""
+    return obs.groupBy("symbol", F.year("date").alias("year")).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("date"))).alias(v) for v in values])
+
+
+def _before_years(obs: DataFrame, grid: DataFrame, values: list[str], carry: DataFrame | None) -> DataFrame:
+    """_of, _into, _b0, ...: what is known of a symbol when a year of the grid begins."""
+    span = grid.agg(F.year(F.min("date")).alias("_lo"), F.year(F.max("date")).alias("_hi"))
+    lasts = _last_of_year(obs.where(F.col("date").isNotNull()), values).join(F.broadcast(span), F.lit(True))
+    if carry is not None:
+        lasts = carry.select("symbol", F.lit(0).alias("year"), *values).join(F.broadcast(span), F.lit(True)).unionByName(lasts)
+    line = Window.partitionBy("symbol").orderBy("year")
+    so_far = {f"_b{i}": F.last(v, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)) for i, v in enumerate(values)}
+    lasts = lasts.withColumns(so_far | {"_next": F.lead("year").over(line)})
+    first, last = F.greatest(F.col("year") + 1, F.col("_lo")), F.least(F.coalesce("_next", "_hi"), "_hi")  # the years that begin with these values
+    years = F.when(first <= last, F.sequence(first, last))
+    return lasts.select(F.col("symbol").alias("_of"), F.explode(years).alias("_into"), *so_far)
+
+
+def carried(obs: DataFrame, values: list[str], carry: DataFrame | None = None) -> DataFrame:
+    """symbol, values: the last of each value after all observations given, and after those that an earlier carry stands for."""
+    rows = obs.select("symbol", "date", *values)
+    if carry is not None:
+        rows = rows.unionByName(carry.select("symbol", F.to_date(F.lit("0001-01-01")).alias("date"), *values))
+    return rows.groupBy("symbol").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("date"))).alias(v) for v in values])
 
 
 def build_spans(facts: DataFrame, group: str, symbol: str, date: str) -> DataFrame:
@@ -28,20 +64,32 @@ def build_spans(facts: DataFrame, group: str, symbol: str, date: str) -> DataFra
     return facts.where(F.col(group).isNotNull() & F.col(symbol).isNotNull()).groupBy(group, symbol).agg(F.min(date).alias("start"), F.max(date).alias("end"))
 
 
-def link_by_span(rows: DataFrame, spans: DataFrame, group: str, date: str = "eff_date", slack: int = 400) -> DataFrame:
-    """rows with every symbol whose span, widened by `slack` days, holds their date. The join is on the group; the range is checked in it."""
-    near = (F.col(date) >= F.date_sub("start", slack)) & (F.col(date) <= F.date_add("end", slack))
-    return rows.join(spans, group).where(near)
+def link_by_span(rows: DataFrame, spans: DataFrame, group: str, date: str = "eff_date", slack: int = 400, days: int = SPAN_DAYS) -> DataFrame:
+    """rows with every symbol whose span, widened by `slack` days, holds their date.
+
+    Time is cut into stretches of `days`: a span stands in every stretch that it reaches into, a row in the one of its date, and they meet by group and
+    stretch. So a group with very many rows and spans is shared by many tasks, each looking only at spans near in time; a row is in one stretch, so no
+    pair is found twice.
+    """
+    names = [c for c in ("_stretch", "__stretch", "___stretch") if c not in rows.columns + spans.columns]
+    stretch = lambda c: F.floor(F.unix_date(c) / days)
+    lo, hi = F.date_sub("start", slack), F.date_add("end", slack)
+    reached = spans.where(lo <= hi).withColumn(names[0], F.explode(F.sequence(stretch(lo), stretch(hi))))
+    near = (F.col(date) >= lo) & (F.col(date) <= hi)
+    return rows.withColumn(names[0], stretch(F.col(date).cast("date"))).join(reached, [group, names[0]]).where(near).drop(names[0])
 
 
 def best_match(linked: DataFrame, keys: list[str], universe: DataFrame, symbol: str, date: str = "eff_date") -> DataFrame:
-    """One symbol per key: within its span first, then in the universe, then nearest to the span's middle, then the smallest."""
+    """One symbol per key: within its span first, then in the universe, then nearest to the span's middle, then the smallest.
+
+    An aggregate: of a key's candidates each task sends one.
+    """
     known = universe.select(symbol).distinct().withColumn("in_universe", F.lit(True))
     out = linked.join(known, symbol, "left").withColumn("in_universe", F.coalesce("in_universe", F.lit(False)))
-    out = out.withColumn("in_span", (F.col(date) >= F.col("start")) & (F.col(date) <= F.col("end")))
+    out = out.withColumn("in_span", F.coalesce((F.col(date) >= F.col("start")) & (F.col(date) <= F.col("end")), F.lit(False)))
     twice = F.abs(2 * F.datediff(date, "start") - F.datediff("end", "start"))  # twice the distance to the middle, in whole days
-    order = Window.partitionBy(*keys).orderBy(F.desc("in_span"), F.desc("in_universe"), twice, symbol)
-    return out.withColumn("_at", F.row_number().over(order)).where(F.col("_at") == 1).drop("_at")
+    order = F.struct(~F.col("in_span"), ~F.col("in_universe"), twice, F.col(symbol))
+    return out.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*out.columns), order).alias("_best")).select("_best.*")
 
 
 def effective_date(report: Column, period: Column, days: int = 90) -> Column:

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.readers import fields
 
 
-def panel_checks(panel: DataFrame, universe: DataFrame, names: int = 800, moves: int = 50, breadth: float = 200, edge_days: int = 60, first_fundamental: DataFrame | None = None) -> DataFrame:
-    """Eleven point-in-time checks; thresholds are parameters. universe: symbol. first_fundamental: one row, first_date, of quarterly values."""
+def _ahead(panel: DataFrame) -> tuple[DataFrame, Column]:
+    """panel with the next row's membership and return; the largest distance of the label to that return where both rows are members."""
     by_time = Window.partitionBy("symbol").orderBy("t")
     ahead = panel.withColumns({"_next_member": F.coalesce(F.lead("member").over(by_time), F.lit(False)), "_next": F.lead("returns").over(by_time)})
-    both = F.col("member") & F.col("_next_member")
+    return ahead, F.max(F.when(F.col("member") & F.col("_next_member"), F.abs(F.col("forward_returns") - F.col("_next"))))
+
+
+def _aligned(shift: Column) -> Column:
+    return F.coalesce(shift, F.lit(0.0)) < 1e-9
+
+
+def forward_alignment(panel: DataFrame) -> DataFrame:
+    """One row, ok: whether every label is the next row's return. The check of this name in panel_checks, by itself."""
+    ahead, shift = _ahead(panel)
+    return ahead.agg(_aligned(shift).alias("ok"))
+
+
+def panel_checks(panel: DataFrame, universe: DataFrame, names: int = 800, moves: int = 50, breadth: float = 200, edge_days: int = 60, first_fundamental: DataFrame | None = None) -> DataFrame:
+    """Eleven point-in-time checks; thresholds are parameters. universe: symbol. first_fundamental: one row, first_date, of quarterly values."""
+    ahead, shift = _ahead(panel)
     cells = ahead.agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("date").alias("n_dates"),
         F.countDistinct("symbol").alias("n_symbols"),
-        F.max(F.when(both, F.abs(F.col("forward_returns") - F.col("_next")))).alias("shift"),
+        shift.alias("shift"),
         F.max(F.when(F.col("member"), F.abs(F.col("forward_returns") - F.col("returns")))).alias("same_day"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
@@ -38,7 +53,7 @@ def panel_checks(panel: DataFrame, universe: DataFrame, names: int = 800, moves:
         ("ids_in_universe", c("strangers") == 0, c("strangers").cast("double")),
         ("double_fields", F.lit(typed), F.lit(None).cast("double")),
         ("sector_is_no_field", F.lit("sector" not in fields(panel)), F.lit(None).cast("double")),
-        ("forward_is_next_return", F.coalesce(c("shift"), F.lit(0.0)) < 1e-9, c("shift")),
+        ("forward_is_next_return", _aligned(c("shift")), c("shift")),
         ("forward_is_not_same_day", c("same_day") > 1e-9, c("same_day")),
         ("exits", c("exits") > moves, c("exits").cast("double")),
         ("entries", c("entries") > moves, c("entries").cast("double")),

@@ -128,6 +128,47 @@ def test_asof_keeps_weekend_observations_and_never_fills_back(spark):
     assert got == {3: None, 6: 5.0, 7: 5.0, 8: None}
 
 
+def test_asof_by_years_equals_one_fill(spark):
+    """Sparse observations over years, some years and symbols without any; a year appended with the carry table equals the whole."""
+    rng = random.Random(7)
+    dates = [day(9 * i) for i in range(200)]
+    grid = spark.createDataFrame([(d, s, rng.random() > 0.1) for d in dates for s in range(6)], "date date, symbol long, member boolean")
+    seen = [(day(rng.randrange(-400, 1790)), s, rng.choice([None, rng.random()]), rng.choice([None, None, rng.random()])) for s in range(5) for _ in range(2 if s < 2 else 14)]
+    seen = [*{(d, s): (d, s, v, w) for d, s, v, w in seen}.values()]
+    obs = spark.createDataFrame(seen, "date date, symbol long, v double, w double")
+    want = {}
+    for r in grid.collect():
+        for i, c in ((2, "v"), (3, "w")):
+            past = [(o[0], o[i]) for o in seen if o[1] == r["symbol"] and o[0] <= r["date"] and o[i] is not None]
+            want[r["date"], r["symbol"], c] = max(past)[1] if past and r["member"] else None
+    rows = lambda df: {(r["date"], r["symbol"], c): r[c] for r in df.collect() for c in ("v", "w")}
+    whole = asof.asof_fill(obs, grid, ["v", "w"])
+    assert whole.columns == ["date", "symbol", "member", "v", "w"] and rows(whole) == want
+    carry, got = None, {}
+    for year in range(2018, 2025):
+        of = lambda df, y=year: df.where(F.year("date") == y)
+        got |= rows(asof.asof_fill(of(obs), of(grid), ["v", "w"], carry=carry))
+        carry = spark.createDataFrame(asof.carried(of(obs), ["v", "w"], carry).collect(), "symbol long, v double, w double")
+    assert got == want
+
+
+def test_spans_of_a_hot_group(spark):
+    """Ten thousand pairs of one group meet in as many stretches as the dates need; each pair once."""
+    rng = random.Random(10)
+    spans = [(1, p, day(a := rng.randrange(9000)), day(a + rng.randrange(700))) for p in range(300)] + [(2, 900, day(5), day(3)), (3, 901, day(0), day(10))]
+    rows = [(1, i, day(rng.randrange(-500, 10000))) for i in range(300)] + [(2, 1000, day(4)), (4, 1001, day(5)), (3, 1002, None)]
+    s = spark.createDataFrame(spans, "gvkey long, permno long, start date, end date")
+    r = spark.createDataFrame(rows, "gvkey long, k long, eff_date date")
+    near = datetime.timedelta(days=400)
+    want = sorted((k, p) for g, k, d in rows for h, p, a, b in spans if d and g == h and a - near <= d <= b + near)
+    for days in (30, 1024, 100_000):
+        linked = asof.link_by_span(r, s, "gvkey", days=days)
+        assert linked.columns == ["gvkey", "k", "eff_date", "permno", "start", "end"]
+        assert sorted((x["k"], x["permno"]) for x in linked.collect()) == want
+    stretches = asof.link_by_span(r, s, "gvkey")._jdf.queryExecution().toString()
+    assert "hashpartitioning(gvkey" in stretches or "_stretch" in stretches
+
+
 def test_universe_uses_the_year_before(spark):
     d = lambda y: datetime.date(y, 6, 1)
     rows = [(d(2000), 1, 10.0, True), (d(2000), 2, 20.0, True), (d(2000), 3, 99.0, False), (d(2001), 1, 50.0, True), (d(2001), 2, 1.0, True), (d(2003), 2, 5.0, True)]
