@@ -11,7 +11,8 @@ stretches are longer, up to whole texts.
 
 Decoding joins pieces and bytes and gives back the text exactly; the space mark itself, where a text has it, is encoded by its bytes.
 
-Defined cases: a null text counts as empty and has no pieces; repeated rows are each encoded; only doc_id and text are read.
+Defined cases: a null text counts as empty and has no pieces; null ids stay null; repeated rows are each encoded; very long texts are encoded whole; empty tables
+give empty results; only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -7,12 +7,13 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from crosspanel.llm import graph, langid, lines, pieces, pivots, quality, simhash
-from crosspanel.llm.common import held_out
+from crosspanel.llm.common import BATCH_BYTES, held_out, small_batches
 from crosspanel.llm.queries import QUERIES
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -280,23 +281,32 @@ def brute_vectors(rows, threshold=0.9):
     return {(ids[a], ids[b]) for a, b in zip(*np.nonzero(sims >= threshold), strict=True) if ids[a] < ids[b]}
 
 
-def test_op9_recall_and_precision(spark):
-    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{MEDIUM}/embeddings.parquet'").fetchall()
+def test_op9_recall_and_precision(spark, tmp_path):
+    """The registered query on the given vectors and planted neighbours of some of them (the table itself holds no pair at 0.9)."""
+    rng = np.random.default_rng(1)
+    given = duckdb.sql(f"SELECT vec_id, embedding FROM '{MEDIUM}/embeddings.parquet'").fetchall()
+    near = [(10_000_000 + i, (np.array(v) + rng.normal(size=len(v)) * np.linalg.norm(v) * 0.3 / np.sqrt(len(v))).tolist()) for i, (_, v) in enumerate(given[::3]) if v is not None]
+    rows = [*given, *near, (20_000_000, None), (20_000_001, [0.0] * 64), *[(30_000_000 + i, given[1][1]) for i in range(5)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
     want = brute_vectors(rows)
-    members, _, pairs = pivots.cosine_links(spark.read.parquet(f"{MEDIUM}/embeddings.parquet"))
-    of = {r["id"]: r["vec_id"] for r in members.collect()}
-    got = {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in pairs.collect()}
+    assert len(want) > 100
+    members, _, pairs = pivots.cosine_links(df)
+    of = defaultdict(list)  # an id stands for all its equal vectors
+    for r in members.collect():
+        of[r["id"]].append(r["vec_id"])
+    got = {tuple(sorted((x, y))) for r in pairs.collect() for x in of[r["a"]] for y in of[r["b"]]} | {tuple(sorted(p)) for own in of.values() for p in itertools.combinations(own, 2) if tuple(sorted(p)) in want}
     assert got <= want and len(got) >= 0.9 * len(want)
     n = defaultdict(int)
-    for a, b in got:
-        n[a] += 1
-        n[b] += 1
+    for x, y in got:
+        n[x] += 1
+        n[y] += 1
     labels = components([i for i, _ in rows], got)
-    for r in QUERIES["op9_pivot_links"](spark, MEDIUM).collect():
+    for r in QUERIES["op9_pivot_links"](spark, str(tmp_path)).collect():
         assert (r["n_links"], r["component_id"], r["kept"]) == (n[r["vec_id"]], labels[r["vec_id"]], labels[r["vec_id"]] == r["vec_id"])
 
 
-@pytest.mark.parametrize(("n_pivots", "noise"), [(256, 3000), (2048, 6000)])
+@pytest.mark.parametrize(("n_pivots", "noise"), [(256, 3000), (2048, 6000), (8192, 12_000)])
 def test_op9_recall_at_the_threshold(spark, n_pivots, noise):
     """Pairs at cosine 0.900 to 0.902 in random directions, with as many pivots as large tables have; the pivots are mostly other vectors."""
     rng = np.random.default_rng(n_pivots)
@@ -575,6 +585,35 @@ def test_op5_decodes_to_its_input(spark):
     assert all(r["n_pieces"] == len(r["ids"]) for r in got)
 
 
+def test_op5_on_odd_rows(spark):
+    """Nulls, repeats, a very long text, clashing names and an empty table."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(None, "a b"), (None, None), (3, ""), (3, "same"), (3, "same"), (4, "word é " * 200_000), (5, "x" * 300_000), (6, "\n"), (7, "▁")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit("clash"), "n_pieces": F.lit(1)})
+    got = pieces.decode(pieces.encode(df, path), path)
+    assert got.columns == ["doc_id", "ids", "text"]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(((d, t or "") for d, t in rows), key=key)
+    assert all(r["ids"] == [] for r in got.where("text = ''").collect())
+    assert pieces.decode(pieces.encode(df.limit(0), path), path).collect() == []
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Long texts: Spark closes a batch before its rows are many; the session's settings are as before afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64()), "size": pa.array([b.nbytes], pa.int64())})
+
+    df = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text"))
+    with small_batches(spark):
+        found = df.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 60 and len(found) >= 3 and max(r["size"] for r in found) <= BATCH_BYTES + (4 << 20)
+    assert spark.conf.get(key) == before
+
+
 def test_held_out(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
