@@ -35,7 +35,7 @@ MARK = "▁"
 #: Stands for the space mark where the text itself has it. No text and no piece can hold a lone surrogate, so it is encoded by bytes.
 LITERAL = "\ud800"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class PieceModel:
