@@ -8,7 +8,9 @@ a large offset. Whether a window is constant is not left to rounding: the last p
 Extremes: a table of the extremes of spans of 1, 2, 4, ... rows, each from two of the span before; two overlapping spans make up any window. With
 positions, the older span wins ties.
 
-Windows count rows of a dense grid: t rises by one from row to row of a symbol. All of this shares a single sort by symbol, block and t.
+Ranks and medians: see `orders`.
+
+Windows count rows of a dense grid: t rises by one from row to row of a symbol. All but the ranks and medians shares a single sort by symbol, block and t.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orders import ORDERS, with_orders
+
 #: Rows of a block, at least; a window is no longer than a block.
 BLOCK = 64
 MOMENTS = ("ts_mean", "ts_std", "ts_sum", "ts_zscore", "ts_ir", "ts_skew", "ts_kurt", "ts_decayed_linear", "ts_linear_reg", "ts_corr", "ts_cov")
@@ -57,6 +61,8 @@ def with_rolling(panel: DataFrame, asks: list[Ask]) -> DataFrame:
         panel = _moments(panel, [a for a in asks if a.base in MOMENTS and _block(a.w) == size], size)
     if some := [a for a in asks if a.base in EXTREMES]:
         panel = _extremes(panel, some)
+    if some := [(a.name, a.base, a.w, a.args[0]) for a in asks if a.base in ORDERS]:
+        panel = with_orders(panel, some)
     return panel.select(*columns, *[a.name for a in asks])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crosssection import cs_rank, cs_winsorize, cs_zscore
 from ..functions.elementwise import finite
+from ..functions.orders import ORDERS
 from ..functions.rolling import EXTREMES, MOMENTS, Ask, with_rolling
 from ..sources.writers import materialized
 from .registry import IS_CROSS_SECTION, REGISTRY, WINDOWS
@@ -25,7 +26,7 @@ BATCH = 24
 #: Digits that derived columns keep before they are ranked, so that equal values tie.
 DIGITS = 12
 #: Registered functions whose windows are made together, with base name and window.
-ROLLING = {f"{base}_{w}": (base, w) for base in (*MOMENTS, *EXTREMES) for w in WINDOWS[base]}
+ROLLING = {f"{base}_{w}": (base, w) for base in (*MOMENTS, *EXTREMES, *ORDERS) for w in WINDOWS[base]}
 #: Functions of one column across the symbols of a date, which can be keyed by signal too.
 ACROSS = {"cs_rank": cs_rank, "cs_zscore": cs_zscore, "cs_winsorize": lambda x, keys: cs_winsorize(x, keys=keys)}
 
@@ -70,8 +71,10 @@ def signal_columns(panel: DataFrame, signals: dict[str, Formula]) -> DataFrame:
         now = [f for f in nodes.values() if level(f) == depth]
         together = [f for f in now if f[0] in ROLLING and not any(isinstance(x, int | float) for x in f[1:])]
         if together:
-            of = lambda x: names[text(x)] if isinstance(x, tuple) else x
-            panel = with_rolling(panel, [Ask(names[text(f)], *ROLLING[f[0]], tuple(map(of, f[1:]))) for f in together])
+            rounded = {f"{names[text(x)]}_r": F.round(at(x), DIGITS) for f in together if f[0].startswith("ts_rank") for x in f[1:] if isinstance(x, tuple)}
+            panel = panel.withColumns(rounded)
+            of = lambda f, x: x if not isinstance(x, tuple) else names[text(x)] + "_r" * f[0].startswith("ts_rank")
+            panel = with_rolling(panel, [Ask(names[text(f)], *ROLLING[f[0]], tuple(of(f, x) for x in f[1:])) for f in together]).drop(*rounded)
             now = [f for f in now if f not in together]
         for across in (False, True):
             if some := {names[text(f)]: column(f) for f in now if (f[0] in IS_CROSS_SECTION) == across}:
@@ -91,7 +94,7 @@ def parts(signals: dict[str, Formula], columns: set[str], most: int = BATCH) ->
     for k, f in signals.items():
         own = inner(f, columns)[1]
         name = ROLLING.get(own[0], ("",))[0] if isinstance(own, tuple) else ""
-        kinds.setdefault(1 if name in MOMENTS else 2 if name in EXTREMES else 0, {})[k] = f
+        kinds.setdefault(next((i for i, some in enumerate((MOMENTS, EXTREMES, ORDERS), 1) if name in some), 0), {})[k] = f
     for kind in sorted(kinds):
         n = -(-len(kinds[kind]) // most)
         for part in batched(kinds[kind].items(), -(-len(kinds[kind]) // n)):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.functions import timeseries as ts
+from crosspanel.functions.orders import ORDERS, Wavelet
 from crosspanel.functions.rolling import EXTREMES, MOMENTS, Ask, with_rolling
 from crosspanel.operators import gate
 from crosspanel.plans.evaluate import evaluate_signals
@@ -97,4 +98,54 @@ def test_batch_scores_equal_those_of_the_long_table(spark):
 
 
 def test_every_moment_and_extreme_is_registered():
-    assert all(any(n.startswith(f"{b}_") for n in REGISTRY) for b in (*MOMENTS, *EXTREMES))
+    assert all(any(n.startswith(f"{b}_") for n in REGISTRY) for b in (*MOMENTS, *EXTREMES, *ORDERS))
+
+
+@pytest.mark.parametrize("batch_rows", [7, 10_000])
+def test_ranks_and_medians_equal_plain_windows(spark, batch_rows):
+    """Ties, gaps, stretches without a value, infinities and NaN, windows longer than the symbol, batches that end within a symbol; other columns stay."""
+    rng = random.Random(batch_rows)
+    odd = [None, math.inf, -math.inf, math.nan, -0.0, 0.0, 1e300]
+    x = [[None if 20 <= t < 95 and s == 1 or s == 2 and t > 0 else rng.choice(odd) if rng.random() < 0.2 else float(rng.randrange(6)) for s in range(4)] for t in range(130)]
+    y = [[None if rng.random() < 0.1 else rng.gauss(0, 1) for _ in range(4)] for _ in range(130)]
+    df = panel(spark, {"x": x, "y": y}, 11).withColumn("symbol", F.format_string("s%d", "symbol")).withColumn("note", F.when(F.col("t") % 3 > 0, F.array("symbol")))
+    asks = [Ask(f"{b}_{c}_{w}", b, w, (c,)) for b in ORDERS for c in "xy" for w in (1, 2, 5, 20, 60, 200)]
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, str(batch_rows))
+    try:
+        got = with_rolling(df, asks)
+        assert got.columns == [*df.columns, *[a.name for a in asks]]
+        plan = got._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "lag(" not in plan and "percentile" not in plan
+        found = {(r["t"], r["symbol"]): r for r in got.collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = df.select("*", *[getattr(ts, a.base)(F.col(a.args[0]), a.w).alias(a.name) for a in asks]).collect()
+    assert len(found) == len(want) == 520
+    same = lambda u, v: u == v or u is not None and v is not None and u != u and v != v
+    for r in want:
+        other = found[r["t"], r["symbol"]]
+        assert r["note"] == other["note"] and r["date"] == other["date"]
+        for a in asks:
+            assert same(r[a.name], other[a.name]), (a, r["t"], r["symbol"], r[a.name], other[a.name])
+
+
+def test_ranks_and_medians_of_nothing(spark):
+    none = panel(spark, {"x": [[1.0]]}).where("t < 0")
+    assert with_rolling(none, [Ask("r", "ts_rank", 5, ("x",)), Ask("m", "ts_median", 5, ("x",))]).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_wavelet_counts_and_selects(seed):
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0, [1, 2, 9, 1000][seed], 257).astype(float)
+    lo = rng.integers(0, 256, 400)
+    hi = rng.integers(lo + 1, 258)
+    at, wavelet = rng.integers(0, 257, 400), Wavelet(values)
+    below, equal = wavelet.below_and_equal(lo, hi, wavelet.of[at])
+    k = rng.integers(0, hi - lo)
+    picked = wavelet.smallest(lo, hi, k)
+    for i in range(400):
+        part = values[lo[i] : hi[i]]
+        assert (below[i], equal[i]) == ((part < values[at[i]]).sum(), (part == values[at[i]]).sum())
+        assert picked[i] == np.sort(part)[k[i]]
