@@ -150,39 +150,6 @@ def test_similar_texts_at_the_threshold_and_in_large_groups(spark, monkeypatch,
     assert simhash.similar(df.limit(0)).count() == 0 and simhash.similar(df.limit(1)).count() == 1
 
 
-def test_recall_at_the_threshold_for_every_size(spark):
-    """Pairs just at 0.8 of 4 to 400 shingles, of equal sizes and one holding the other; beside them pairs just below, which must not link."""
-    rng = random.Random(8)
-    words = lambda n: [f"{rng.getrandbits(50):x}" for _ in range(n)]
-    rows, cases, below, n_pairs = {}, {}, [], 60
-    for a, b in [(4, 5), (8, 10), (9, 9), (12, 15), (18, 18), (20, 25), (27, 27), (40, 50), (63, 63), (64, 80), (66, 66), (68, 85), (90, 90), (180, 225), (400, 400)]:
-        common = -(-4 * (a + b) // 9)
-        for i in range(2 * n_pairs):
-            shared = words(min(a, b, common - (i >= n_pairs)) + 4)
-            x, y = shared + words(a + 4 - len(shared)), shared + words(b + 4 - len(shared))
-            at = len(rows)
-            rows[at], rows[at + 1] = " ".join(x), " ".join(y)
-            if i < n_pairs:
-                cases.setdefault((a, b), []).append(at)
-            else:
-                below.append(at)
-    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
-    assert all(got[d] == d and got[d + 1] == d + 1 for d in below)
-    recall = {size: sum(got[d + 1] == d for d in at) / n_pairs for size, at in cases.items()}
-    assert all(r >= 0.95 for r in recall.values()), recall
-
-
-@pytest.mark.parametrize("size", [5, 20, 64, 80])
-def test_prefixes_of_similar_sets_meet(size):
-    rng = np.random.default_rng(size)
-    for _ in range(200):
-        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-        kept = rng.permutation(a)[: -(-4 * size // 5)]
-        assert np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(np.sort(kept), 0.8)).size
-    assert simhash.prefix(np.arange(81, dtype=np.uint64), 0.8).size == simhash.prefix(np.zeros(0, np.uint64), 0.8).size == 0
-
-
 def test_keep_one_settles_ties(spark):
     """Rows with one id and text: the choice among other columns is the same whatever the order of rows; equal ids in different groups both stay."""
     rows = [(1, "a b c d e f", x) for x in range(8)] + [(1, "quite another text than that one", 9), (None, "n o p q r s", 1), (None, "n o p q r s", 2)]
