@@ -235,6 +235,10 @@ BLOCK = 2048
 BUCKET_ROWS = 16_384
 #: Rows of a table that may be sent to every task.
 SMALL_TABLE = 1_000_000
+#: Shingles up to which a set also meets others by the rarest of its shingles, and those up to which chances are counted exactly.
+SHORT, EXACT = 64, 256
+#: Sets from which on a shingle counts as frequent.
+FREQUENT = 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -270,25 +274,70 @@ FPS = [f"f{k}" for k in range(WORDS)]
 _FPS = ", ".join(f"{f} bigint" for f in FPS)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, id (a hash of the set of shingles), n (its size) and the wide fingerprint of every row, written to the shared folder."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def sketches(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """doc_id, text_hash, id (a hash of the set of shingles), n (its size), the wide fingerprint and few (the shingles, of sets that a set of SHORT shingles can be similar to) of every row, written to the shared folder."""
     ready_python(docs.sparkSession)
-    names = ["doc_id", "text_hash", "id", "n", *FPS]
+    names = ["doc_id", "text_hash", "id", "n", *FPS, "few"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             sets = [shingles(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "<u8").view("<i8")
             fps = np.array([wide_fingerprint(s) for s in sets], "<u8").view("<i8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS)), _lists([s if len(s) <= SHORT / least else s[:0] for s in sets])], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return materialize(rows.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, n bigint, {_FPS}"), "sketches")
+    return materialize(rows.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, n bigint, {_FPS}, few array<bigint>"), "sketches")
 
 
-def difference(least: float) -> float:
-    """The chance of a bit to differ between two equally large sets of the given Jaccard similarity: their angle over pi."""
-    return math.acos(2 * least / (1 + least)) / math.pi
+def prefixes(few: DataFrame, least: float) -> DataFrame:
+    """id and prefix, the rarest shingles of every set in `few` (id, n, few): of two sets with a similarity of `least` or more, those of both have one in common.
+
+    That holds for any order of all shingles. In this one those of fewer than FREQUENT sets come first, then the others by their count (the most frequent ones that fit SMALL_TABLE rows are told apart), so
+    that only sets made of frequent shingles nearly throughout meet in a frequent one.
+    """
+    each = few.select("id", "n", F.explode("few").alias("shingle"))
+    counts = materialize(each.groupBy("shingle").count().where(F.col("count") >= FREQUENT), "frequent")
+    bound = FREQUENT
+    while counts.where(F.col("count") >= bound).count() > SMALL_TABLE:
+        bound *= 2
+    ranked = each.join(F.broadcast(counts.where(F.col("count") >= bound)), "shingle", "left").groupBy("id", "n")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle"))).alias("ranked"))
+    length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    return materialize(ranked.select("id", F.slice(F.col("ranked.shingle"), F.lit(1), length.cast("int")).alias("prefix")), "prefixes")
+
+
+def differences(least: float) -> np.ndarray:
+    """The chance of a bit to differ between two sets at the given Jaccard similarity, by the size of the larger one up to EXACT: of all sizes of the smaller one the worst.
+
+    Of large sets it is the angle between them over pi. A bit of a small one is a majority of few hashes, ties are 0, and sizes that are odd and even differ more, so it
+    is counted: over the heads among the hashes in common, the chances of a majority on either side.
+    """
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, EXACT + 1)))])
+    out = np.zeros(EXACT + 1)
+    for b in range(1, EXACT + 1):
+        for a in range(math.ceil(least * b - 1e-9), b + 1):
+            common = math.ceil(least * (a + b) / (1 + least) - 1e-9)
+            if common > a:
+                continue
+            flips = lambda n: np.exp(logs[n] - logs[: n + 1] - logs[n::-1] - n * math.log(2))
+            one = []
+            for n in (a, b):
+                at_least = np.append(np.cumsum(flips(n - common)[::-1])[::-1], 0.0)
+                one.append(at_least[np.clip(n // 2 + 1 - np.arange(common + 1), 0, n - common + 1)])
+            u, v = one
+            out[b] = max(out[b], float((flips(common) * (u * (1 - v) + v * (1 - u))).sum()))
+    return out
+
+
+def distance_limits(chances: np.ndarray) -> np.ndarray:
+    """Differing bits that a pair may have to be verified, by the size of the larger set up to EXACT: 2.5 deviations over what is expected at the threshold."""
+    return (WIDE * chances + 2.5 * np.sqrt(WIDE * chances * (1 - chances))).astype(int)
 
 
 def grouped(cor: np.ndarray, parts: int) -> list[list[int]]:
@@ -317,14 +366,13 @@ def groupings(bits: np.ndarray, width: int, most: int) -> list[list[int]]:
     return out
 
 
-def wide_plan(fps: np.ndarray, n: int, least: float, recall: float) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the parts to probe: the least work at which two sets of similarity `least` meet with a chance of `recall`.
+def wide_plan(fps: np.ndarray, n: int, p: float, recall: float) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the parts to probe: the least work at which two sets whose bits differ with a chance of p meet with a chance of `recall`.
 
     A part of w bits with threshold t brings a pair together with the chance that at most t of its bits differ; parts multiply the chances to miss. The pairs
     that a part makes in the whole corpus are estimated from the sample. Widths are tried in turn, thresholds allotted by dynamic programming.
     """
-    p, steps = difference(least), 200
-    need = -math.log(1 - recall)
+    steps, need = 200, -math.log(1 - recall)
     bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").reshape(-1, WIDE)
     u, v = np.triu_indices(len(bits), 1)
     best = (math.inf, [])
@@ -370,13 +418,13 @@ def allot_gain(costs: list[list[float]], gains: list[list[float]], need: float,
 
 
 def _indexed(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """part, key, probe, id, label, n and fingerprint: a row per part, and one per flipped bit where a part's threshold is 1."""
-    names = ["part", "key", "probe", "id", "label", "n", *FPS]
+    """part, key, probe, id, label, n, room and fingerprint: a row per part, one per flipped bit where a part's threshold is 1, and one per shingle of a prefix, as a part of its own behind the others."""
+    names = ["part", "key", "probe", "id", "label", "n", "room", *FPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
-                fps = np.stack([batch.column(k + 3).to_numpy() for k in range(WORDS)], axis=1)
+                fps = np.stack([batch.column(k + 4).to_numpy() for k in range(WORDS)], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
                 for i, (part, t) in enumerate(parts):
                     own = bits[:, part].astype(np.int64) @ (np.int64(1) << np.arange(len(part), dtype=np.int64))
@@ -384,7 +432,9 @@ def _indexed(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
                         n = batch.num_rows
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(own ^ flip), pa.array(np.full(n, probe, np.int8)), *batch.columns], names)
 
-    return reps.select("id", "label", F.col("n").cast("int").alias("n"), *FPS).mapInArrow(run, f"part int, key bigint, probe tinyint, id bigint, label bigint, n int, {_FPS}")
+    rows = reps.select("id", "label", F.col("n").cast("int").alias("n"), F.col("room").cast("int").alias("room"), *FPS, "prefix")
+    met = rows.select(F.lit(len(parts)).alias("part"), F.explode("prefix").alias("key"), F.lit(0).cast("tinyint").alias("probe"), *rows.columns[:-1])
+    return rows.drop("prefix").mapInArrow(run, f"part int, key bigint, probe tinyint, id bigint, label bigint, n int, room int, {_FPS}").unionByName(met)
 
 
 def _sides(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -398,14 +448,16 @@ def _sides(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _first_part(apart: np.ndarray, masks: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """The first part that brings each pair together. apart: the differing bits of a pair, WORDS integers; masks and most: bits and threshold of every part."""
-    differ = sum(np.bitwise_count(apart[:, k, None] & masks[None, :, k]).astype(np.int16) for k in range(WORDS))
-    return np.argmax(differ <= most[None, :], axis=1)
+    """The first part that brings each pair together, their number if none does. apart: the differing bits of a pair, WORDS integers; masks and most: bits and threshold of every part."""
+    if not len(most):
+        return np.zeros(len(apart), int)
+    meet = sum(np.bitwise_count(apart[:, k, None] & masks[None, :, k]).astype(np.int16) for k in range(WORDS)) <= most[None, :]
+    return np.where(meet.any(axis=1), np.argmax(meet, axis=1), len(most))
 
 
-def _near_pairs(rows: dict[str, np.ndarray], least: float, most: int, limit: int, masks: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a bucket with different labels, sizes that allow a similarity of `least` and at most `most` differing bits, that no earlier part brings together; where there are very many, of the `limit` nearest
-    of each member. Whether any was left out. (A member's nearest of all is also the nearest in the first part that they share, so it is always there.)"""
+def _near_pairs(rows: dict[str, np.ndarray], least: float, most: np.ndarray, limit: int, masks: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket with different labels, sizes and room that allow a similarity of `least` and at most as many differing bits as `most` has for the larger size, that no earlier part brings together; where
+    there are very many, of the `limit` nearest of each member. Whether any was left out. (A member's nearest of all is also the nearest in the first part that they share, so it is always there.)"""
     found_a, found_b, cut = [], [], False
     for side, other in _sides(rows):
         for at in range(0, len(side), BLOCK // 4):
@@ -416,8 +468,9 @@ def _near_pairs(rows: dict[str, np.ndarray], least: float, most: int, limit: int
                 for k in range(WORDS):
                     apart += np.bitwise_count(rows["fps"][a_rows, k][:, None] ^ rows["fps"][b_rows, k][None, :])
                 n_a, n_b = rows["n"][a_rows][:, None], rows["n"][b_rows][None, :]
-                apart[(rows["label"][a_rows][:, None] == rows["label"][b_rows][None, :]) | (np.minimum(n_a, n_b) < least * np.maximum(n_a, n_b) - 1e-9)] = WIDE + 1
-                near = apart <= most
+                room = np.minimum(rows["room"][a_rows][:, None], rows["room"][b_rows][None, :])
+                apart[(rows["label"][a_rows][:, None] == rows["label"][b_rows][None, :]) | ((1 + least) * room < least * (n_a + n_b) - 1e-9)] = WIDE + 1
+                near = apart <= np.minimum(most[np.minimum(np.maximum(n_a, n_b), EXACT)], WIDE)
                 if near.sum() > 8 * limit * len(a_rows):
                     cut, k = True, min(limit, len(b_rows))
                     nearest = np.argpartition(apart, k - 1, axis=1)[:, :k]
@@ -435,8 +488,8 @@ def _near_pairs(rows: dict[str, np.ndarray], least: float, most: int, limit: int
     return pairs[:, 0], pairs[:, 1], cut
 
 
-def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], least: float, most: int, limit: int) -> DataFrame:
-    """a, b: pairs with different labels that meet in a part and can have a similarity of `least`; a row of nulls for every bucket that left some out."""
+def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], least: float, most: np.ndarray, limit: int) -> DataFrame:
+    """a, b: pairs with different labels that meet in a part or a prefix and can have a similarity of `least`; a row of nulls for every bucket that left some out."""
     keys = ["part", "key", "i", "j"]
     masks = np.array([[sum(1 << b % 64 for b in part if b // 64 == k) for k in range(WORDS)] for part, _ in parts], np.uint64).reshape(-1, WORDS)
     thresholds = np.array([t for _, t in parts])
@@ -447,7 +500,7 @@ def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], least: floa
         def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             if not rows.num_rows:
                 return
-            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label", "n")} | {"fps": np.stack([rows.column(f).to_numpy().view(np.uint64) for f in FPS], axis=1)}
+            col = {c: rows.column(c).to_numpy() for c in (*keys, "block", "probe", "id", "label", "n", "room")} | {"fps": np.stack([rows.column(f).to_numpy().view(np.uint64) for f in FPS], axis=1)}
             ends = np.flatnonzero(np.any([col[c][1:] != col[c][:-1] for c in keys], axis=0)) + 1
             cuts = [0, *ends.tolist(), rows.num_rows]
             found_a, found_b = [], []
@@ -478,7 +531,7 @@ def _candidates(reps: DataFrame, parts: list[tuple[list[int], int]], least: floa
     block = F.pmod(F.xxhash64("id", "probe"), F.col("n_blocks")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = index.join(long, ["part", "key"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", block).withColumn("o", F.explode(both))
-    dealt = dealt.select("part", "key", "o.i", "o.j", "block", "probe", "id", "label", "n", *FPS)
+    dealt = dealt.select("part", "key", "o.i", "o.j", "block", "probe", "id", "label", "n", "room", *FPS)
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
@@ -488,9 +541,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["id", "shingles"])
+            sets = [shingles(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64("text").alias("text_hash"), "text")
     same = (F.col("text_hash") == F.col("of_text")) & F.col("own_id").eqNullSafe(F.col("of_doc"))
@@ -498,6 +550,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return materialize(found.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
 
 
+def _with_room(active: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The active sets, their room made exact: the shingles that another active set has as well, so the most that two sets can have in common. Those that can't be similar to any other for want of it are left out."""
+    own = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"))
+    own = own.where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    roomy = active.join(own, "id", "left").withColumn("room", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return materialize(roomy.where(F.col("room") >= F.lit(least) * F.col("n") - 1e-9), "roomy")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """a, b, linked: whether the Jaccard similarity of the two sets is at least `least`."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
@@ -512,19 +572,25 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float =
     Two texts link if the Jaccard similarity of their sets of `width`-word shingles is `least` or more. Candidates come from fingerprints of
     WIDE bits by the generalised pigeonhole: parts of correlated bits, thresholds by dynamic programming on estimated candidates, such that two sets just at
     `least` meet with a chance of `recall` (more similar ones nearly always); what meets within the distance that such sets
-    keep is verified on the whole sets. Of a bucket with very many pairs, as a group of near copies makes them, first the nearest of each member
-    are verified; whoever is in one group by then need not be compared again, and the search goes on between groups until no pair is left out.
+    keep is verified on the whole sets. A set of at most SHORT shingles also meets whatever shares one of its rarest shingles, as any set of that similarity does, so that only the
+    distance can lose it; the distance allowed follows from the exact chances of sets of that size. Of a bucket with very many pairs, as a group of near copies makes them, first the nearest of each member
+    are verified; whoever is in one group by then need not be compared again, and the search goes on between groups until no pair is left out. From then on shingles that
+    only one of the sets still in question has are counted against it, so that pages of one template that are not similar leave their bucket once, not as all their pairs.
     """
-    rows = sketches(docs, width)
+    rows = sketches(docs, width, least)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
-    same = ["n", *FPS]  # equal in all rows of an id
+    same = ["n", *FPS, "few"]  # equal in all rows of an id
     reps = rows.groupBy("id").agg(one, *[F.first(f).alias(f) for f in same]).select("id", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), *same)
-    reps = materialize(reps, "reps")
+    once = materialize(reps, "once")
+    met = prefixes(once.where(F.size("few") > 0).select("id", "n", "few"), least)
+    reps = materialize(once.drop("few").join(met, "id", "left").withColumn("room", F.col("n")), "reps")
+    for table in (once, met):
+        forget(table)
     n = reps.count()
     sample = np.array(reps.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select(*FPS).collect(), np.int64).reshape(-1, WORDS)
-    parts, p = wide_plan(sample, n, least, recall), difference(least)
-    most = int(WIDE * p + 2.5 * math.sqrt(WIDE * p * (1 - p)))
-    now, links, limit, sets, checked = reps, None, 1, None, None
+    chances = differences(least)
+    parts, most = wide_plan(sample, n, float(chances[SHORT + 1 :].max()), recall), distance_limits(chances)
+    now, left, links, limit, sets, checked = reps, None, None, 1, None, None
     while n > 1:
         at = now if "label" in now.columns else now.withColumn("label", F.col("id"))
         met = materialize(_candidates(at, parts, least, most, limit).distinct(), "met")
@@ -546,9 +612,11 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float =
         if not cut:
             break
         limit = limit if 2 * found > done.count() else 64 * limit
-        now = materialize(active.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "now")
+        if now is reps:
+            left = _with_room(active, sets, least)
+        now = materialize(left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "now")
     if links is not None:
-        for table in (sets, active):
+        for table in (sets, active, *([] if left is None else [left])):
             forget(table)
         reps = reps.join(labels, "id", "left")
     return _grouped_rows(rows.withColumnRenamed("id", "fp"), reps.withColumnRenamed("id", "fp").withColumnRenamed("doc_id", "least_id"))

@@ -150,6 +150,69 @@ def test_similar_texts_at_the_threshold_and_in_large_groups(spark, monkeypatch,
     assert simhash.similar(df.limit(0)).count() == 0 and simhash.similar(df.limit(1)).count() == 1
 
 
+def test_recall_at_the_threshold_for_every_size(spark):
+    """Pairs just at 0.8 of 4 to 400 shingles, of equal sizes and one holding the other; beside them pairs just below, which must not link."""
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.getrandbits(50):x}" for _ in range(n)]
+    rows, cases, below, n_pairs = {}, {}, [], 60
+    for a, b in [(4, 5), (8, 10), (9, 9), (12, 15), (18, 18), (20, 25), (27, 27), (40, 50), (63, 63), (64, 80), (66, 66), (68, 85), (90, 90), (180, 225), (400, 400)]:
+        common = -(-4 * (a + b) // 9)
+        for i in range(2 * n_pairs):
+            shared = words(min(a, b, common - (i >= n_pairs)) + 4)
+            x, y = shared + words(a + 4 - len(shared)), shared + words(b + 4 - len(shared))
+            at = len(rows)
+            rows[at], rows[at + 1] = " ".join(x), " ".join(y)
+            if i < n_pairs:
+                cases.setdefault((a, b), []).append(at)
+            else:
+                below.append(at)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert all(got[d] == d and got[d + 1] == d + 1 for d in below)
+    recall = {size: sum(got[d + 1] == d for d in at) / n_pairs for size, at in cases.items()}
+    assert all(r >= 0.95 for r in recall.values()), recall
+
+
+@pytest.mark.parametrize("frequent, told_apart", [(64, 1_000_000), (3, 1_000_000), (2, 5)])
+def test_prefixes_of_similar_sets_meet(spark, monkeypatch, frequent, told_apart):
+    """Sets with shingles of every frequency: whatever is told apart, similar ones share a shingle of their prefixes; the frequent shingles come last."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    monkeypatch.setattr(simhash, "SMALL_TABLE", told_apart)
+    rng = random.Random(frequent)
+    sets = [{int(rng.paretovariate(0.4)) % (1 << 40) for _ in range(rng.randint(1, 60))} for _ in range(150)]
+    sets += [set(rng.sample(sorted(s), -(-4 * len(s) // 5))) for s in sets]
+    sets += [{*range(1 << 50, (1 << 50) + 12), i << 45, i << 46, i << 47} for i in range(1, 80, 2)] * 2
+    df = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "id long, n long, few array<long>")
+    got = {r["id"]: set(r["prefix"]) for r in simhash.prefixes(df, 0.8).collect()}
+    assert all(got[i] <= s and len(got[i]) == len(s) - -(-4 * len(s) // 5) + 1 for i, s in enumerate(sets))
+    assert all(got[a] & got[b] for a, b in itertools.combinations(range(300), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    if told_apart > 100:
+        assert got[len(sets) - 1] > {79 << 45, 79 << 46, 79 << 47}
+    assert simhash.prefixes(df.limit(0), 0.8).count() == 0
+
+
+def test_pages_of_one_template_leave_their_bucket_once(spark, monkeypatch):
+    """Pages that share 124 words and have 18 of their own (0.77, so none links): twice as many pages give about twice as many candidates; similar pages among them are found."""
+    rng = random.Random(4)
+    words = lambda n: [f"{rng.getrandbits(50):x}" for _ in range(n)]
+    shared, seen, verified = words(124), [], simhash._verified
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    totals = []
+    for n in (300, 600):
+        pages = [shared + words(18) for _ in range(n)]
+        rows = dict(enumerate(map(" ".join, pages + [p[:-4] + words(4) for p in pages[:20]])))
+        seen.clear()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+        assert all(got[d] == d for d in range(n)) and sum(got[n + i] == i for i in range(20)) >= 19
+        totals.append(sum(seen))
+    assert totals[1] < 3 * totals[0] and totals[1] < 600 * 599 / 10, totals
+
+
 def test_keep_one_settles_ties(spark):
     """Rows with one id and text: the choice among other columns is the same whatever the order of rows; equal ids in different groups both stay."""
     rows = [(1, "a b c d e f", x) for x in range(8)] + [(1, "quite another text than that one", 9), (None, "n o p q r s", 1), (None, "n o p q r s", 2)]
