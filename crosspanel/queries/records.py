@@ -37,9 +37,10 @@ _HASH = "substring(sha1(concat(expression, '|', id)), 1, 16)"
 @query("s12_read_run_json", "SELECT o_orderpriority AS source, count(*) AS n_runs, sum(o_orderkey % 100)::BIGINT AS n_survivors FROM orders GROUP BY 1")
 def read_run_json(spark, sf_dir):
     path, source = scratch(spark, "runs"), F.col("params.source")
-    documents = _runs(spark, sf_dir).groupBy(source.alias("of")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("params", "n_survivors", "factory", "portfolio"))), ","), F.lit("]")).alias("text"))
-    documents.write.partitionBy("of").text(path)  # a file per source, each one document
-    return readers.read_run_json(spark, f"{path}/*/*.txt").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_survivors").alias("n_survivors"))
+    summaries = _runs(spark, sf_dir)
+    writers.write_documents(summaries.select(F.to_json(F.struct("params", "n_survivors", "factory", "portfolio")).alias("run")), "run", path)
+    read = readers.read_run_json(spark, f"{path}/*.txt", summaries.schema)
+    return read.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_survivors").alias("n_survivors"))
 
 
 _IDEA = "SELECT p_partkey, p_size, p_brand, p_partkey % 10 = 3 AS torn, p_partkey % 11 = 5 AS bare FROM {part}"

@@ -114,9 +114,10 @@ def rename_fields(df: DataFrame, mapping: dict[str, str], lower: tuple[str, ...]
     return df.withColumnsRenamed(mapping | {c: c.lower() for c in lower})
 
 
-def read_run_json(spark: SparkSession, glob: str) -> DataFrame:
-    """Run summaries, one JSON document per file, with the file they are from."""
-    return spark.read.option("multiLine", True).json(glob).withColumn("_file", F.input_file_name())
+def read_run_json(spark: SparkSession, glob: str, schema: T.StructType | None = None) -> DataFrame:
+    """Run summaries, one JSON document per file (a run or an array of runs), with the file they are from. Without a schema all files are read once more to find it."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(glob).withColumn("_file", F.input_file_name())
 
 
 IDEAS = "idea string, hypothesis string, source string, model string, terminals array<string>, confidence double, expressions array<string>, prompt_tokens bigint, completion_tokens bigint"

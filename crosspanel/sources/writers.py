@@ -17,6 +17,9 @@ CATALOGUE = T.StructType(
     + [T.StructField("created_at", T.TimestampType())]
 )
 
+#: JSON texts of a document, about.
+DOCUMENT_ROWS = 4_000
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in spark.checkpoint.dir, the folder that driver and executors share; where it is unset, a local one, which only a local master allows."""
@@ -34,6 +37,13 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_documents(rows: DataFrame, column: str, path: str, most: int = DOCUMENT_ROWS) -> None:
+    """JSON texts as files of one document each, an array of about `most` of them, however many rows there are: whoever reads a document holds it whole."""
+    n = -(-rows.count() // most)
+    texts = rows.groupBy(F.pmod(F.xxhash64(column, F.monotonically_increasing_id()), F.lit(max(1, n))).alias("_of")).agg(F.collect_list(column).alias("_texts"))
+    texts.select(F.concat(F.lit("["), F.array_join("_texts", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_panel(panel: DataFrame, path: str, rows_a_file: int = 10_000_000) -> None:
     """One long table by year, so that splits prune. Rows are dealt out by year and date, so that a year is shared by several tasks and files are few and in order."""
     rows = panel.withColumn("year", F.year("date")).repartitionByRange("year", "date")

@@ -405,3 +405,14 @@ def test_year_partitions_prune(spark, tmp_path):
     writers.write_panel(df, str(tmp_path / "p"))
     plan = spark.read.parquet(str(tmp_path / "p")).where("year = 2021")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_run_documents_stay_small(spark, tmp_path):
+    """A source with many runs makes more documents, not a larger one; equal runs are all kept."""
+    path = str(tmp_path / "runs")
+    rows = spark.range(20_000).selectExpr("""concat('{"params":{"source":"', if(id < 19000, 'a', 'b'), '"},"n_survivors":', id % 7, '}') AS run""")
+    writers.write_documents(rows, "run", path, 1_000)
+    texts = [len(r[0]) for r in spark.read.option("wholetext", True).text(f"{path}/*.txt").collect()]
+    assert 15 <= len(texts) <= 20 and max(texts) < 1_500 * 50
+    back = readers.read_run_json(spark, f"{path}/*.txt").groupBy("params.source").agg(F.count(F.lit(1)), F.sum("n_survivors"))
+    assert sorted(map(tuple, back.collect())) == [("a", 19_000, sum(i % 7 for i in range(19_000))), ("b", 1_000, sum(i % 7 for i in range(19_000, 20_000)))]
