@@ -26,7 +26,7 @@ def combine_equal(signals: DataFrame) -> DataFrame:
 
 def combine_weighted(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """The weighted mean over present cells; null where their weights add up to 0. weights: signal_id, weight (a row per signal)."""
-    joined = signals.join(weights, "signal_id")
+    joined = signals.join(F.broadcast(weights), "signal_id")  # by an exchange, every row of a signal would be one task's
     have = F.when(F.col("value").isNotNull(), F.col("weight"))
     return joined.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum(have)).alias("value"))
 

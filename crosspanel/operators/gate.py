@@ -92,7 +92,7 @@ def gate_ablation(signals: DataFrame, tstats: DataFrame, thresholds: list[float]
     rising = sorted(set(map(float, thresholds)))
     passed = sum((F.when(F.abs("is_tstat") >= x, 1).otherwise(0) for x in rising), F.lit(0))
     gates = tstats.select("signal_id", passed.alias("_passed")).where("_passed > 0")
-    cells = signals.join(gates, "signal_id")
+    cells = signals.join(F.broadcast(gates), "signal_id")  # a row per signal
     value = lambda i: F.when(F.col("_passed") > i, F.col("value"))
     wide = cells.groupBy("date", "t", "symbol", label).agg(*[F.sum(value(i)).alias(f"_s{i}") for i in range(len(rising))], *[F.count(value(i)).alias(f"_c{i}") for i in range(len(rising))])
     books = F.array(*[F.struct(F.lit(x).alias("threshold"), F.try_divide(F.col(f"_s{i}"), F.col(f"_c{i}")).alias("value")) for i, x in enumerate(rising)])
@@ -110,9 +110,14 @@ def survivor_table(catalogue: DataFrame, columns: tuple[str, ...] = ("hash", "ex
 
 
 def standardised(signals: DataFrame) -> DataFrame:
-    """Every signal as z-scores across each date, the form in which signals are combined."""
-    over = Window.partitionBy("signal_id", "date")
-    return signals.withColumn("value", F.try_divide(F.col("value") - F.avg("value").over(over), F.stddev_samp("value").over(over)))
+    """Every signal as z-scores across each date, the form in which signals are combined.
+
+    Means and deviations are an aggregate with a row per signal and date, which is written: its size tells whether it goes to every task, so that no cell has to move.
+    """
+    daily = materialized(signals.groupBy("signal_id", "date").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd")), "daily")
+    daily = daily.select(F.col("signal_id").alias("_id"), F.col("date").alias("_date"), "_mean", "_sd")
+    joined = signals.join(daily, F.col("signal_id").eqNullSafe(F.col("_id")) & F.col("date").eqNullSafe(F.col("_date")))
+    return joined.withColumn("value", F.try_divide(F.col("value") - F.col("_mean"), F.col("_sd"))).select(*signals.columns)
 
 
 def rank_standardised(signals: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from .registry import IS_CROSS_SECTION, REGISTRY, WINDOWS
 Formula = str | float | tuple
 #: Most signals per plan.
 BATCH = 24
+#: Signals up to which kinds share a plan: reading the panel once more costs more than the wider rows.
+FEW = 8
 #: Digits that derived columns keep before they are ranked, so that equal values tie.
 DIGITS = 12
 #: Registered functions whose windows are made together, with base name and window.
@@ -90,6 +92,9 @@ def _outer(f: Formula) -> str | None:
 
 def parts(signals: dict[str, Formula], columns: set[str], most: int = BATCH) -> Iterator[dict[str, Formula]]:
     """The signals in plans of at most `most`, like with like: rows grow with every column that a plan makes, so functions that share none go apart."""
+    if 0 < len(signals) <= min(FEW, most):
+        yield dict(signals)
+        return
     kinds: dict[int, dict[str, Formula]] = {}
     for k, f in signals.items():
         own = inner(f, columns)[1]

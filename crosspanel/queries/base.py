@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timeseries import by_time, so_far
 from ..operators.universe import forward_returns
 from ..sources.readers import densify
-from ..sources.writers import materialized
+from ..sources.writers import dealt, materialized
 from ..sources.writers import scratch_path as scratch  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +52,21 @@ def q6(sql: str) -> str:
     return f"(round(({sql}) + {OFF_EDGE}, 6) + 0.0)"
 
 
+
+def week() -> Column:
+    return F.date_trunc("week", "l_shipdate").cast("date")
+
+
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of weekly_facts."""
+    return table(spark, sf_dir, "lineitem").select(week().alias("date"))
+
+
 def weekly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    """Rows are dealt out by symbol before they are added up, so that everything along time that follows stays where it is."""
+    li = dealt(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount"), "l_suppkey")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return li.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("symbol")).agg(
+    return li.groupBy(week().alias("date"), F.col("l_suppkey").alias("symbol")).agg(
         F.round(F.avg(price) + OFF_EDGE, 6).alias("close"),
         F.round(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")) + OFF_EDGE, 6).alias("open"),
         F.round(F.max(price) + OFF_EDGE, 6).alias("high"),
@@ -73,7 +84,7 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier by week of shipment: a dense grid with prices, volumes, sector, membership, returns and the label."""
-    grid = densify(weekly_facts(spark, sf_dir)).join(sectors(spark, sf_dir), "symbol", "left")
+    grid = densify(weekly_facts(spark, sf_dir), days=weeks(spark, sf_dir)).join(sectors(spark, sf_dir), "symbol", "left")
     filled = F.last("close", ignorenulls=True).over(so_far())
     grid = grid.withColumns({"market_cap": F.col("dollar_volume"), "member": F.col("close").isNotNull(), "_f": filled})
     grid = grid.withColumn("returns", F.try_divide(F.col("_f"), F.lag("_f", 1).over(by_time())) - 1).drop("_f")
@@ -120,15 +131,33 @@ SIGNALS = {
     "trades": (("neg", ("ts_sum_5", "num_trades")), f"-(sum(num_trades) {R.format(4)})"),
 }
 _ONE = "SELECT '{}' AS signal_id, date, t, symbol, market_cap, forward_returns, round({}, 12) AS value FROM panel"
+KEPT = ("date", "t", "symbol", "market_cap", "forward_returns")
 LONG = PANEL_W + ", long AS (" + " UNION ALL ".join(_ONE.format(k, s) for k, (_, s) in SIGNALS.items()) + ")"
 
 
+def signals_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, t, symbol, market_cap, forward_returns and a column per signal of SIGNALS, evaluated once in one plan and written."""
+    from ..plans.evaluate import signal_columns
+
+    wide = signal_columns(panel_w(spark, sf_dir), {k: f for k, (f, _) in SIGNALS.items()})
+    return materialized(wide.select(*KEPT, *[F.round(k, 12).alias(k) for k in SIGNALS]), "signals")
+
+
+def as_long(wide: DataFrame) -> DataFrame:
+    """signal_id, date, t, symbol, market_cap, forward_returns, value. Rows of a cell follow each other; only the wide ones are on disk."""
+    cells = F.array(*[F.struct(F.lit(k).alias("signal_id"), F.col(k).alias("value")) for k in SIGNALS])
+    return wide.select(*KEPT, F.inline(cells)).select("signal_id", *KEPT, "value")
+
+
 def signals_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signal_id, date, t, symbol, market_cap, forward_returns, value of SIGNALS, evaluated once."""
-    from ..plans.evaluate import evaluate_signals
+    return as_long(signals_wide(spark, sf_dir))
+
+
+def signal_scores(wide: DataFrame) -> DataFrame:
+    """The metrics of SIGNALS."""
+    from ..plans.score import score_columns
 
-    keep = ("date", "t", "symbol", "market_cap", "forward_returns")
-    return materialized(evaluate_signals(panel_w(spark, sf_dir), {k: f for k, (f, _) in SIGNALS.items()}, keep).withColumn("value", F.round("value", 12)), "signals")
+    return score_columns(wide, [*SIGNALS], 3, min_stocks=MIN_STOCKS)
 
 
 def ic_sql(rows: str, by: str = "date", least: int = MIN_STOCKS) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, checks, universe
 from ..sources import readers, writers
-from .base import PANEL_W, both, panel_w, q6, query, r6, scratch, table, weekly_facts
+from .base import PANEL_W, both, panel_w, q6, query, r6, scratch, table, weekly_facts, weeks
 
 # Line items as raw daily security rows.
 _SEC = """
@@ -101,7 +101,7 @@ def abs_price(spark, sf_dir):
 
 @query("s10_densify", f"{PANEL_W} SELECT date, t, symbol, {q6('close')} AS close FROM panel")
 def densify(spark, sf_dir):
-    return readers.densify(weekly_facts(spark, sf_dir)).select("date", "t", "symbol", r6("close").alias("close"))
+    return readers.densify(weekly_facts(spark, sf_dir), days=weeks(spark, sf_dir)).select("date", "t", "symbol", r6("close").alias("close"))
 
 
 @query("s11_rename_fields", "SELECT p_partkey AS part, p_retailprice AS price, p_size FROM part")

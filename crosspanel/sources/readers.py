@@ -100,14 +100,25 @@ def fundamentals_extract(items: DataFrame, header: DataFrame, filters: dict[str,
     return items.join(header.select(key, *keep), key, "left")
 
 
-def densify(facts: DataFrame, date: str = "date", symbol: str = "symbol") -> DataFrame:
+def densify(facts: DataFrame, date: str = "date", symbol: str = "symbol", days: DataFrame | None = None) -> DataFrame:
     """A row per calendar date and symbol, null where facts have none, with t = 0, 1, ... over the calendar.
 
-    The calendar is the distinct dates of the facts, gathered into one row (some ten thousand at most), and every symbol is exploded by it.
+    The calendar is the distinct dates of the facts, or of `days` where their column `date` holds the same ones and is cheaper to read; it is gathered into one
+    row (some ten thousand at most). Rows move by symbol only, and not at all where facts are dealt out by symbol already: every fact brings along
+    the gap up to the symbol's next one, the first one also the gap before it. Facts without a date or symbol only add the symbol.
     """
-    days = facts.select(date).where(F.col(date).isNotNull()).distinct().agg(F.array_sort(F.collect_list(date)).alias("_days"))
-    grid = facts.select(symbol).distinct().join(F.broadcast(days), F.lit(True)).select(symbol, F.posexplode("_days").alias("t", date))
-    return grid.join(facts, [date, symbol], "left")
+    days = (facts if days is None else days).select(date).where(F.col(date).isNotNull()).distinct().agg(F.array_sort(F.collect_list(date)).alias("_days"))
+    calendar = days.select(F.posexplode("_days").alias("_t", date))
+    at = F.when(F.col(symbol).isNotNull(), F.col("_t"))
+    placed = facts.join(F.broadcast(calendar), date, "left").withColumn("_t", F.coalesce(at, F.lit(-1))).drop(date)
+    placed = placed.join(F.broadcast(days.select(F.size("_days").alias("_n"))), F.lit(True))
+    line = Window.partitionBy(symbol).orderBy("_t")
+    placed = placed.withColumns({"_next": F.coalesce(F.lead("_t").over(line), F.col("_n")), "_past": F.lag("_t").over(line)})
+    first, last = F.when(F.col("_past").isNull(), 0).otherwise(F.greatest(F.col("_t"), F.lit(0))), F.greatest(F.col("_next") - 1, F.col("_t"))
+    values = [c for c in facts.columns if c not in (date, symbol)]
+    grid = placed.select(symbol, "_t", *values, F.explode(F.when(first <= last, F.sequence(first, last))).alias("t"))
+    grid = grid.select(symbol, "t", *[F.when(F.col("t") == F.col("_t"), F.col(c)).alias(c) for c in values])
+    return grid.join(F.broadcast(calendar.withColumnRenamed("_t", "t")), "t").select(date, symbol, "t", *values)
 
 
 def rename_fields(df: DataFrame, mapping: dict[str, str], lower: tuple[str, ...] = ()) -> DataFrame:

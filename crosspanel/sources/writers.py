@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ CATALOGUE = T.StructType(
     + [T.StructField("created_at", T.TimestampType())]
 )
 
+#: Rows of a task, about, where rows are dealt out by a key: tasks become more with the input, not larger.
+TASK_ROWS = 500_000
 #: JSON texts of a document, about.
 DOCUMENT_ROWS = 4_000
 
@@ -37,6 +40,12 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str, times: float = 1.0) -> DataFrame:
+    """df dealt out by keys to as many tasks as its rows ask for, where each later becomes `times` rows."""
+    n = math.ceil(df.count() * times / TASK_ROWS)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def write_documents(rows: DataFrame, column: str, path: str, most: int = DOCUMENT_ROWS) -> None:
     """JSON texts as files of one document each, an array of about `most` of them, however many rows there are: whoever reads a document holds it whole."""
     n = -(-rows.count() // most)

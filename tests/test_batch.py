@@ -149,3 +149,13 @@ def test_wavelet_counts_and_selects(seed):
         part = values[lo[i] : hi[i]]
         assert (below[i], equal[i]) == ((part < values[at[i]]).sum(), (part == values[at[i]]).sum())
         assert picked[i] == np.sort(part)[k[i]]
+
+
+def test_few_signals_share_a_plan_and_blocks_rarely_repeat_a_date(spark):
+    """Five signals of three kinds read the panel once; a wide date isn't a block of its own, which would move every row twice."""
+    from crosspanel.plans import evaluate, score
+    from crosspanel.queries.base import SIGNALS
+
+    formulas = {k: f for k, (f, _) in SIGNALS.items()}
+    assert [len(p) for p in evaluate.parts(formulas, {"close", "volume", "high", "low", "num_trades"})] == [5]
+    assert score._span(60_000, 5) >= 8 and score._span(360_000, 5) >= 4 and score._span(1_000_000, 24) == 1

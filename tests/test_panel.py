@@ -416,3 +416,42 @@ def test_run_documents_stay_small(spark, tmp_path):
     assert 15 <= len(texts) <= 20 and max(texts) < 1_500 * 50
     back = readers.read_run_json(spark, f"{path}/*.txt").groupBy("params.source").agg(F.count(F.lit(1)), F.sum("n_survivors"))
     assert sorted(map(tuple, back.collect())) == [("a", 19_000, sum(i % 7 for i in range(19_000))), ("b", 1_000, sum(i % 7 for i in range(19_000, 20_000)))]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_grid_of_odd_facts_moves_rows_once(spark):
+    """Gaps before, between and after facts, repeats, facts without date or symbol: as by a join with all cells. Facts dealt out by symbol don't move again."""
+    days = [datetime.date(2020, 1, d) for d in (1, 3, 4, 8, 9)]
+    rows = [(days[1], 1, 1.0), (days[3], 1, 2.0), (days[3], 1, 2.5), (days[0], 2, 3.0), (days[4], 2, 4.0), (None, 2, 9.0), (None, 3, 5.0), (None, 3, 6.0), (days[2], None, 7.0), (days[2], None, 7.5), (days[4], 4, None), (days[2], 5, 8.0)]
+    facts = spark.createDataFrame(rows, "date date, symbol long, x double").repartition("symbol")
+    calendar = spark.createDataFrame([(d,) for d in [*days, None, days[0]]], "date date")
+    want = []
+    for s in {r[1] for r in rows}:
+        for t, d in enumerate(days):
+            want += [(d, s, t, x) for x in ([r[2] for r in rows if r[0] == d and r[1] == s] if s is not None else []) or [None]]
+    for out in (readers.densify(facts), readers.densify(facts, days=calendar)):
+        assert out.columns == ["date", "symbol", "t", "x"]
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    with_window = readers.densify(facts, days=calendar).withColumn("past", F.lag("x").over(ts.by_time()))
+    plan = _plan(with_window)
+    assert plan.count("Exchange hashpartitioning(symbol") == 1 and "SortMergeJoin" not in plan
+    assert readers.densify(facts.limit(0)).count() == 0
+
+
+def test_combining_moves_no_row_by_signal(spark):
+    """Weights and z-scores reach the cells where they are: no exchange by signal alone, which would make a signal one task's, and none by signal and date."""
+    rows = [(s, datetime.date(2020, 1, 1 + d), i, float((i * 7 + d * 3 + k) % 5)) for k, s in enumerate("ab") for d in range(3) for i in range(6)]
+    long = spark.createDataFrame([*rows, ("a", datetime.date(2020, 1, 9), 1, 2.0), ("b", None, 1, 2.0)], "signal_id string, date date, symbol int, value double")
+    z = gate.standardised(long)
+    frame = long.toPandas()
+    groups = frame.groupby(["signal_id", "date"], dropna=False)["value"]
+    frame["z"] = (frame["value"] - groups.transform("mean")) / groups.transform("std")
+    got, key = z.toPandas(), ["signal_id", "date", "symbol"]
+    both = got.merge(frame, on=key)
+    assert len(both) == len(frame) and np.allclose(both["value_x"].astype(float), both["z"], equal_nan=True)
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "signal_id string, weight double")
+    plan = _plan(combine.combine_weighted(z, weights))
+    assert "hashpartitioning(signal_id" not in plan and "Window" not in plan
