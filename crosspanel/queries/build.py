@@ -51,11 +51,8 @@ def parse_dates(spark, sf_dir):
 
 @query("s03_read_wide_panels", f"{PANEL_W} SELECT date, symbol, {q6('close')} AS close, {q6('volume')} AS volume FROM panel WHERE close IS NOT NULL OR volume IS NOT NULL")
 def read_wide(spark, sf_dir):
-    facts, base = weekly_facts(spark, sf_dir), scratch(spark, "wide")
-    for name in ("close", "volume", "_hidden", "sector"):
-        value = name if name in ("close", "volume") else "low"
-        facts.groupBy("date").pivot("symbol").agg(F.first(value)).write.parquet(f"{base}/{name}.parquet")
-    out = readers.read_wide_panels(spark, [f"{base}/{n}.parquet" for n in ("close", "volume", "_hidden", "sector")])
+    values = {"close": "close", "volume": "volume", "_hidden": "low", "sector": "low"}
+    out = readers.read_wide_panels(spark, writers.write_wide_panels(weekly_facts(spark, sf_dir), scratch(spark, "wide"), values))
     return out.withColumns({c: r6(c) for c in ("close", "volume")})
 
 

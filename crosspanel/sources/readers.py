@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,9 +63,10 @@ def abs_price(c: Column) -> Column:
 
 
 def read_wide_panels(spark: SparkSession, paths: list[str], date: str = "date") -> DataFrame:
-    """One wide Parquet file per field (index date, a column per symbol) to one long panel: date, symbol, a column per field.
+    """Wide Parquet files of fields (index date, a column per symbol) to one long panel: date, symbol, a column per field.
 
-    Files whose names begin with _ or are reserved are skipped. Only cells with a value are kept; `densify` restores the grid.
+    A field may have several files, each with symbols of its own. Files whose names begin with _ or are reserved are skipped. Only cells with a value are kept;
+    `densify` restores the grid. A row's cells become one array, named by place: an unpivot would be a projection for each of its columns.
     """
     long = None
     for path in paths:
@@ -72,9 +74,15 @@ def read_wide_panels(spark: SparkSession, paths: list[str], date: str = "date")
         if name.startswith("_") or name in RESERVED:
             continue
         wide = spark.read.parquet(path)
-        symbols = [c for c in wide.columns if c != date]
-        cells = wide.select(date, *[number(F.col(f"`{c}`")).alias(c) for c in symbols]).unpivot([date], symbols, "symbol", "value").where(F.col("value").isNotNull())
-        cells = cells.select(F.col(date).cast("date").alias("date"), F.col("symbol").cast("bigint").alias("symbol"), F.lit(name).alias("field"), "value")
+        symbols = [f.name for f in wide.schema if f.name != date]
+        if not symbols:
+            continue
+        quoted = ["`" + c.replace("`", "``") + "`" for c in symbols]
+        if len({f.dataType for f in wide.schema if f.name != date}) > 1:
+            quoted = [f"try_cast({c} AS double)" for c in quoted]
+        cells = wide.select(F.col(date).cast("date").alias("date"), F.posexplode(F.expr(f"array({', '.join(quoted)})")).alias("at", "value"))
+        symbol = F.get(F.from_json(F.lit(json.dumps(symbols)), "array<string>"), F.col("at"))
+        cells = cells.select("date", symbol.cast("bigint").alias("symbol"), F.lit(name).alias("field"), number(F.col("value")).alias("value")).where(F.col("value").isNotNull())
         long = cells if long is None else long.unionByName(cells)
     if long is None:
         raise ValueError("no field among the files")

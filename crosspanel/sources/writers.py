@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ CATALOGUE = T.StructType(
 
 #: Rows of a task, about, where rows are dealt out by a key: tasks become more with the input, not larger.
 TASK_ROWS = 500_000
+#: Symbols of a wide file, and files written at a time (a file is a small job).
+WIDE_COLUMNS, WIDE_WRITERS = 2_000, 4
 #: JSON texts of a document, about.
 DOCUMENT_ROWS = 4_000
 
@@ -53,6 +57,30 @@ def write_documents(rows: DataFrame, column: str, path: str, most: int = DOCUMEN
     texts.select(F.concat(F.lit("["), F.array_join("_texts", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def write_wide_panels(facts: DataFrame, base: str, values: dict[str, str], date: str = "date", symbol: str = "symbol", most: int = WIDE_COLUMNS) -> list[str]:
+    """Wide Parquet files (a row per date, a column per symbol) for every name of `values` from the column it stands for; their paths.
+
+    Panels with more than `most` symbols become several files a field, {base}/{block}/{name}.parquet, each with its own symbols, as no plan and no file
+    should have a column for each of very many. Only the symbols, names of columns, come to the driver.
+    """
+    spark = facts.sparkSession
+    facts = materialized(facts.select(date, symbol, *dict.fromkeys(values.values())), "facts")
+    names = [r[0] for r in facts.select(symbol).where(F.col(symbol).isNotNull()).distinct().orderBy(symbol).collect()]
+    blocks = [names[i : i + most] for i in range(0, len(names), most)]
+    firsts = spark.createDataFrame([([b[0] for b in blocks],)], T.StructType([T.StructField("_firsts", T.ArrayType(facts.schema[symbol].dataType))]))  # one row, a value per block
+    at = F.size(F.filter("_firsts", lambda x: x <= F.col(symbol))) - 1
+    path = scratch_path(spark, "blocks")
+    facts.where(F.col(symbol).isNotNull()).join(F.broadcast(firsts), F.lit(True)).withColumn("_block", at).drop("_firsts").repartition("_block").write.partitionBy("_block").parquet(path)
+
+    def write(i: int, name: str) -> str:
+        rows = spark.read.schema(facts.schema).parquet(f"{path}/_block={i}").repartition(spark.sparkContext.defaultParallelism // WIDE_WRITERS + 1, date)
+        rows.groupBy(date).pivot(symbol, blocks[i]).agg(F.first(values[name])).write.parquet(f"{base}/{i}/{name}.parquet")
+        return f"{base}/{i}/{name}.parquet"
+
+    with ThreadPoolExecutor(WIDE_WRITERS) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(write), *zip(*[(i, n) for i in range(len(blocks)) for n in values], strict=True))) if blocks else []
+
+
 def write_panel(panel: DataFrame, path: str, rows_a_file: int = 10_000_000) -> None:
     """One long table by year, so that splits prune. Rows are dealt out by year and date, so that a year is shared by several tasks and files are few and in order."""
     rows = panel.withColumn("year", F.year("date")).repartitionByRange("year", "date")

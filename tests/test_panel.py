@@ -455,3 +455,21 @@ def test_combining_moves_no_row_by_signal(spark):
     weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "signal_id string, weight double")
     plan = _plan(combine.combine_weighted(z, weights))
     assert "hashpartitioning(signal_id" not in plan and "Window" not in plan
+
+
+def test_wide_panels_in_blocks_of_columns(spark, tmp_path):
+    rows = [(datetime.date(2020, 1, 1 + d), s, None if (s + d) % 7 == 0 else float(s * d), float("nan") if s == 5 else float(s)) for s in [*range(25), -3, 2**40] for d in range(4)]
+    facts = spark.createDataFrame([*rows, (datetime.date(2020, 1, 2), None, 1.0, 1.0)], "date date, symbol long, x double, y double")
+    paths = writers.write_wide_panels(facts, str(tmp_path / "wide"), {"x": "x", "y": "y", "_hidden": "x", "sector": "y"}, most=10)
+    assert len(paths) == 12 and max(len(spark.read.parquet(p).columns) for p in paths) == 11
+    assert sorted(sum(([int(c) for c in spark.read.parquet(p).columns if c != "date"] for p in paths if p.endswith("/x.parquet")), [])) == sorted({r[1] for r in rows})
+    got = sorted(map(tuple, readers.read_wide_panels(spark, paths).select("date", "symbol", "x", "y").collect()), key=lambda r: r[:2])
+    want = sorted(((d, s, x, None if y != y else y) for d, s, x, y in rows if x is not None or y == y), key=lambda r: r[:2])
+    assert got == want
+
+
+def test_wide_panel_of_mixed_types(spark, tmp_path):
+    path = str(tmp_path / "z.parquet")
+    spark.createDataFrame([("2020-01-01", 1, "2.5", 3.0), ("2020-01-02", None, "n/a", float("nan"))], "date string, `1` int, `2` string, `3` double").write.parquet(path)
+    got = readers.read_wide_panels(spark, [path]).orderBy("symbol").collect()
+    assert [(str(r["date"]), r["symbol"], r["z"]) for r in got] == [("2020-01-01", 1, 1.0), ("2020-01-01", 2, 2.5), ("2020-01-01", 3, 3.0)]
