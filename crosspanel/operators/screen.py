@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import dealt
 from .metrics import rank_ic
 
 # Families of fields; a draw takes one field of a family per round.
@@ -101,7 +102,7 @@ def draw_field_subset(ideas: DataFrame, fields: DataFrame, size: int | None = No
     n = menu.count()  # names of fields, not data
     size = default_subset_size(n) if size is None else size
     u = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 11).cast("double") / F.lit(float(1 << 53))
-    cells = ideas_by_fields(ideas, menu)
+    cells = ideas_by_fields(dealt(ideas.select("idea"), "idea", times=n), menu)  # ideas move, not their cells
     cells = cells.withColumn("key", F.pow(u("idea", F.lit("family"), "family"), 1 / F.col("members")))
     daily = F.col("family").isin(*DAILY_FAMILIES)
     cells = cells.withColumn("lead", F.when(daily, F.pow(u("idea", F.lit("lead"), "family"), 1 / F.col("members"))))

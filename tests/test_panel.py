@@ -473,3 +473,10 @@ def test_wide_panel_of_mixed_types(spark, tmp_path):
     spark.createDataFrame([("2020-01-01", 1, "2.5", 3.0), ("2020-01-02", None, "n/a", float("nan"))], "date string, `1` int, `2` string, `3` double").write.parquet(path)
     got = readers.read_wide_panels(spark, [path]).orderBy("symbol").collect()
     assert [(str(r["date"]), r["symbol"], r["z"]) for r in got] == [("2020-01-01", 1, 1.0), ("2020-01-01", 2, 2.5), ("2020-01-01", 3, 3.0)]
+
+
+def test_cells_of_an_idea_stay_where_the_idea_is(spark):
+    """Only ideas move by exchange, not each with every field."""
+    ideas, fields = spark.range(50).withColumnRenamed("id", "idea"), spark.createDataFrame([(f,) for m in screen.FAMILIES.values() for f in m], "field string")
+    plan = _plan(screen.draw_field_subset(ideas, fields))
+    assert plan.count("Exchange hashpartitioning(idea") == 1
