@@ -35,6 +35,12 @@ def pairwise_rho(signals: DataFrame) -> DataFrame:
 
 def _full_cells(signals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(v: the values of a cell in the order of the signals, for cells where all are present, written; at, mean, sd of every signal over them)."""
+    ids = [r[0] for r in signals.select("signal_id").where("signal_id IS NOT NULL").distinct().orderBy("signal_id").limit(TILE + 1).collect()]
+    if 0 < len(ids) <= TILE:  # a sum of fixed size per cell, made before rows move
+        own = F.array(*[F.max(F.when(F.col("signal_id") == i, F.col("value"))) for i in ids])
+        cells = signals.groupBy("date", "symbol").agg(own.alias("v"), F.count("value").alias("_n"))
+        full = materialized(cells.where((F.col("_n") == len(ids)) & F.forall("v", lambda x: x.isNotNull())).select("v"), "cells")
+        return full, full.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     n_signals = signals.agg(F.countDistinct("signal_id").alias("_all"))
     cells = signals.where(F.col("value").isNotNull()).groupBy("date", "symbol").agg(F.sort_array(F.collect_list(F.struct("signal_id", "value"))).alias("v"))
     full = cells.join(F.broadcast(n_signals), F.lit(True)).where(F.size("v") == F.col("_all")).select(F.transform("v", lambda x: x["value"]).alias("v"))

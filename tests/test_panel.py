@@ -480,3 +480,14 @@ def test_cells_of_an_idea_stay_where_the_idea_is(spark):
     ideas, fields = spark.range(50).withColumnRenamed("id", "idea"), spark.createDataFrame([(f,) for m in screen.FAMILIES.values() for f in m], "field string")
     plan = _plan(screen.draw_field_subset(ideas, fields))
     assert plan.count("Exchange hashpartitioning(idea") == 1
+
+
+def test_full_cells_of_few_signals_need_no_lists(spark):
+    """Cells with a value of every signal, each in its place; a cell with one twice and another missing isn't whole."""
+    d = datetime.date(2020, 1, 1)
+    rows = [("b", d, 1, 2.0), ("a", d, 1, 1.0), ("a", d, 2, 3.0), ("b", d, 2, None), ("a", d, 3, 4.0), ("a", d, 3, 5.0), ("b", d, 4, 7.0), ("a", d, 4, 6.0)]
+    long = spark.createDataFrame(rows, "signal_id string, date date, symbol int, value double")
+    full, _ = diversity._full_cells(long)
+    assert sorted(r["v"] for r in full.collect()) == [[1.0, 2.0], [6.0, 7.0]]
+    many = long.unionByName(long.where("symbol = 99"))
+    assert diversity._full_cells(many.limit(0))[0].count() == 0
