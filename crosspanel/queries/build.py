@@ -215,8 +215,10 @@ def spans(spark, sf_dir) -> DataFrame:
     return asof.build_spans(li, "gvkey", "permno", "day")
 
 
-def matched(spark, sf_dir) -> DataFrame:
-    linked = asof.link_by_span(fund(spark, sf_dir), spans(spark, sf_dir), "gvkey")
+def matched(spark, sf_dir, *columns: str) -> DataFrame:
+    """The best match of every report, with the columns named (all of the report's by default): what is asked for is all that a row carries."""
+    rows = fund(spark, sf_dir)
+    linked = asof.link_by_span(rows.select(*columns) if columns else rows, spans(spark, sf_dir), "gvkey")
     known = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("permno"))
     return asof.best_match(linked, ["gvkey", "datadate"], known, "permno")
 
@@ -228,7 +230,7 @@ def link(spark, sf_dir):
 
 @query("j06_best_match", f"SELECT gvkey, datadate, permno FROM ({_MATCH})")
 def match(spark, sf_dir):
-    return matched(spark, sf_dir).select("gvkey", "datadate", "permno")
+    return matched(spark, sf_dir, "gvkey", "datadate", "eff_date").select("gvkey", "datadate", "permno")
 
 
 @query("j07_build_spans", f'SELECT gvkey, permno, "start" AS lo, "end" AS hi FROM ({_SPANS})')

@@ -491,3 +491,9 @@ def test_full_cells_of_few_signals_need_no_lists(spark):
     assert sorted(r["v"] for r in full.collect()) == [[1.0, 2.0], [6.0, 7.0]]
     many = long.unionByName(long.where("symbol = 99"))
     assert diversity._full_cells(many.limit(0))[0].count() == 0
+
+
+def test_best_match_carries_what_is_asked_for(spark):
+    from crosspanel.queries import queries
+
+    assert "rdq" in (plan := _plan(queries()["j06_best_match"](spark, "/root/testdata/sf0.001"))) and "l_extendedprice" not in plan
