@@ -497,3 +497,9 @@ def test_best_match_carries_what_is_asked_for(spark):
     from crosspanel.queries import queries
 
     assert "rdq" in (plan := _plan(queries()["j06_best_match"](spark, "/root/testdata/sf0.001"))) and "l_extendedprice" not in plan
+
+
+def test_tasks_become_more_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(writers, "TASK_ROWS", 100)
+    assert [writers.dealt(spark.range(n), "id").rdd.getNumPartitions() for n in (10, 1_000, 5_000)] == [4, 10, 50]
+    assert writers.dealt(spark.range(100), "id", times=20).rdd.getNumPartitions() == 20
