@@ -6,7 +6,8 @@ scores. (The public model at hand was trained for merges; those are another rule
 unigram model.) A character that no piece covers alone may become its bytes, at the penalty that unigram models use.
 
 No piece of such models goes from a character on to a space mark, or from a letter to a character that is none or back, so a text's best
-segmentation is that of its stretches between such places, and a worker remembers stretches. Both are read off the model's pieces; where a model has pieces across such places,
+segmentation is that of its stretches between such places, and a worker remembers stretches: those of the last texts, in two halves, of which the older one goes when the newer
+one is full, so frequent stretches stay. Both are read off the model's pieces; where a model has pieces across such places,
 stretches are longer, up to whole texts.
 
 Decoding joins pieces and bytes and gives back the text exactly; the space mark itself, where a text has it, is encoded by its bytes.
@@ -35,7 +36,8 @@ MARK = "▁"
 #: Stands for the space mark where the text itself has it. No text and no piece can hold a lone surrogate, so it is encoded by bytes.
 LITERAL = "\ud800"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 250_000
+#: Stretches that a worker remembers at most (beside those of the slice at hand), and bytes of text that it cuts into stretches at a time.
+CACHE_WORDS, SLICE_BYTES = 150_000, 1 << 18
 
 
 class PieceModel:
@@ -62,6 +64,7 @@ class PieceModel:
             raw[i] = bytes([b])
         self.raw = raw
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _stretches(pieces: dict[str, int]):
@@ -120,10 +123,10 @@ class PieceModel:
         """The ids of each text as 32-bit integers."""
         cut = [self.words(t) for t in texts]
         seen = set(chain.from_iterable(cut))
-        if len(self.known) + len(seen) > CACHE_WORDS:
-            self.known.clear()
-        segment = self.segment
-        self.known.update([(w, array("i", segment(w)).tobytes()) for w in seen.difference(self.known)])
+        if len(self.known) + len(seen) > CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        segment, older = self.segment, self.older
+        self.known.update([(w, older[w] if w in older else array("i", segment(w)).tobytes()) for w in seen.difference(self.known)])
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -145,7 +148,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(shared_file(name))
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, size=SLICE_BYTES):
             coded = m.encode([t or "" for t in batch.column(1).to_pylist()])
             at = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))

@@ -669,6 +669,18 @@ def test_piece_round_trip_and_library():
         assert m.segment(whole) == np.frombuffer(m.encode([t])[0], "<u4").tolist() == plain_viterbi(m, whole)
 
 
+def test_frequent_stretches_stay_where_memory_is_full(monkeypatch):
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 40)
+    done, whole = [], m.segment
+    monkeypatch.setattr(m, "segment", lambda s: done.append(s) or whole(s))
+    words = ["".join(p) for p in itertools.product("abcdef", repeat=4)][:300]
+    for w in words:
+        m.encode([f"the {w}"])
+        assert len(m.known) + len(m.older) <= 40
+    assert len(done) == len(words) + 1
+
+
 def test_op5_decodes_to_its_input(spark):
     import hashlib
 
