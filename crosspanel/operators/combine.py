@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -24,6 +24,12 @@ def combine_equal(signals: DataFrame) -> DataFrame:
     return signals.groupBy(*CELL).agg(F.avg("value").alias("value"))
 
 
+def mean_of(names: list[str]) -> Column:
+    """The same of signals that are columns, a row per cell."""
+    values = [F.col(f"`{n}`") for n in names]
+    return F.try_divide(sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0)), sum((v.isNotNull().cast("double") for v in values), F.lit(0.0)))
+
+
 def combine_weighted(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """The weighted mean over present cells; null where their weights add up to 0. weights: signal_id, weight (a row per signal)."""
     joined = signals.join(F.broadcast(weights), "signal_id")  # by an exchange, every row of a signal would be one task's
@@ -45,14 +51,34 @@ def fit_orthogonal(signals: DataFrame, weights: dict[str, float], most_entries:
     spark = signals.sparkSession
     places = spark.createDataFrame([(i, k) for k, i in enumerate(order)], "signal_id string, at int")  # a row per fitted signal
     present = signals.where(F.col("value").isNotNull()).join(F.broadcast(places), "signal_id")
-    cells = present.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v")).where(F.col("v")[0]["at"] == 0)
+    cells = present.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
+
+    def wide() -> DataFrame:
+        return signals.where(F.col("signal_id").isin(order)).groupBy(*CELL).pivot("signal_id", order).agg(F.first("value"))
+
+    return _fitted(cells, wide, order, most_entries)
+
+
+def fit_columns(wide: DataFrame, weights: dict[str, float], most_entries: int = MOST_ENTRIES) -> list[tuple[str, float | None]]:
+    """The same of signals that are columns, a row per cell: no cell moves."""
+    order = sorted(weights, key=lambda i: (-abs(weights[i]), i))
+    if not order:
+        return []
+    values = F.array(*[F.struct(F.lit(k).alias("at"), F.col(f"`{i}`").alias("value")) for k, i in enumerate(order)])
+    cells = wide.select(*CELL, F.filter(values, lambda x: x["value"].isNotNull()).alias("v"))
+    return _fitted(cells, lambda: wide, order, most_entries)
+
+
+def _fitted(cells: DataFrame, wide: Callable[[], DataFrame], order: list[str], most_entries: int) -> list[tuple[str, float | None]]:
+    """The slopes from cells with v, the places and values of the signals present, in order; wide: the same cells with a column per signal."""
+    cells = cells.where(F.get("v", F.lit(0))["at"] == 0)
     at = F.transform("v", lambda x: x["at"])
     cells = materialized(cells.select(F.xxhash64(at).alias("h1"), F.xxhash64(F.lit(1), at).alias("h2"), at.alias("at"), F.transform("v", lambda x: x["value"]).alias("values")), "cells")
     patterns = cells.groupBy("h1", "h2").agg(F.first("at").alias("at"))
     n = F.size("at").cast("bigint")
     if (patterns.agg(F.sum(n * (n + 1) / 2)).first()[0] or 0) > most_entries:
-        return _fit_in_turn(signals, order)
-    ship(spark)
+        return _fit_in_turn(wide(), order)
+    ship(cells.sparkSession)
     sums = cells.select("h1", "h2", "values").mapInArrow(_grams, "h1 bigint, h2 bigint, g array<double>")
     sums = sums.select("h1", "h2", F.posexplode("g").alias("place", "g")).groupBy("h1", "h2", "place").agg(F.sum("g").alias("g"))
     whole = sums.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("place", "g"))).alias("g")).join(patterns, ["h1", "h2"])
@@ -112,9 +138,8 @@ def solve_in_turn(patterns: list[tuple[np.ndarray, np.ndarray]], n_signals: int)
     return slopes
 
 
-def _fit_in_turn(signals: DataFrame, order: list[str]) -> list[tuple[str, float | None]]:
+def _fit_in_turn(wide: DataFrame, order: list[str]) -> list[tuple[str, float | None]]:
     """The same slopes by one aggregate per signal over a written frame with one row per cell, whose running sums are written anew every KEPT signals."""
-    wide = signals.where(F.col("signal_id").isin(order)).groupBy(*CELL).pivot("signal_id", order).agg(F.first("value"))
     wide = wide.select(*CELL, F.lit(0.0).alias("num"), F.lit(0.0).alias("cnt"), *[F.col(f"`{i}`").alias(f"s{k}") for k, i in enumerate(order)])
     wide, done = materialized(wide, "combine"), 0
     betas: list[tuple[str, float | None]] = []
@@ -164,3 +189,12 @@ def apply_orthogonal(signals: DataFrame, betas: list[tuple[str, float | None]],
     values = F.transform(F.sequence(F.lit(0), F.lit(len(used) - 1)), lambda k: F.try_element_at(F.col("m"), k))
     x = F.aggregate(values, *_folded([b for _, b in used]))
     return cells.select(*CELL, F.try_divide(x["num"], F.nullif(x["cnt"], F.lit(0.0))).alias("value"))
+
+
+def apply_columns(wide: DataFrame, betas: list[tuple[str, float | None]]) -> DataFrame:
+    """The same of signals that are columns, a row per cell: no cell moves."""
+    used = [(i, b) for i, b in betas if i in wide.columns]
+    if not used:
+        raise ValueError("none of the fitted signals is at hand")
+    x = F.aggregate(F.array(*[F.col(f"`{i}`") for i, _ in used]), *_folded([b for _, b in used]))
+    return wide.select(*CELL, F.try_divide(x["num"], F.nullif(x["cnt"], F.lit(0.0))).alias("value"))

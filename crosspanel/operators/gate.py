@@ -37,6 +37,17 @@ def signal_diagnostics(signals: DataFrame) -> DataFrame:
     return per.join(turnover(signals, "value", ID).withColumnRenamed("turnover", "rank_turnover"), "signal_id")
 
 
+def diagnosed(daily: DataFrame) -> DataFrame:
+    """The same from daily figures (columns as of score.SPREAD)."""
+    return daily.groupBy("signal_id").agg(
+        (F.sum("n_values") / F.sum("n_cells")).alias("coverage"),
+        F.percentile("n_values", F.lit(0.5)).alias("median_breadth"),
+        F.percentile(F.try_divide(F.col("n_distinct"), F.col("n_values")), F.lit(0.5)).alias("distinct_share"),
+        F.avg((F.col("sd") <= NO_SPREAD).cast("double")).alias("dead_days"),
+        F.avg("moved").alias("rank_turnover"),
+    )
+
+
 def search_fitness(signals: DataFrame, label: str = "forward_returns", min_stocks: int = 20, step: int = 5, thin_above: int = 200, min_dates: int = 30, min_days: int = 10) -> DataFrame:
     """signal_id, fitness: mean IC of a whole population, on every `step`-th date where there are many; 0 with too few dates or ICs."""
     dates = signals.select("signal_id", "date").distinct().withColumn("_at", F.row_number().over(Window.partitionBy("signal_id").orderBy("date")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("signal_id")))
@@ -120,5 +131,13 @@ def standardised(signals: DataFrame) -> DataFrame:
     return joined.withColumn("value", F.try_divide(F.col("value") - F.col("_mean"), F.col("_sd"))).select(*signals.columns)
 
 
+def standardised_columns(wide: DataFrame, names: list[str]) -> DataFrame:
+    """The same of signals that are columns of a written frame: means and deviations are a row per date, and no cell moves."""
+    figures = [f(F.col(f"`{n}`")).alias(f"_{w}{i}") for i, n in enumerate(names) for w, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    daily = materialized(wide.groupBy("date").agg(*figures), "daily").withColumnRenamed("date", "_date")
+    joined = wide.join(daily, F.col("date").eqNullSafe(F.col("_date")))
+    return joined.withColumns({n: F.try_divide(F.col(f"`{n}`") - F.col(f"_mean{i}"), F.col(f"_sd{i}")) for i, n in enumerate(names)}).select(*[f"`{c}`" for c in wide.columns])
+
+
 def rank_standardised(signals: DataFrame) -> DataFrame:
     return signals.withColumn("value", cs_rank(F.col("value"), ("signal_id", "date")))

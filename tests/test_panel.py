@@ -503,3 +503,28 @@ def test_tasks_become_more_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(writers, "TASK_ROWS", 100)
     assert [writers.dealt(spark.range(n), "id").rdd.getNumPartitions() for n in (10, 1_000, 5_000)] == [4, 10, 50]
     assert writers.dealt(spark.range(100), "id", times=20).rdd.getNumPartitions() == 20
+
+
+def test_signals_as_columns_give_what_long_tables_give(spark):
+    """Standardising, combining, fitting and diagnosing signals that are columns: the same numbers, and combining moves no cell."""
+    from crosspanel.plans.score import diagnose_columns
+
+    rng, names = np.random.default_rng(8), ["a", "b", "c"]
+    cells = [(datetime.date(2020, 1, 1) + datetime.timedelta(t), t, s, 0.1, *[round(float(x), 1) if rng.random() > 0.2 else None for x in rng.normal(size=2)], 3.3 if s < 4 else None) for t in range(40) for s in range(6)]
+    wide = spark.createDataFrame(cells, "date date, t int, symbol long, forward_returns double, a double, b double, c double")
+    long = wide.unpivot(["date", "t", "symbol", "forward_returns"], names, "signal_id", "value")
+    rows = lambda df: {(r["date"], r["symbol"]): r["value"] for r in df.collect()}
+    same = lambda x, y: x.keys() == y.keys() and all((x[k] is None) == (y[k] is None) and (x[k] is None or abs(x[k] - y[k]) < 1e-9) for k in x)
+    z, zl = gate.standardised_columns(wide, names), gate.standardised(long)
+    mean = z.select("date", "symbol", combine.mean_of(names).alias("value"))
+    assert same(rows(mean), rows(combine.combine_equal(zl)))
+    assert "hashpartitioning" not in mean._jdf.queryExecution().executedPlan().toString()
+    weights = {"a": 2.0, "b": -1.0, "c": 0.5}
+    betas = combine.fit_orthogonal(zl, weights)
+    for most in (0, 1000):
+        assert all(x == y and (b is None) == (c is None) and (b is None or abs(b - c) < 1e-9) for (x, b), (y, c) in zip(betas, combine.fit_columns(z, weights, most), strict=True))
+    assert same(rows(combine.apply_columns(z, betas)), rows(combine.apply_orthogonal(zl, betas)))
+    want = {r["signal_id"]: r.asDict() for r in gate.signal_diagnostics(long).collect()}
+    for most in (0, 1000):
+        got = {r["signal_id"]: r.asDict() for r in diagnose_columns(wide, names, most_names=most).collect()}
+        assert got.keys() == want.keys() and all(got[k][c] == pytest.approx(want[k][c], abs=1e-9) for k in want for c in want[k] if c != "signal_id")
