@@ -6,8 +6,8 @@ scores. (The public model at hand was trained for merges; those are another rule
 unigram model.) A character that no piece covers alone may become its bytes, at the penalty that unigram models use.
 
 No piece of such models goes from a character on to a space mark, or from a letter to a character that is none or back, so a text's best
-segmentation is that of its stretches between such places, and a worker remembers stretches: those of the last texts, in two halves, of which the older one goes when the newer
-one is full, so frequent stretches stay. Both are read off the model's pieces; where a model has pieces across such places,
+segmentation is that of its stretches between such places, and a worker remembers stretches: those met last, in two halves, of which the older one goes when the newer
+one is full, so frequent stretches stay. They keep their spaces until they are segmented, so most take a byte a character. Both are read off the model's pieces; where a model has pieces across such places,
 stretches are longer, up to whole texts.
 
 Decoding joins pieces and bytes and gives back the text exactly; the space mark itself, where a text has it, is encoded by its bytes.
@@ -36,7 +36,7 @@ MARK = "▁"
 #: Stands for the space mark where the text itself has it. No text and no piece can hold a lone surrogate, so it is encoded by bytes.
 LITERAL = "\ud800"
 UNKNOWN_PENALTY = 10.0
-#: Stretches that a worker remembers at most (beside those of the slice at hand), and bytes of text that it cuts into stretches at a time.
+#: Stretches that a worker remembers at most, and bytes of text that it encodes at a time.
 CACHE_WORDS, SLICE_BYTES = 150_000, 1 << 18
 
 
@@ -63,79 +63,96 @@ class PieceModel:
         for b, i in self.bytes.items():
             raw[i] = bytes([b])
         self.raw = raw
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
         self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _stretches(pieces: dict[str, int]):
-        """Cuts a text where no piece can lie across; None where pieces go across words."""
-        if any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.DOTALL) for p in pieces):
+        """Cuts a text, its spaces still spaces, where no piece can lie across; None where pieces go across words."""
+        pieces = [p.replace(MARK, " ") for p in pieces]
+        if any(re.search("[^ ] |.\n|\n.", p, re.DOTALL) for p in pieces):
             return None
         odd = "".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))  # like a raised 2
-        letter, other = f"[^\\W\\d_{odd}]", f"(?![{MARK}\n])[\\W\\d_{odd}]"
+        letter, other = f"[^\\W\\d_{odd}]", f"(?![ \n])[\\W\\d_{odd}]"
         if any(re.search(f"{letter}{other}|{other}{letter}", p) for p in pieces):
-            return re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
-        return re.compile(f"{MARK}*{letter}+|{MARK}*(?:{other})+|{MARK}+|\n").findall
+            return re.compile(" *[^ \n]+| +|\n").findall
+        return re.compile(f" *{letter}+| *(?:{other})+| +|\n").findall
 
     def segment(self, s: str) -> list[int]:
         """Single-pass Viterbi: ids of the best pieces of s, unknown characters as bytes."""
         n = len(s)
-        best, length_to, piece_to = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
-        alone, penalty = self.alone, self.penalty
-        unknown = [i for i, c in enumerate(s) if c not in alone]
-        at = 0  # of the unknown characters that are behind
-        for end, (length, piece, score) in self.automaton.iter(s):
-            while at < len(unknown) and unknown[at] <= end:
-                self._relax_unknown(unknown[at] + 1, best, length_to, piece_to, penalty)
-                at += 1
-            end += 1
-            reached = best[end - length] + score
-            if reached > best[end]:
-                best[end], length_to[end], piece_to[end] = reached, length, piece
-        for i in unknown[at:]:
-            self._relax_unknown(i + 1, best, length_to, piece_to, penalty)
-        out, end = [], n
-        while end:
-            length, piece = length_to[end], piece_to[end]
-            end -= length
+        best, back = [-1e300] * n + [0.0], [None] * n  # by the last character of what is covered; nothing is covered at -1
+        if self.alone.issuperset(s):
+            for end, found in self.automaton.iter(s):
+                reached = best[end - found[0]] + found[2]
+                if reached > best[end]:
+                    best[end], back[end] = reached, found
+        else:
+            self._with_unknown(s, best, back)
+        out, end = [], n - 1
+        while end >= 0:
+            length, piece, _ = back[end]
             if piece >= 0:
                 out.append(piece)
             else:
                 raw = s[end].replace(LITERAL, MARK).encode("utf-8", "surrogatepass")
                 out.extend(reversed([self.bytes[b] for b in raw]) if self.bytes else [self.unknown])
+            end -= length
         out.reverse()
         return out
 
-    @staticmethod
-    def _relax_unknown(end: int, best: list[float], length_to: list[int], piece_to: list[int], penalty: float) -> None:
-        if best[end - 1] + penalty > best[end]:
-            best[end], length_to[end], piece_to[end] = best[end - 1] + penalty, 1, -1
+    def _with_unknown(self, s: str, best: list[float], back: list[tuple | None]) -> None:
+        """The search where characters of s are no pieces alone: each may be covered by its bytes."""
+        alone, byte = self.alone, (1, -1, self.penalty)
+        unknown = [i for i, c in enumerate(s) if c not in alone]
+        at = 0  # of the unknown characters that are behind
+        for end, found in chain(self.automaton.iter(s), [(len(s), None)]):
+            while at < len(unknown) and unknown[at] <= end:
+                i = unknown[at]
+                if best[i - 1] + byte[2] > best[i]:
+                    best[i], back[i] = best[i - 1] + byte[2], byte
+                at += 1
+            if found is not None:
+                reached = best[end - found[0]] + found[2]
+                if reached > best[end]:
+                    best[end], back[end] = reached, found
 
     def words(self, text: str) -> list[str]:
-        """Stretches of the text, each segmented by itself."""
+        """Stretches of the text, each segmented by itself; a space stands for the space mark."""
         if not text:
             return []
-        s = text.replace(MARK, LITERAL).replace(" ", MARK)
-        s = MARK + s if self.prefix else s
+        s = " " + text if self.prefix else text
         return self.stretches(s) if self.stretches else [s]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        seen = set(chain.from_iterable(cut))
-        if len(self.known) + len(seen) > CACHE_WORDS // 2:
-            self.older, self.known = self.known, {}
-        segment, older = self.segment, self.older
-        self.known.update([(w, older[w] if w in older else array("i", segment(w)).tobytes()) for w in seen.difference(self.known)])
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self.words(t))) for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")
+        text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+class _Known(dict):
+    """Ids of the stretches met last; a stretch that is missing is looked for among the older ones, else segmented."""
+
+    def __init__(self, of: PieceModel) -> None:
+        self.of = of
+
+    def __missing__(self, w: str) -> bytes:
+        of = self.of
+        if len(self) >= CACHE_WORDS // 2:
+            of.older = dict(self)
+            self.clear()
+        ids = of.older.get(w)
+        if ids is None:
+            ids = array("i", of.segment(w.replace(MARK, LITERAL).replace(" ", MARK))).tobytes()
+        self[w] = ids
+        return ids
+
+
 @functools.cache
 def model(path: str) -> PieceModel:
     return PieceModel(path)

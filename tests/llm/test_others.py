@@ -681,6 +681,17 @@ def test_frequent_stretches_stay_where_memory_is_full(monkeypatch):
     assert len(done) == len(words) + 1
 
 
+def test_stretches_of_one_long_text_are_bounded_too(monkeypatch):
+    """One text with more stretches than a worker remembers; they are kept with their spaces, a byte a character."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, words = pieces.PieceModel(path), ["".join(p) for p in itertools.product("abcdef", repeat=4)][:300]
+    want = pieces.PieceModel(path).encode([" ".join(words * 2) + " ▁é"])
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 40)
+    assert m.encode([" ".join(words * 2) + " ▁é"]) == want
+    assert len(m.known) + len(m.older) <= 40
+    assert all(w.isascii() for w in m.older) and f" {words[-1]}" in {*m.known, *m.older}
+
+
 def test_op5_decodes_to_its_input(spark):
     import hashlib
 
