@@ -528,3 +528,12 @@ def test_signals_as_columns_give_what_long_tables_give(spark):
     for most in (0, 1000):
         got = {r["signal_id"]: r.asDict() for r in diagnose_columns(wide, names, most_names=most).collect()}
         assert got.keys() == want.keys() and all(got[k][c] == pytest.approx(want[k][c], abs=1e-9) for k in want for c in want[k] if c != "signal_id")
+
+
+def test_all_of_the_exponential_mean_runs_in_those_tasks(spark, monkeypatch):
+    from crosspanel.queries import queries
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(writers, "TASK_ROWS", 100)
+    n = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 100)
+    assert queries()["w14_ts_ema"](spark, small).rdd.getNumPartitions() == n > 40
