@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .writers import WIDE_WRITERS, released, scratch_path
+
+#: Columns of wide files that share a plan, at most.
+PLAN_COLUMNS = 4_000
 #: Columns of a panel that are never input fields.
 RESERVED = ("date", "t", "symbol", "forward_returns", "vw_market_return", "sector", "member", "returns_raw", "year")
 
@@ -62,32 +68,56 @@ def abs_price(c: Column) -> Column:
     return F.abs(c)
 
 
-def read_wide_panels(spark: SparkSession, paths: list[str], date: str = "date") -> DataFrame:
+def read_wide_panels(spark: SparkSession, paths: list[str], date: str = "date", most: int = PLAN_COLUMNS) -> DataFrame:
     """Wide Parquet files of fields (index date, a column per symbol) to one long panel: date, symbol, a column per field.
 
     A field may have several files, each with symbols of its own. Files whose names begin with _ or are reserved are skipped. Only cells with a value are kept;
-    `densify` restores the grid. A row's cells become one array, named by place: an unpivot would be a projection for each of its columns.
+    `densify` restores the grid. Files share a plan up to `most` columns (a file is never split); where there are more, each such plan's cells are written at once
+    and read back, so that the driver holds a few plans at a time, not one with a column for every symbol of every file.
     """
-    long = None
-    for path in paths:
-        name = PurePosixPath(path).stem
-        if name.startswith("_") or name in RESERVED:
-            continue
-        wide = spark.read.parquet(path)
-        symbols = [f.name for f in wide.schema if f.name != date]
-        if not symbols:
-            continue
-        quoted = ["`" + c.replace("`", "``") + "`" for c in symbols]
-        if len({f.dataType for f in wide.schema if f.name != date}) > 1:
-            quoted = [f"try_cast({c} AS double)" for c in quoted]
-        cells = wide.select(F.col(date).cast("date").alias("date"), F.posexplode(F.expr(f"array({', '.join(quoted)})")).alias("at", "value"))
-        symbol = F.get(F.from_json(F.lit(json.dumps(symbols)), "array<string>"), F.col("at"))
-        cells = cells.select("date", symbol.cast("bigint").alias("symbol"), F.lit(name).alias("field"), number(F.col("value")).alias("value")).where(F.col("value").isNotNull())
-        long = cells if long is None else long.unionByName(cells)
+    used = [p for p in paths if not PurePosixPath(p).stem.startswith("_") and PurePosixPath(p).stem not in RESERVED]
+    jobs, long, columns = [], None, 0
+
+    def write(cells: DataFrame, path: str) -> str:
+        cells.write.parquet(path)
+        return path
+
+    with ThreadPoolExecutor(WIDE_WRITERS) as pool:
+        submit = lambda: jobs.append(pool.submit(inheritable_thread_target(spark)(released(write)), long, scratch_path(spark, "cells")))
+        for path in used:
+            cells, n = wide_cells(spark, path, date)
+            if cells is None:
+                continue
+            if long is not None and columns + n > most:
+                submit()
+                long, columns = None, 0
+                if len(jobs) > WIDE_WRITERS:
+                    jobs[-WIDE_WRITERS - 1].result()
+            long, columns = cells if long is None else long.unionByName(cells), columns + n
+        if jobs:
+            submit()
+            long = spark.read.schema(long.schema).parquet(*[j.result() for j in jobs])
     if long is None:
         raise ValueError("no field among the files")
-    names = sorted({PurePosixPath(p).stem for p in paths if not PurePosixPath(p).stem.startswith("_") and PurePosixPath(p).stem not in RESERVED})
-    return long.groupBy("date", "symbol").pivot("field", names).agg(F.first("value"))
+    return long.groupBy("date", "symbol").pivot("field", sorted({PurePosixPath(p).stem for p in used})).agg(F.first("value"))
+
+
+def wide_cells(spark: SparkSession, path: str, date: str) -> tuple[DataFrame | None, int]:
+    """The cells with a value of a wide file (date, symbol, field, value), None where it has no symbols, and the number of its symbols.
+
+    A row's cells become one array, named by place: an unpivot would be a projection for each of its columns.
+    """
+    wide = spark.read.parquet(path)
+    types = {f.name: f.dataType for f in wide.schema if f.name != date}
+    if not types:
+        return None, 0
+    quoted = ["`" + c.replace("`", "``") + "`" for c in types]
+    if len(set(types.values())) > 1:
+        quoted = [f"try_cast({c} AS double)" for c in quoted]
+    cells = wide.select(F.col(date).cast("date").alias("date"), F.posexplode(F.expr(f"array({', '.join(quoted)})")).alias("at", "value"))
+    symbol = F.get(F.from_json(F.lit(json.dumps([*types])), "array<string>"), F.col("at"))
+    cells = cells.select("date", symbol.cast("bigint").alias("symbol"), F.lit(PurePosixPath(path).stem).alias("field"), number(F.col("value")).alias("value"))
+    return cells.where(F.col("value").isNotNull()), len(types)
 
 
 def read_jdbc_yearly(spark: SparkSession, url: str, view: str, date: str, start: int, end: int, properties: dict[str, str] | None = None, timestamps: bool = False, undated: bool = True) -> DataFrame:

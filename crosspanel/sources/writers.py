@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +47,22 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(job: Callable) -> Callable:
+    """job, after which the plans it made leave the driver's memory.
+
+    py4j's proxies refer to themselves, so only Python's search for cycles frees the JVM's plans behind them, and it begins by Python's own objects, of which wide plans have few.
+    """
+
+    @functools.wraps(job)
+    def run(*args):
+        try:
+            return job(*args)
+        finally:
+            gc.collect()
+
+    return run
+
+
 def dealt(df: DataFrame, *keys: str, times: float = 1.0) -> DataFrame:
     """df dealt out by keys to as many tasks as its rows ask for, where each later becomes `times` rows."""
     n = math.ceil(df.count() * times / TASK_ROWS)
@@ -57,6 +76,16 @@ def write_documents(rows: DataFrame, column: str, path: str, most: int = DOCUMEN
     texts.select(F.concat(F.lit("["), F.array_join("_texts", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _line() -> Column:
+    """The values of _cells (_at, _value; in order of _at), each in its place, null where there is none.
+
+    A pivot gives the same, but its function names all symbols, in every mention of it: half a megabyte of plan text, which the driver keeps of each of the last 1,000 jobs.
+    """
+    before = lambda k: F.when(k > 0, F.get("_cells", k - 1)["_at"]).otherwise(-1)
+    gap = lambda x, k: F.array_repeat(F.nullif(x["_value"], x["_value"]), x["_at"] - before(k) - 1)
+    return F.flatten(F.transform("_cells", lambda x, k: F.concat(gap(x, k), F.array(x["_value"]))))
+
+
 def write_wide_panels(facts: DataFrame, base: str, values: dict[str, str], date: str = "date", symbol: str = "symbol", most: int = WIDE_COLUMNS) -> list[str]:
     """Wide Parquet files (a row per date, a column per symbol) for every name of `values` from the column it stands for; their paths.
 
@@ -68,17 +97,24 @@ def write_wide_panels(facts: DataFrame, base: str, values: dict[str, str], date:
     names = [r[0] for r in facts.select(symbol).where(F.col(symbol).isNotNull()).distinct().orderBy(symbol).collect()]
     blocks = [names[i : i + most] for i in range(0, len(names), most)]
     firsts = spark.createDataFrame([([b[0] for b in blocks],)], T.StructType([T.StructField("_firsts", T.ArrayType(facts.schema[symbol].dataType))]))  # one row, a value per block
-    at = F.size(F.filter("_firsts", lambda x: x <= F.col(symbol))) - 1
+    block = F.size(F.filter("_firsts", lambda x: x <= F.col(symbol))) - 1
+    place = F.dense_rank().over(Window.partitionBy("_block").orderBy(symbol)) - 1
     path = scratch_path(spark, "blocks")
-    facts.where(F.col(symbol).isNotNull()).join(F.broadcast(firsts), F.lit(True)).withColumn("_block", at).drop("_firsts").repartition("_block").write.partitionBy("_block").parquet(path)
+    placed = facts.where(F.col(symbol).isNotNull()).join(F.broadcast(firsts), F.lit(True)).withColumn("_block", block).drop("_firsts").repartition("_block")
+    placed = placed.withColumn("_at", place).drop(symbol)
+    placed.write.partitionBy("_block").parquet(path)
+    schema = placed.drop("_block").schema
 
     def write(i: int, name: str) -> str:
-        rows = spark.read.schema(facts.schema).parquet(f"{path}/_block={i}").repartition(spark.sparkContext.defaultParallelism // WIDE_WRITERS + 1, date)
-        rows.groupBy(date).pivot(symbol, blocks[i]).agg(F.first(values[name])).write.parquet(f"{base}/{i}/{name}.parquet")
+        rows = spark.read.schema(schema).parquet(f"{path}/_block={i}").repartition(spark.sparkContext.defaultParallelism // WIDE_WRITERS + 1, date)
+        cells = rows.groupBy(date, "_at").agg(F.first(values[name]).alias("_value"))
+        lines = cells.groupBy(date).agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_cells")).select(date, _line().alias("_line"))
+        columns = ["`" + str(x).replace("`", "``") + "`" for x in blocks[i]]
+        lines.selectExpr(f"`{date}`", *[f"get(_line, {k}) AS {c}" for k, c in enumerate(columns)]).write.parquet(f"{base}/{i}/{name}.parquet")
         return f"{base}/{i}/{name}.parquet"
 
     with ThreadPoolExecutor(WIDE_WRITERS) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(write), *zip(*[(i, n) for i in range(len(blocks)) for n in values], strict=True))) if blocks else []
+        return list(pool.map(inheritable_thread_target(spark)(released(write)), *zip(*[(i, n) for i in range(len(blocks)) for n in values], strict=True))) if blocks else []
 
 
 def write_panel(panel: DataFrame, path: str, rows_a_file: int = 10_000_000) -> None:
@@ -127,8 +163,6 @@ def markdown(df: DataFrame, order: str) -> DataFrame:
     """The table as Markdown lines (column line), in order of a column; the header has the place -1."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     head = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(df.columns) + " |"), (-1, "|" + "---|" * len(df.columns))], "at int, line string")
-    from pyspark.sql import Window
-
     body = df.select((F.row_number().over(Window.orderBy(order)) - 1).alias("at"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |")).alias("line"))
     return head.unionByName(body)
 

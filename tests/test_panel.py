@@ -1,12 +1,16 @@
 """Cases of the operators on small frames: known answers, invariants, edges."""
 
 import datetime
+import gc
 import math
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from py4j.finalizer import ThreadSafeFinalizer
 from pyspark.sql import functions as F
 
 from crosspanel.functions import crosssection as cs
@@ -475,6 +479,44 @@ def test_wide_panel_of_mixed_types(spark, tmp_path):
     assert [(str(r["date"]), r["symbol"], r["z"]) for r in got] == [("2020-01-01", 1, 1.0), ("2020-01-01", 2, 2.5), ("2020-01-01", 3, 3.0)]
 
 
+def test_wide_files_beyond_a_plan_are_read_a_few_at_a_time(spark, tmp_path):
+    """Five files of 1,000 symbols each are more columns than a plan may have: what comes back reads written cells, not 5,000 columns; few files stay one plan."""
+    for k, name in enumerate("abcde"):
+        cells = {"date": [datetime.date(2020, 1, 1), datetime.date(2020, 1, 2)]} | {str(s): [float(s + k), None if s % 2 else float(-s)] for s in range(1000)}
+        pq.write_table(pa.table(cells), tmp_path / f"{name}.parquet")
+    paths = [f"{tmp_path}/{name}.parquet" for name in "abcde"]
+    out = readers.read_wide_panels(spark, paths)
+    assert _plan(out).count("FileScan parquet") == 1 and "Union" not in _plan(out)
+    assert _plan(readers.read_wide_panels(spark, paths[:2])).count("FileScan parquet") == 2
+    got = {(r["date"].day, r["symbol"]): tuple(r[c] for c in "abcde") for r in out.collect()}
+    assert got == {(1, s): tuple(float(s + k) for k in range(5)) for s in range(1000)} | {(2, s): (float(-s),) * 5 for s in range(0, 1000, 2)}
+
+
+def test_wide_writes_leave_no_plans_with_the_driver(spark, tmp_path):
+    """Without Python's own search for cycles, four times the files leave as many proxies of the JVM's objects, not four times as many; plan texts name a symbol a few times; gaps stay null."""
+    first = 7_000_000_000
+    rows = [(datetime.date(2020, 1, 1 + d), first + s, float(s + d)) for s in range(80) for d in range(4) if (s * 7 + d * 5) % 11 > 5]
+    facts = spark.createDataFrame(rows, "date date, symbol long, x double")
+    status, kept = spark._jsparkSession.sharedState().statusStore(), []
+    begun = status.executionsCount()
+    try:
+        gc.disable()
+        for most in (40, 10):
+            gc.collect()
+            before = len(ThreadSafeFinalizer.finalizers)
+            paths = writers.write_wide_panels(facts, str(tmp_path / f"wide{most}"), {"x": "x", "y": "x", "z": "x"}, most=most)
+            kept.append(len(ThreadSafeFinalizer.finalizers) - before)
+    finally:
+        gc.enable()
+    assert len(paths) == 24 and kept[1] < 2 * kept[0] + 50
+    wide = writers.write_wide_panels(facts, str(tmp_path / "wide"), {"x": "x"})
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    texts = [status.executionsList(i, 1).head().physicalPlanDescription() for i in range(begun, status.executionsCount())]
+    assert len(texts) > 24 and 0 < max(t.count(f"{first + 70}") for t in texts) < 10
+    cells = [(d, int(s), v) for d, *vs in spark.read.parquet(*wide).collect() for s, v in zip(spark.read.parquet(*wide).columns[1:], vs, strict=True)]
+    assert sorted(c for c in cells if c[2] is not None) == sorted(rows) and len(cells) == 4 * 80
+
+
 def test_cells_of_an_idea_stay_where_the_idea_is(spark):
     """Only ideas move by exchange, not each with every field."""
     ideas, fields = spark.range(50).withColumnRenamed("id", "idea"), spark.createDataFrame([(f,) for m in screen.FAMILIES.values() for f in m], "field string")
